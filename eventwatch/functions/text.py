@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 # Byte units, each 1024 of the one before.
@@ -18,9 +20,28 @@ def filled(col: Column) -> Column:
     return F.when(col != "", col)
 
 
+def _passes(fraction: Column, k: int) -> Column:
+    """Whether `fraction` rounds to more than k tenths, judged on its exact binary value."""
+    edge = (2 * k + 1) / 20
+    exact = Decimal(edge) - Decimal(2 * k + 1) / 20
+    closed = exact > 0 or (exact == 0 and k % 2 == 1)
+    return (fraction >= edge) if closed else (fraction > edge)
+
+
 def fixed(col: Column, digits: int) -> Column:
-    """`col` with `digits` decimals, ties to even."""
-    return F.format_string(f"%.{digits}f", F.bround(col.cast("double"), digits))
+    """`col` printed with 0 or 1 decimals, rounding the exact binary value, ties to even."""
+    x = col.cast("double")
+    size = F.abs(x)
+    whole = F.floor(size)
+    rest = size - whole
+    sign = F.when(x < 0, "-").otherwise("")
+    if digits == 0:
+        up = (rest > 0.5) | ((rest == 0.5) & (whole % 2 == 1))
+        return F.concat(sign, (whole + F.when(up, 1).otherwise(0)).cast("string"))
+    tenths = whole * 10
+    for k in range(10):
+        tenths = tenths + F.when(_passes(rest, k), 1).otherwise(0)
+    return F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
 def human_bytes(n: Column) -> Column:
@@ -43,7 +64,3 @@ def lookup(values: list, index: Column) -> Column:
     """values[index], clamped to the last entry."""
     arr = F.array(*[F.lit(v) for v in values])
     return F.element_at(arr, (F.least(index, F.lit(len(values) - 1)) + 1).cast("int"))
-
-
-def json_list(col: Column) -> Column:
-    return F.to_json(col)

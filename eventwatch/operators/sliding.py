@@ -36,6 +36,8 @@ def part(
     value: Column | None = None, n: Column | int = 1, amount: Column | int = 0,
 ) -> Column:
     """The struct an event adds to rule `rule_id`; n = 0 measures the window without adding."""
+    n = (F.lit(n) if isinstance(n, int) else n).cast("bigint")
+    value = F.lit(None) if value is None else F.when(n > 0, value)
     return F.when(
         applies,
         F.struct(
@@ -43,8 +45,8 @@ def part(
             F.lit(seconds * 1_000_000).cast("bigint").alias("w_us"),
             entity.cast("string").alias("entity"),
             us.alias("us"),
-            (F.lit(None) if value is None else value).cast("string").alias("value"),
-            (F.lit(n) if isinstance(n, int) else n).cast("bigint").alias("n"),
+            value.cast("string").alias("value"),
+            n.alias("n"),
             (F.lit(amount) if isinstance(amount, int) else amount).cast("bigint").alias("amount"),
         ),
     )

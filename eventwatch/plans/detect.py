@@ -72,30 +72,37 @@ def _as_detections(df: DataFrame, rules: list[Rule], p: RuleParams) -> DataFrame
     return made.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in DETECTION])
 
 
-def window_firings(events: DataFrame, rules: list[WindowRule], p: RuleParams) -> DataFrame:
+def window_firings(
+    events: DataFrame, rules: list[WindowRule], p: RuleParams, only: Column | None = None
+) -> DataFrame:
     """Events that fire a window rule, with the measures and visible values at their time."""
     swept = sweep(contributions(events, _parts(rules, p)), distinct=any(r.value for r in rules))
     fires = _per_rule(rules, lambda r: F.col(r.measure) >= F.lit(r.threshold(p)))
     fired = firing_members(swept, F.coalesce(fires, F.lit(False)), {r.rule_id: r.members for r in rules})
-    mine = contributions(events, _parts(rules, p), EVENT_FIELDS).drop("w_us", "value", "n", "amount")
+    wanted = events if only is None else events.filter(only)
+    mine = contributions(wanted, _parts(rules, p), EVENT_FIELDS).drop("w_us", "value", "n", "amount")
     return mine.join(fired, ["rule_id", "entity", "us"])
 
 
 def detect(
     events: DataFrame, params: RuleParams | None = None, enabled: Iterable[str] | None = None,
-    disabled: Iterable[str] = (),
+    disabled: Iterable[str] = (), only: Column | None = None,
 ) -> DataFrame:
-    """All firings of the enabled rules as DETECTION rows."""
+    """All firings of the enabled rules as DETECTION rows.
+
+    With `only`, firings of those events alone; the other events still count in the windows.
+    """
     p = params or RuleParams()
     rules = enabled_rules(enabled, disabled)
     windowed = [r for r in rules if r in WINDOW_RULES]
     patterned = [r for r in rules if r in PATTERN_RULES]
     out: list[DataFrame] = []
     if windowed:
-        out.append(_as_detections(window_firings(events, windowed, p), windowed, p))
+        out.append(_as_detections(window_firings(events, windowed, p, only), windowed, p))
     if patterned:
         ids = F.array(*[F.when(r.applies(p), F.lit(r.rule_id)) for r in patterned])
-        hit = events.withColumn("rule_id", F.explode(F.array_compact(ids)))
+        asked = events if only is None else events.filter(only)
+        hit = asked.withColumn("rule_id", F.explode(F.array_compact(ids)))
         out.append(_as_detections(hit, patterned, p))
     if not out:
         return events.sparkSession.createDataFrame([], DETECTION)
