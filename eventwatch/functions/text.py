@@ -44,6 +44,29 @@ def fixed(col: Column, digits: int) -> Column:
     return F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
+def exact_round(col: Column, digits: int) -> Column:
+    """Round a double by its exact binary value, ties to even (0.575 is below the tie, 0.665 above).
+
+    Spark's own round works on the shortest decimal text of the value, which moves such cases. A
+    value equal to the double nearest a tie is judged by the sign of that double's error, found
+    with an exact product of its two halves.
+    """
+    x = col.cast("double")
+    scale = float(10 ** digits)
+    size = F.abs(x)
+    low = F.floor(size * scale)
+    # the product may itself have rounded up to the next integer
+    low = F.when(low / scale > size, low - 1).otherwise(low)
+    odd = low * 2 + 1
+    edge = odd / (2 * scale)
+    spread = edge * 134217729.0
+    high = spread - (spread - edge)
+    error = (high * (2 * scale) - odd) + (edge - high) * (2 * scale)
+    up = (size > edge) | ((size == edge) & ((error > 0) | ((error == 0) & (low % 2 == 1))))
+    out = (low + F.when(up, 1).otherwise(0)) / scale
+    return F.when(x < 0, -out).otherwise(out)
+
+
 def human_bytes(n: Column) -> Column:
     """Byte count with one decimal in the largest unit that keeps it under 1024."""
     n = n.cast("double")

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import fixed
+from ..functions.text import exact_round, fixed
 from ..schema import DETECTION
 
 ALPHA = 0.3
@@ -59,7 +59,7 @@ def ewma_steps(
 
 def _squashed(z: Column, z_threshold: float) -> Column:
     over = F.abs(z) - z_threshold
-    return F.round(F.least(F.lit(1.0), 0.5 + 0.5 * (1 - F.exp(-(over * over) / 8.0))), 3)
+    return exact_round(F.least(F.lit(1.0), 0.5 + 0.5 * (1 - F.exp(-(over * over) / 8.0))), 3)
 
 
 def ewma_anomalies(
@@ -71,8 +71,8 @@ def ewma_anomalies(
     z, std = F.col("z"), F.sqrt("var")
     hit = s.filter((F.col("n") >= min_samples) & (F.abs(z) >= z_threshold))
     return hit.select(
-        key, ts, F.round(value, 3).alias("value"), F.round("mean", 3).alias("baseline_mean"),
-        F.round(std, 3).alias("baseline_std"), F.round(z, 2).alias("z_score"),
+        key, ts, exact_round(F.col(value), 3).alias("value"), exact_round(F.col("mean"), 3).alias("baseline_mean"),
+        exact_round(std, 3).alias("baseline_std"), exact_round(z, 2).alias("z_score"),
         _squashed(z, z_threshold).alias("anomaly_score"),
         F.concat(
             F.col(key), F.lit(" = "), fixed(F.col(value), 1), F.lit(" is "), fixed(F.abs(z), 1), F.lit("σ "),
@@ -91,7 +91,7 @@ def baselines(steps: DataFrame, key: str = "metric", ts: str = "minute", min_sam
     )
     samples = F.col("n") + 1
     return end.select(
-        key, F.round("mean", 2).alias("mean"), F.round(F.sqrt("var"), 2).alias("std"),
+        key, exact_round(F.col("mean"), 2).alias("mean"), exact_round(F.sqrt("var"), 2).alias("std"),
         samples.alias("samples"), (samples >= min_samples).alias("ready"),
     )
 
@@ -123,7 +123,7 @@ def anomaly_detections(anomalies: DataFrame, key: str = "metric", ts: str = "min
         "title": F.concat(F.lit("Statistical anomaly: "), c(key)),
         "description": c("anomaly_reason"),
         "severity": F.when(score < 0.85, "medium").otherwise("high"),
-        "confidence": F.round(F.least(F.lit(0.95), score), 2),
+        "confidence": exact_round(F.least(F.lit(0.95), score), 2),
         "correlation_key": F.concat(F.lit("anomaly:"), c(key), F.lit(":"), _iso_minute(c(ts))),
         "recommended_action": F.lit(
             "Review what changed in the environment during this minute. Correlate with rule-based "
@@ -150,6 +150,6 @@ def anomaly_listing(alerts: DataFrame, limit: int = 30) -> DataFrame:
         "alert_id", "rule_id", F.element_at("metadata", "metric").alias("metric"),
         now.alias("current_value"), base.alias("baseline_mean"), number("baseline_std").alias("baseline_std"),
         number("z_score").alias("z_score"),
-        F.when(base > 0, F.round((now - base) / base * 100, 1)).alias("deviation_pct"),
+        F.when(base > 0, exact_round((now - base) / base * 100, 1)).alias("deviation_pct"),
         "severity", "confidence", "anomaly_score", "status", "first_seen", "last_seen", "description", "source_ip",
     )

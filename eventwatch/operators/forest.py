@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import fixed
+from ..functions.text import exact_round, fixed
 from .anomaly import _iso_minute, standalone
 from .correlate import carried_sum
 from .rollup import METRICS
@@ -123,7 +123,7 @@ def forest_detections(scored: DataFrame, columns: list[str] = METRICS, ts: str =
             F.lit("Isolation Forest flagged this minute as an outlier; largest contributors: "), F.array_join(top, ", ")
         ),
         "severity": F.lit("medium"),
-        "confidence": F.round(F.least(F.lit(0.9), F.col("score")), 2),
+        "confidence": exact_round(F.least(F.lit(0.9), F.col("score")), 2),
         "correlation_key": F.concat(F.lit("ml:"), _iso_minute(F.col(ts))),
         "recommended_action": F.lit(
             "Demo/research model. Treat as a hint to inspect this minute's traffic mix; confirm with "

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.text import exact_round
 from .aggregates import bucket
 
 # The six figures, in the order every consumer uses.
@@ -25,7 +26,7 @@ def traffic_rollup(events: DataFrame, seconds: int = 60) -> DataFrame:
         F.count(F.lit(1)).cast("double").alias("events_per_min"),
         F.count_if(kind == "authentication_failure").cast("double").alias("auth_failures_per_min"),
         F.count_distinct("source_ip").cast("double").alias("unique_source_ips"),
-        F.bround(mib, 3).alias("outbound_mib_per_min"),
+        exact_round(mib, 3).alias("outbound_mib_per_min"),
         F.count_if(kind == "db_error").cast("double").alias("db_errors_per_min"),
         F.count_if(kind == "firewall_deny").cast("double").alias("firewall_denies_per_min"),
     )

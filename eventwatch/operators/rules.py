@@ -11,7 +11,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.text import filled, fixed, human_bytes, lookup, or_none, sentence
+from ..functions.text import exact_round, filled, fixed, human_bytes, lookup, or_none, sentence
 from ..schema import micros
 
 
@@ -195,7 +195,7 @@ def _exfiltration(p: RuleParams) -> dict[str, Column]:
             F.lit(f" within {p.exfil_seconds}s (threshold "), human_bytes(F.lit(p.bytes_threshold)), F.lit(")."),
         ),
         "severity": F.when(ratio >= 3, "high").otherwise("medium"),
-        "confidence": F.round(F.least(F.lit(0.95), 0.5 + 0.1 * ratio), 2),
+        "confidence": exact_round(F.least(F.lit(0.95), 0.5 + 0.1 * ratio), 2),
         "correlation_key": F.concat(F.lit("srcip:"), c("source_ip"), F.lit(":exfil")),
         "affected_host": c("source"),
         "summary": F.concat(
@@ -402,7 +402,7 @@ def _privesc(p: RuleParams) -> dict[str, Column]:
             F.lit(". "), sentence(reasons), F.lit("."),
         ),
         "severity": F.lit("high"),
-        "confidence": F.round(F.least(F.lit(0.95), score), 2),
+        "confidence": exact_round(F.least(F.lit(0.95), score), 2),
         "correlation_key": F.concat(F.lit("host:"), c("source"), F.lit(":user:"), user, F.lit(":privesc")),
         "affected_host": c("source"),
         "summary": F.concat(
@@ -455,7 +455,7 @@ def _sql(p: RuleParams) -> dict[str, Column]:
             F.lit(". Query (truncated): "), F.substring(sql_text(), 1, 200),
         ),
         "severity": F.when(score >= 0.85, "high").otherwise("medium"),
-        "confidence": F.round(F.least(F.lit(0.96), score), 2),
+        "confidence": exact_round(F.least(F.lit(0.96), score), 2),
         "correlation_key": F.concat(
             F.lit("db:"), c("source"), F.lit(":user:"), or_none(F.coalesce(user, c("source_ip"))), F.lit(":sqli"),
         ),

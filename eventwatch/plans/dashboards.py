@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.enrich import enrich
+from ..functions.text import exact_round
 from ..operators import aggregates as agg
 from ..schema import SEVERITIES, is_active
 
@@ -28,7 +29,7 @@ def dashboard_kpis(events: DataFrame, alerts: DataFrame, as_of: datetime) -> Dat
     )
 
     def ratio(top: str, bottom: str, digits: int) -> Column:
-        return F.when(F.col(bottom) > 0, F.round(F.col(top) / F.col(bottom), digits)).otherwise(0.0)
+        return F.when(F.col(bottom) > 0, exact_round(F.col(top) / F.col(bottom), digits)).otherwise(0.0)
 
     return seen.join(F.broadcast(state)).withColumns({
         # all alerts over the last day's events, as defined by the dashboard

@@ -60,6 +60,11 @@ def steps(top: float, base: float, step: float, extra: float = 0.0, n: int = 60)
     return sql_list([round(min(top, min(top, base + step * i) + extra), 2) for i in range(n)])
 
 
+def rnd(x: str, digits: int) -> str:
+    """Correctly rounded decimal of the binary value."""
+    return f"CAST(format('{{:.{digits}f}}', CAST({x} AS DOUBLE)) AS DOUBLE)"
+
+
 def pick(lst: str, excess: str, n: int = 60) -> str:
     return f"({lst})[least({excess}, {n - 1}) + 1]"
 
@@ -147,13 +152,13 @@ def rule_004() -> str:
     text = f"""array_to_string(list_filter([
     CASE WHEN {low} THEN 'actor ''' || username || ''' is not a known privileged account' END,
     CASE WHEN {off} THEN 'action occurred outside business hours' END,
-    'host reported an explicit privilege-escalation event'], x -> x IS NOT NULL), '@@')"""
+    'host reported an explicit privilege-escalation event'], lambda x: x IS NOT NULL), '@@')"""
     return f"""
 SELECT event_id, 'RULE-004' AS rule_id, us, 'Privilege escalation by ' || username || ' on ' || source AS title,
   'User ''' || username || ''' performed administrative action ''' || action || ''' on ' || source || '. ' ||
   upper(why[1]) || lower(replace(why[2:], '@@', '; ')) || '.' AS description,
   'high' AS severity,
-  CAST(round(least(0.95, 0.6 + CASE WHEN {low} THEN 0.35 ELSE 0 END + CASE WHEN {off} THEN 0.15 ELSE 0 END), 2) AS DOUBLE) AS confidence,
+  {rnd(f'least(0.95, CAST(0.4 AS DOUBLE) + CASE WHEN {low} THEN CAST(0.35 AS DOUBLE) ELSE 0 END + CASE WHEN {off} THEN CAST(0.15 AS DOUBLE) ELSE 0 END + CAST(0.2 AS DOUBLE))', 2)} AS confidence,
   'host:' || source || ':user:' || username || ':privesc' AS correlation_key, source_ip, source AS affected_host,
   username || '@' || source || ': ' || action AS summary, [username] AS users, [source] AS hosts,
   CAST(1 AS BIGINT) AS hint,
@@ -182,13 +187,13 @@ def rule_005() -> str:
 SELECT event_id, 'RULE-005' AS rule_id, us, 'Suspicious SQL from ' || username AS title,
   'Query on ' || source || ' matched: ' || array_to_string(hits, ', ') || '. Query (truncated): ' || query[1:200] AS description,
   CASE WHEN score >= 0.85 THEN 'high' ELSE 'medium' END AS severity,
-  CAST(round(least(0.96, score), 2) AS DOUBLE) AS confidence,
+  {rnd('least(0.96, score)', 2)} AS confidence,
   'db:' || source || ':user:' || username || ':sqli' AS correlation_key, source_ip, source AS affected_host,
   username || ' @ ' || source || ': ' || query[1:120] AS summary, [username] AS users, [source] AS hosts,
   CAST(1 AS BIGINT) AS hint,
   'patterns=["' || array_to_string(hits, '","') || '"];rows_returned=' || rows_returned AS meta
 FROM (
-  SELECT *, list_filter([{hits}, CASE WHEN {big} THEN 'large result set (' || rows_returned || ' rows)' END], x -> x IS NOT NULL) AS hits,
+  SELECT *, list_filter([{hits}, CASE WHEN {big} THEN 'large result set (' || rows_returned || ' rows)' END], lambda x: x IS NOT NULL) AS hits,
     CAST(greatest({score}, CASE WHEN {big} THEN 0.55 ELSE 0 END) AS DOUBLE) AS score
   FROM ev WHERE event_type = 'db_query'
 ) WHERE len(hits) > 0"""
@@ -201,7 +206,7 @@ SELECT event_id, 'RULE-006' AS rule_id, us, 'High outbound volume from ' || sour
   {human('total')} || ' transferred from ' || source_ip || ' to ' || destination_ip || ' within {s}s (threshold ' ||
   {human(f'CAST({t} AS BIGINT)')} || ').' AS description,
   CASE WHEN total / {float(t)} >= 3 THEN 'high' ELSE 'medium' END AS severity,
-  round(least(0.95, 0.5 + CAST(0.1 AS DOUBLE) * (CAST(total AS DOUBLE) / {t})), 2) AS confidence,
+  {rnd(f'least(0.95, 0.5 + CAST(0.1 AS DOUBLE) * (CAST(total AS DOUBLE) / {t}))', 2)} AS confidence,
   'srcip:' || source_ip || ':exfil' AS correlation_key, source_ip, source AS affected_host,
   {human('bytes_out')} || ' -> ' || destination_ip || ':' || destination_port AS summary, {NO_USERS} AS users,
   [destination_ip] AS hosts, CAST(1 AS BIGINT) AS hint,
@@ -263,7 +268,7 @@ closed AS (SELECT rule_id, correlation_key, episode FROM epi WHERE false)"""
 FOLD = """
 folded AS (
   SELECT rule_id, correlation_key, episode,
-    list_reduce(list(hint ORDER BY us, event_id), (c, h) -> greatest(c + 1, h)) AS event_count,
+    list_reduce(list(hint ORDER BY us, event_id), lambda c, h: greatest(c + 1, h)) AS event_count,
     max(confidence) AS confidence,
     list(severity ORDER BY list_position(['info', 'low', 'medium', 'high', 'critical'], severity) DESC, us, event_id)[1] AS severity,
     list(title ORDER BY list_position(['info', 'low', 'medium', 'high', 'critical'], severity) DESC, us, event_id)[1] AS title,

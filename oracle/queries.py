@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .base import (
-    ALERT_OUT, DET_OUT, DETS, EPISODES, FOLD, NO_EPISODES, RULE_SQL, TRIAGE, frame, with_alerts, with_events,
+    ALERT_OUT, DET_OUT, DETS, EPISODES, FOLD, NO_EPISODES, RULE_SQL, TRIAGE, frame, rnd, with_alerts, with_events,
 )
 
 SINCE = "epoch_us(TIMESTAMP '2024-01-15')"
@@ -26,7 +26,7 @@ def rollup(seconds: int) -> str:
 SELECT {bucket('us', seconds)} AS minute, CAST(count(*) AS DOUBLE) AS events_per_min,
   CAST(count(*) FILTER (WHERE event_type = 'authentication_failure') AS DOUBLE) AS auth_failures_per_min,
   CAST(count(DISTINCT source_ip) AS DOUBLE) AS unique_source_ips,
-  round_even(CAST(sum(bytes_out) AS DOUBLE) / 1048576, 3) AS outbound_mib_per_min,
+  {rnd('CAST(sum(bytes_out) AS DOUBLE) / 1048576', 3)} AS outbound_mib_per_min,
   CAST(count(*) FILTER (WHERE event_type = 'db_error') AS DOUBLE) AS db_errors_per_min,
   CAST(count(*) FILTER (WHERE event_type = 'firewall_deny') AS DOUBLE) AS firewall_denies_per_min
 FROM ev GROUP BY 1"""
@@ -54,9 +54,9 @@ walk AS (
   )
 ),
 anom AS (
-  SELECT metric, minute, round(value, 3) AS value, round(mean, 3) AS baseline_mean, round(sqrt(var), 3) AS baseline_std,
-    round(z, 2) AS z_score,
-    round(least(1.0, 0.5 + 0.5 * (1 - exp(-((abs(z) - 2.0) * (abs(z) - 2.0)) / 8.0))), 3) AS anomaly_score,
+  SELECT metric, minute, {rnd('value', 3)} AS value, {rnd('mean', 3)} AS baseline_mean, {rnd('sqrt(var)', 3)} AS baseline_std,
+    {rnd('z', 2)} AS z_score,
+    {rnd('least(1.0, 0.5 + 0.5 * (1 - exp(-((abs(z) - 2.0) * (abs(z) - 2.0)) / 8.0)))', 3)} AS anomaly_score,
     metric || ' = ' || format('{{:.1f}}', value) || ' is ' || format('{{:.1f}}', abs(z)) || 'σ ' ||
     CASE WHEN z > 0 THEN 'above' ELSE 'below' END || ' the rolling baseline of ' || format('{{:.1f}}', mean) ||
     ' ± ' || format('{{:.1f}}', sqrt(var)) || ' (n=' || (rn - 1) || ')' AS reason
@@ -246,8 +246,8 @@ ORACLES: dict[str, str] = {
     "catalogue_activity": with_alerts(CAT_ACTIVITY, CATALOGUE),
     "catalogue_totals": with_alerts("SELECT CAST(9 AS BIGINT) AS count, count(*) AS total_triggers FROM alerts"),
     "rule_lookup": with_alerts(f"SELECT * FROM ({CAT_ACTIVITY}) WHERE handle = 'PORT_SCAN'", CATALOGUE),
-    "dashboard_kpis": with_alerts(f"""SELECT e.*, a.*, CASE WHEN events_last_24h > 0 THEN round(total_alerts / events_last_24h, 5) ELSE 0 END AS detection_rate,
-        CAST(CASE WHEN total_alerts > 0 THEN round(false_positive_alerts / total_alerts, 3) ELSE 0 END AS DOUBLE) AS false_positive_rate
+    "dashboard_kpis": with_alerts(f"""SELECT e.*, a.*, CASE WHEN events_last_24h > 0 THEN {rnd('total_alerts / events_last_24h', 5)} ELSE 0 END AS detection_rate,
+        CAST(CASE WHEN total_alerts > 0 THEN {rnd('false_positive_alerts / total_alerts', 3)} ELSE 0 END AS DOUBLE) AS false_positive_rate
         FROM (SELECT count(*) FILTER (WHERE ing_us >= {AS_OF} - 3600000000) AS events_last_hour,
                 count(*) AS events_last_24h FROM ev WHERE ing_us >= {DAY_AGO}) e,
         (SELECT count(*) FILTER (WHERE status = 'open') AS active_alerts_total, """ + ", ".join(
@@ -263,17 +263,17 @@ ORACLES: dict[str, str] = {
         f"SELECT {bucket('us', 3600)} AS bucket, count(*) AS count FROM ev WHERE us >= {DAY_AGO} GROUP BY 1"),
     "ip_enrichment": with_events(enriched(IPS, "ip")),
     "ewma_steps": with_ewma("SELECT metric, minute, round(mean, 4) AS mean, round(z, 4) AS z, rn - 1 AS n FROM walk"),
-    "ewma_baseline": with_ewma("""SELECT metric, round(next_mean, 2) AS mean, round(sqrt(next_var), 2) AS std, rn AS samples,
+    "ewma_baseline": with_ewma(f"""SELECT metric, {rnd('next_mean', 2)} AS mean, {rnd('sqrt(next_var)', 2)} AS std, rn AS samples,
         rn >= 20 AS ready FROM walk QUALIFY row_number() OVER (PARTITION BY metric ORDER BY rn DESC) = 1"""),
-    "anomaly_alerts": with_ewma("""SELECT 'ANOM-001' AS rule_id, 'anomaly' AS detection_kind, 'Statistical anomaly: ' || metric AS title,
+    "anomaly_alerts": with_ewma(f"""SELECT 'ANOM-001' AS rule_id, 'anomaly' AS detection_kind, 'Statistical anomaly: ' || metric AS title,
         reason AS description, CASE WHEN anomaly_score < 0.85 THEN 'medium' ELSE 'high' END AS severity,
-        round(least(0.95, anomaly_score), 2) AS confidence,
+        {rnd('least(0.95, anomaly_score)', 2)} AS confidence,
         'anomaly:' || metric || ':' || strftime(make_timestamp(minute * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS correlation_key,
         anomaly_score, minute FROM anom"""),
-    "anomaly_listing": with_ewma("""SELECT 'ANOM-001' AS rule_id, metric, value AS current_value, baseline_mean, z_score,
-        CASE WHEN baseline_mean > 0 THEN round((value - baseline_mean) / baseline_mean * 100, 1) END AS deviation_pct,
+    "anomaly_listing": with_ewma(f"""SELECT 'ANOM-001' AS rule_id, metric, value AS current_value, baseline_mean, z_score,
+        CASE WHEN baseline_mean > 0 THEN {rnd('(value - baseline_mean) / baseline_mean * 100', 1)} END AS deviation_pct,
         CASE WHEN anomaly_score < 0.85 THEN 'medium' ELSE 'high' END AS severity,
-        round(least(0.95, anomaly_score), 2) AS confidence, anomaly_score, 'open' AS status, minute
+        {rnd('least(0.95, anomaly_score)', 2)} AS confidence, anomaly_score, 'open' AS status, minute
         FROM anom ORDER BY minute DESC, md5('ANOM-001|' || 'anomaly:' || metric || ':' ||
           strftime(make_timestamp(minute * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') || '|' || 'anomaly:' || metric || ':' ||
           strftime(make_timestamp(minute * 1000000), '%Y-%m-%dT%H:%M:%S+00:00')) LIMIT 30"""),
