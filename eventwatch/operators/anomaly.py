@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import exact_round, fixed
+from ..functions.text import exact_round, fixed1
 from ..schema import DETECTION
 
 ALPHA = 0.3
@@ -57,27 +57,25 @@ def ewma_steps(
     return ordered.mapInPandas(walk, schema)
 
 
-def _squashed(z: Column, z_threshold: float) -> Column:
-    over = F.abs(z) - z_threshold
-    return exact_round(F.least(F.lit(1.0), 0.5 + 0.5 * (1 - F.exp(-(over * over) / 8.0))), 3)
-
-
 def ewma_anomalies(
     series: DataFrame, key: str = "metric", ts: str = "minute", value: str = "value",
     alpha: float = ALPHA, z_threshold: float = Z_THRESHOLD, min_samples: int = MIN_SAMPLES,
 ) -> DataFrame:
     """Points that stray from a baseline of at least `min_samples` points, scored and explained."""
     s = ewma_steps(series, key, ts, value, alpha, z_threshold)
-    z, std = F.col("z"), F.sqrt("var")
-    hit = s.filter((F.col("n") >= min_samples) & (F.abs(z) >= z_threshold))
+    over = F.abs("z") - z_threshold
+    hit = s.filter((F.col("n") >= min_samples) & (F.abs("z") >= z_threshold)).select(
+        key, ts, F.col(value).alias("v"), "mean", F.sqrt("var").alias("std"), "z", F.abs("z").alias("size"), "n",
+        F.least(F.lit(1.0), 0.5 + 0.5 * (1 - F.exp(-(over * over) / 8.0))).alias("squashed"),
+    )
     return hit.select(
-        key, ts, exact_round(F.col(value), 3).alias("value"), exact_round(F.col("mean"), 3).alias("baseline_mean"),
-        exact_round(std, 3).alias("baseline_std"), exact_round(z, 2).alias("z_score"),
-        _squashed(z, z_threshold).alias("anomaly_score"),
+        key, ts, exact_round("v", 3).alias("value"), exact_round("mean", 3).alias("baseline_mean"),
+        exact_round("std", 3).alias("baseline_std"), exact_round("z", 2).alias("z_score"),
+        exact_round("squashed", 3).alias("anomaly_score"),
         F.concat(
-            F.col(key), F.lit(" = "), fixed(F.col(value), 1), F.lit(" is "), fixed(F.abs(z), 1), F.lit("σ "),
-            F.when(z > 0, "above").otherwise("below"), F.lit(" the rolling baseline of "),
-            fixed(F.col("mean"), 1), F.lit(" ± "), fixed(std, 1), F.lit(" (n="), F.col("n").cast("string"), F.lit(")"),
+            F.col(key), F.lit(" = "), fixed1("v"), F.lit(" is "), fixed1("size"), F.lit("σ "),
+            F.when(F.col("z") > 0, "above").otherwise("below"), F.lit(" the rolling baseline of "),
+            fixed1("mean"), F.lit(" ± "), fixed1("std"), F.lit(" (n="), F.col("n").cast("string"), F.lit(")"),
         ).alias("anomaly_reason"),
         F.col("n").alias("samples"),
     )
@@ -86,12 +84,12 @@ def ewma_anomalies(
 def baselines(steps: DataFrame, key: str = "metric", ts: str = "minute", min_samples: int = MIN_SAMPLES) -> DataFrame:
     """Current baseline of each series."""
     end = steps.groupBy(key).agg(
-        F.max_by("next_mean", ts).alias("mean"), F.max_by("next_var", ts).alias("var"),
+        F.max_by("next_mean", ts).alias("mean"), F.sqrt(F.max_by("next_var", ts)).alias("std"),
         F.max("n").alias("n"),
     )
     samples = F.col("n") + 1
     return end.select(
-        key, exact_round(F.col("mean"), 2).alias("mean"), exact_round(F.sqrt("var"), 2).alias("std"),
+        key, exact_round("mean", 2).alias("mean"), exact_round("std", 2).alias("std"),
         samples.alias("samples"), (samples >= min_samples).alias("ready"),
     )
 
@@ -116,6 +114,7 @@ def anomaly_detections(anomalies: DataFrame, key: str = "metric", ts: str = "min
     """Anomalies as ANOM-001 detections."""
     c = F.col
     score = c("anomaly_score")
+    anomalies = anomalies.withColumn("confidence", F.least(F.lit(0.95), score))
     pairs = [x for name in (key, "value", "baseline_mean", "baseline_std", "z_score")
              for x in (F.lit("metric" if name == key else name), c(name).cast("string"))]
     return standalone(anomalies, {
@@ -123,7 +122,7 @@ def anomaly_detections(anomalies: DataFrame, key: str = "metric", ts: str = "min
         "title": F.concat(F.lit("Statistical anomaly: "), c(key)),
         "description": c("anomaly_reason"),
         "severity": F.when(score < 0.85, "medium").otherwise("high"),
-        "confidence": exact_round(F.least(F.lit(0.95), score), 2),
+        "confidence": exact_round("confidence", 2),
         "correlation_key": F.concat(F.lit("anomaly:"), c(key), F.lit(":"), _iso_minute(c(ts))),
         "recommended_action": F.lit(
             "Review what changed in the environment during this minute. Correlate with rule-based "
@@ -146,10 +145,11 @@ def anomaly_listing(alerts: DataFrame, limit: int = 30) -> DataFrame:
         return F.coalesce(F.element_at("metadata", name).try_cast("double"), F.lit(0.0))
 
     now, base = number("value"), number("baseline_mean")
+    both = both.withColumn("deviation", F.when(base > 0, (now - base) / base * 100))
     return both.select(
         "alert_id", "rule_id", F.element_at("metadata", "metric").alias("metric"),
         now.alias("current_value"), base.alias("baseline_mean"), number("baseline_std").alias("baseline_std"),
         number("z_score").alias("z_score"),
-        F.when(base > 0, exact_round((now - base) / base * 100, 1)).alias("deviation_pct"),
+        exact_round("deviation", 1).alias("deviation_pct"),
         "severity", "confidence", "anomaly_score", "status", "first_seen", "last_seen", "description", "source_ip",
     )

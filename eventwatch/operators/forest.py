@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import exact_round, fixed
+from ..functions.text import exact_round
 from .anomaly import _iso_minute, standalone
 from .correlate import carried_sum
 from .rollup import METRICS
@@ -113,8 +113,9 @@ def forest_detections(scored: DataFrame, columns: list[str] = METRICS, ts: str =
     """Outliers as ML-001 detections; names the three largest features."""
     pairs = F.array(*[F.struct((-F.col(c)).alias("v"), F.lit(c).alias("k")) for c in columns])
     top = F.transform(
-        F.slice(F.array_sort(pairs), 1, 3), lambda s: F.concat(s["k"], F.lit("="), fixed(-s["v"], 1))
+        F.slice(F.array_sort(pairs), 1, 3), lambda s: F.concat(s["k"], F.lit("="), F.format_string("%.1f", -s["v"]))
     )
+    scored = scored.withColumn("confidence", F.least(F.lit(0.9), F.col("score")))
     features = F.to_json(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c))]))
     return standalone(scored.filter("is_anomaly"), {
         "rule_id": F.lit("ML-001"),
@@ -123,7 +124,7 @@ def forest_detections(scored: DataFrame, columns: list[str] = METRICS, ts: str =
             F.lit("Isolation Forest flagged this minute as an outlier; largest contributors: "), F.array_join(top, ", ")
         ),
         "severity": F.lit("medium"),
-        "confidence": exact_round(F.least(F.lit(0.9), F.col("score")), 2),
+        "confidence": exact_round("confidence", 2),
         "correlation_key": F.concat(F.lit("ml:"), _iso_minute(F.col(ts))),
         "recommended_action": F.lit(
             "Demo/research model. Treat as a hint to inspect this minute's traffic mix; confirm with "

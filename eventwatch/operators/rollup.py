@@ -21,15 +21,15 @@ def traffic_rollup(events: DataFrame, seconds: int = 60) -> DataFrame:
     at the reducers as a few rows per task.
     """
     kind = F.col("event_type")
-    mib = F.sum("bytes_out") / F.lit(1024 * 1024)
-    return events.groupBy(bucket(F.col("timestamp"), seconds).alias("minute")).agg(
+    raw = events.groupBy(bucket(F.col("timestamp"), seconds).alias("minute")).agg(
         F.count(F.lit(1)).cast("double").alias("events_per_min"),
         F.count_if(kind == "authentication_failure").cast("double").alias("auth_failures_per_min"),
         F.count_distinct("source_ip").cast("double").alias("unique_source_ips"),
-        exact_round(mib, 3).alias("outbound_mib_per_min"),
+        (F.sum("bytes_out") / F.lit(1024 * 1024)).alias("outbound_mib_per_min"),
         F.count_if(kind == "db_error").cast("double").alias("db_errors_per_min"),
         F.count_if(kind == "firewall_deny").cast("double").alias("firewall_denies_per_min"),
     )
+    return raw.withColumn("outbound_mib_per_min", exact_round("outbound_mib_per_min", 3))
 
 
 def long_form(rollup: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.text import exact_round, filled, fixed, human_bytes, lookup, or_none, sentence
+from ..functions.text import filled, fixed0, fixed1, human_bytes, lookup, or_none, sentence
 from ..schema import micros
 
 
@@ -83,10 +83,6 @@ def _texts(*values: Column) -> Column:
     return F.array_compact(F.array(*values))
 
 
-def _span_seconds() -> Column:
-    return (c("us") - c("oldest")) / 1e6
-
-
 def _meta(**items: Column) -> Column:
     pairs = [x for k, v in items.items() for x in (F.lit(k), v.cast("string"))]
     return F.create_map(*pairs)
@@ -113,7 +109,7 @@ def _brute_force(p: RuleParams) -> dict[str, Column]:
         "title": F.concat(F.lit("Brute-force login activity from "), c("source_ip")),
         "description": F.concat(
             c("count").cast("string"), F.lit(" failed authentication attempts from "), c("source_ip"),
-            F.lit(" within "), fixed(_span_seconds(), 0),
+            F.lit(" within "), fixed0(c("span")),
             F.lit(f"s (threshold {p.max_failures}/{p.bruteforce_seconds}s), targeting "),
             c("n_distinct").cast("string"), F.lit(" distinct account(s)."),
             F.when(breached, " A subsequent successful login was observed.").otherwise(""),
@@ -129,7 +125,7 @@ def _brute_force(p: RuleParams) -> dict[str, Column]:
         "event_count_hint": c("count"),
         "metadata": _meta(
             window_seconds=F.lit(p.bruteforce_seconds),
-            span_seconds=fixed(_span_seconds(), 1),
+            span_seconds=fixed1("span"),
             account_breached=breached,
             status=c("status"),
         ),
@@ -141,7 +137,7 @@ def _spray(p: RuleParams) -> dict[str, Column]:
         "title": F.concat(F.lit("Password spraying from "), c("source_ip")),
         "description": F.concat(
             c("source_ip"), F.lit(" attempted authentication against "), c("n_distinct").cast("string"),
-            F.lit(" distinct usernames in "), fixed(_span_seconds(), 0), F.lit("s ("),
+            F.lit(" distinct usernames in "), fixed0(c("span")), F.lit("s ("),
             c("count").cast("string"),
             F.lit(" attempts total), a low-and-slow pattern consistent with password spraying."),
         ),
@@ -158,13 +154,12 @@ def _spray(p: RuleParams) -> dict[str, Column]:
 
 
 def _port_scan(p: RuleParams) -> dict[str, Column]:
-    rate = c("n_distinct") / F.greatest(_span_seconds(), F.lit(1.0))
     return {
         "title": F.concat(F.lit("Port scan from "), c("source_ip")),
         "description": F.concat(
             c("source_ip"), F.lit(" contacted "), c("n_distinct").cast("string"),
-            F.lit(" unique destination ports in "), fixed(_span_seconds(), 0), F.lit("s (~"),
-            fixed(rate, 1), F.lit(f" ports/s, threshold {p.unique_ports}/{p.portscan_seconds}s)."),
+            F.lit(" unique destination ports in "), fixed0(c("span")), F.lit("s (~"),
+            fixed1("rate"), F.lit(f" ports/s, threshold {p.unique_ports}/{p.portscan_seconds}s)."),
         ),
         "severity": F.lit("high"),
         "confidence": lookup(_steps(0.98, 0.6, 0.015), c("n_distinct") - p.unique_ports),
@@ -190,16 +185,16 @@ def _exfiltration(p: RuleParams) -> dict[str, Column]:
     return {
         "title": F.concat(F.lit("High outbound volume from "), c("source_ip")),
         "description": F.concat(
-            human_bytes(c("amount")), F.lit(" transferred from "), c("source_ip"), F.lit(" to "),
+            human_bytes("amount"), F.lit(" transferred from "), c("source_ip"), F.lit(" to "),
             F.coalesce(filled(c("destination_ip")), F.lit("multiple destinations")),
-            F.lit(f" within {p.exfil_seconds}s (threshold "), human_bytes(F.lit(p.bytes_threshold)), F.lit(")."),
+            F.lit(f" within {p.exfil_seconds}s (threshold "), human_bytes(f"{p.bytes_threshold}L"), F.lit(")."),
         ),
         "severity": F.when(ratio >= 3, "high").otherwise("medium"),
-        "confidence": exact_round(F.least(F.lit(0.95), 0.5 + 0.1 * ratio), 2),
+        "confidence": F.round(F.least(F.lit(0.95), 0.5 + 0.1 * ratio), 2),
         "correlation_key": F.concat(F.lit("srcip:"), c("source_ip"), F.lit(":exfil")),
         "affected_host": c("source"),
         "summary": F.concat(
-            human_bytes(c("bytes_out")), F.lit(" -> "), or_none(c("destination_ip")), F.lit(":"),
+            human_bytes("bytes_out"), F.lit(" -> "), or_none(c("destination_ip")), F.lit(":"),
             or_none(c("destination_port")),
         ),
         "involved_users": F.array().cast("array<string>"),
@@ -217,7 +212,7 @@ def _auth_anomaly(p: RuleParams) -> dict[str, Column]:
         "description": F.concat(
             F.lit("Account '"), c("username"), F.lit("' authenticated *successfully* from "),
             c("n_distinct").cast("string"), F.lit(" distinct source IPs within "),
-            fixed(_span_seconds(), 0), F.lit("s (latest from "), c("source_ip"),
+            fixed0(c("span")), F.lit("s (latest from "), c("source_ip"),
             F.lit(") — possible session hijack or shared/compromised credentials."),
         ),
         "severity": F.when(c("n_distinct") >= p.distinct_ips + 2, "high").otherwise("medium"),
@@ -387,9 +382,15 @@ def _privesc(p: RuleParams) -> dict[str, Column]:
         F.when(x["explicit"], F.lit("host reported an explicit privilege-escalation event")),
         F.when(x["failed"], F.lit("the escalation attempt failed")),
     )
-    score = F.lit(0.4)
-    for flag, weight in (("low", 0.35), ("off", 0.15), ("explicit", 0.2), ("failed", 0.05)):
-        score = score + F.when(x[flag], weight).otherwise(0.0)
+    # one confidence per combination of the four signs
+    flags = [("low", 0.35), ("off", 0.15), ("explicit", 0.2), ("failed", 0.05)]
+    combination = F.lit(0)
+    for bit, (flag, _) in enumerate(flags):
+        combination = combination + F.when(x[flag], 1 << bit).otherwise(0)
+    scores = [
+        round(min(0.95, sum((w for b, (_, w) in enumerate(flags) if n >> b & 1), 0.4)), 2)
+        for n in range(1 << len(flags))
+    ]
     lowered = F.lower(x["raw"])
     return {
         "title": F.concat(
@@ -402,7 +403,7 @@ def _privesc(p: RuleParams) -> dict[str, Column]:
             F.lit(". "), sentence(reasons), F.lit("."),
         ),
         "severity": F.lit("high"),
-        "confidence": exact_round(F.least(F.lit(0.95), score), 2),
+        "confidence": lookup(scores, combination),
         "correlation_key": F.concat(F.lit("host:"), c("source"), F.lit(":user:"), user, F.lit(":privesc")),
         "affected_host": c("source"),
         "summary": F.concat(
@@ -455,7 +456,7 @@ def _sql(p: RuleParams) -> dict[str, Column]:
             F.lit(". Query (truncated): "), F.substring(sql_text(), 1, 200),
         ),
         "severity": F.when(score >= 0.85, "high").otherwise("medium"),
-        "confidence": exact_round(F.least(F.lit(0.96), score), 2),
+        "confidence": score,
         "correlation_key": F.concat(
             F.lit("db:"), c("source"), F.lit(":user:"), or_none(F.coalesce(user, c("source_ip"))), F.lit(":sqli"),
         ),

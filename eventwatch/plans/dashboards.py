@@ -28,13 +28,16 @@ def dashboard_kpis(events: DataFrame, alerts: DataFrame, as_of: datetime) -> Dat
         F.count(F.lit(1)).alias("total_alerts"),
     )
 
-    def ratio(top: str, bottom: str, digits: int) -> Column:
-        return F.when(F.col(bottom) > 0, exact_round(F.col(top) / F.col(bottom), digits)).otherwise(0.0)
+    def ratio(top: str, bottom: str) -> Column:
+        return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(0.0)
 
     return seen.join(F.broadcast(state)).withColumns({
         # all alerts over the last day's events, as defined by the dashboard
-        "detection_rate": ratio("total_alerts", "events_last_24h", 5),
-        "false_positive_rate": ratio("false_positive_alerts", "total_alerts", 3),
+        "detection_rate": ratio("total_alerts", "events_last_24h"),
+        "false_positive_rate": ratio("false_positive_alerts", "total_alerts"),
+    }).withColumns({
+        "detection_rate": exact_round("detection_rate", 5),
+        "false_positive_rate": exact_round("false_positive_rate", 3),
     })
 
 

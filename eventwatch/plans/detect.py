@@ -81,7 +81,9 @@ def window_firings(
     fired = firing_members(swept, F.coalesce(fires, F.lit(False)), {r.rule_id: r.members for r in rules})
     wanted = events if only is None else events.filter(only)
     mine = contributions(wanted, _parts(rules, p), EVENT_FIELDS).drop("w_us", "value", "n", "amount")
-    return mine.join(fired, ["rule_id", "entity", "us"])
+    span = (F.col("us") - F.col("oldest")) / 1e6
+    timed = fired.withColumn("span", span).withColumn("rate", F.col("n_distinct") / F.greatest(span, F.lit(1.0)))
+    return mine.join(timed, ["rule_id", "entity", "us"])
 
 
 def detect(
