@@ -21,26 +21,30 @@ SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85   　"
 ENTRIES = "array<struct<key:string,value:string>>"
 
 
+def _dashed(hexes: Column) -> Column:
+    return F.regexp_replace(hexes, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
+def _name_hex(text: Column) -> Column:
+    """Version-5 UUID of `text` in the URL name space, without dashes."""
+
+    def marked(h: Column) -> Column:
+        variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+        return F.concat(F.substring(h, 1, 12), F.lit("5"), F.substring(h, 14, 3), variant, F.substring(h, 18, 15))
+
+    return bind(F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.encode(text, "UTF-8"))), marked)
+
+
 def name_uuid(text: Column) -> Column:
-    """Version-5 UUID of `text` in the URL name space."""
-    h = F.substring(F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.encode(text, "UTF-8"))), 1, 32)
-    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("bigint") % 4 + 8))
-    return F.concat_ws(
-        "-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)),
-        F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12),
-    )
+    return _dashed(_name_hex(text))
 
 
 def event_uuid(raw_id: Column, payload: Column) -> Column:
     """Canonical UUID, a name-based one for other ids, one of the payload when there is no id."""
     bare = F.regexp_replace(raw_id, "urn:|uuid:", "")
     hexes = F.lower(F.regexp_replace(F.btrim(bare, F.lit("{}")), "-", ""))
-    spans = [F.substring(hexes, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return (
-        F.when(F.coalesce(raw_id, F.lit("")) == "", name_uuid(payload))
-        .when(hexes.rlike("^[0-9a-f]{32}$"), F.concat_ws("-", *spans))
-        .otherwise(name_uuid(raw_id))
-    )
+    name = F.when(F.coalesce(raw_id, F.lit("")) == "", payload).otherwise(raw_id)
+    return _dashed(F.when(hexes.rlike("^[0-9a-f]{32}$"), hexes).otherwise(_name_hex(name)))
 
 
 DATE = r"^(\d{4})-?(\d{2})-?(\d{2})"
@@ -137,12 +141,15 @@ def normalize(raw: DataFrame, now: Column | None = None, text: str = "value") ->
     One narrow projection in both directions: nothing shuffles and bad rows never fail the job.
     """
     now = F.current_timestamp() if now is None else now
-    parsed = raw.select(F.col(text).alias("raw"), F.from_json(text, "map<string,string>").alias("m"))
+    # Exploding a one-element array computes the parse once: filters on the result cannot be
+    # pushed below it, which would repeat the parse for every mention.
+    parsed = raw.select(F.col(text).alias("raw")).select(
+        "raw", F.explode(F.array(F.from_json("raw", "map<string,string>"))).alias("m"))
 
     def field(name: str) -> Column:
         return F.element_at("m", name)
 
-    timed = parsed.withColumn("at", event_time(field("timestamp"), now))
+    timed = parsed.select("raw", "m", F.explode(F.array(event_time(field("timestamp"), now))).alias("at"))
     reason = (
         F.when(F.col("m").isNull(), "undecodable").when(F.col("at").isNull(), "timestamp")
     )

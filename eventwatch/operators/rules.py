@@ -54,8 +54,13 @@ class Rule:
 
 @dataclass(frozen=True)
 class WindowRule(Rule):
-    """A rule over what one entity did in the last `seconds(p)` seconds."""
+    """A rule over what one entity did in the last `seconds(p)` seconds.
 
+    `types` are the event types it reads and `applies` the further condition; `value` is what it
+    counts distinct, `contributes` marks events that add to the window rather than only read it.
+    """
+
+    types: tuple[str, ...] = ()
     applies: Callable[[], Column] = None
     entity: Callable[[], Column] = None
     seconds: Callable[[RuleParams], int] = None
@@ -243,7 +248,8 @@ BRUTE_FORCE = WindowRule(
     "firewall and force a credential reset for any account that authenticated successfully from it.",
     "Many failed logins from one source address in a short window.",
     params=lambda p: {"max_failures": p.max_failures, "window_seconds": p.bruteforce_seconds},
-    applies=lambda: c("event_type").isin(AUTH_FAILURE, AUTH_SUCCESS) & _has_ip(),
+    types=(AUTH_FAILURE, AUTH_SUCCESS),
+    applies=_has_ip,
     entity=lambda: c("source_ip"),
     seconds=lambda p: p.bruteforce_seconds,
     threshold=lambda p: p.max_failures,
@@ -258,7 +264,8 @@ SPRAY = WindowRule(
     "accounts targeted for weak-password exposure; enable MFA where missing.",
     "One source address failing to log in as many different users.",
     params=lambda p: {"unique_users": p.unique_users, "window_seconds": p.spray_seconds},
-    applies=lambda: (c("event_type") == AUTH_FAILURE) & _named(),
+    types=(AUTH_FAILURE,),
+    applies=_named,
     entity=lambda: c("source_ip"),
     seconds=lambda p: p.spray_seconds,
     threshold=lambda p: p.unique_users,
@@ -273,8 +280,8 @@ PORT_SCAN = WindowRule(
     "responded, and review exposure of the scanned ports.",
     "One source address contacting many destination ports.",
     params=lambda p: {"unique_ports": p.unique_ports, "window_seconds": p.portscan_seconds},
-    applies=lambda: c("event_type").isin("connection_attempt", "firewall_deny", "firewall_allow", "network_flow")
-    & _has_ip() & c("destination_port").isNotNull(),
+    types=("connection_attempt", "firewall_deny", "firewall_allow", "network_flow"),
+    applies=lambda: _has_ip() & c("destination_port").isNotNull(),
     entity=lambda: c("source_ip"),
     seconds=lambda p: p.portscan_seconds,
     threshold=lambda p: p.unique_ports,
@@ -289,8 +296,8 @@ EXFILTRATION = WindowRule(
     "capture the flow for analysis, and check for staging of archives on the source host.",
     "Outbound bytes between one source and destination above a threshold.",
     params=lambda p: {"bytes_threshold": p.bytes_threshold, "window_seconds": p.exfil_seconds},
-    applies=lambda: c("event_type").isin("network_flow", "firewall_allow", "http_request")
-    & (c("bytes_out") > 0) & filled(c("source_ip")).isNotNull(),
+    types=("network_flow", "firewall_allow", "http_request"),
+    applies=lambda: (c("bytes_out") > 0) & filled(c("source_ip")).isNotNull(),
     entity=lambda: F.concat(c("source_ip"), F.lit("->"), F.coalesce(filled(c("destination_ip")), F.lit("any"))),
     seconds=lambda p: p.exfil_seconds,
     threshold=lambda p: p.bytes_threshold,
@@ -304,7 +311,8 @@ AUTH_ANOMALY = WindowRule(
     "sessions, reset credentials, and review what the account accessed during the window.",
     "One account logging in successfully from many source addresses.",
     params=lambda p: {"distinct_ips": p.distinct_ips, "window_seconds": p.authgeo_seconds},
-    applies=lambda: c("event_type").isin(AUTH_SUCCESS, AUTH_FAILURE) & _named() & (c("status") == "success"),
+    types=(AUTH_SUCCESS, AUTH_FAILURE),
+    applies=lambda: _named() & (c("status") == "success"),
     entity=lambda: F.lower(c("username")),
     seconds=lambda p: p.authgeo_seconds,
     threshold=lambda p: p.distinct_ips,

@@ -68,15 +68,14 @@ def _sliced(parts: DataFrame) -> DataFrame:
 def _changes(sliced: DataFrame, distinct: bool) -> DataFrame:
     """Turn slice rows into the timed changes whose running sums are the measures."""
     adds = F.col("n") > 0
-    later = W.partitionBy(*KEYS).orderBy("us")
-    df = sliced
     end = F.col("us") + F.col("w_us")
+    # the wider window comes first: its shuffle also serves the one that adds `value`
+    df = sliced.withColumn("rest", F.expr(
+        "lead(if(n > 0, us, null)) ignore nulls over (partition by rule_id, entity, slice order by us)"
+    ))
     if distinct:
         same = W.partitionBy(*KEYS, "value").orderBy("us")
         df = df.withColumn("again", F.lead(F.when(adds, F.col("us"))).over(same))
-    df = df.withColumn("rest", F.expr(
-        "lead(if(n > 0, us, null)) ignore nulls over (partition by rule_id, entity, slice order by us)"
-    ))
 
     def change(t: Column, n: Column, amount: Column, d: Column | int, rest: Column, point: Column) -> Column:
         return F.struct(

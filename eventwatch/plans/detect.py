@@ -32,7 +32,7 @@ def enabled_rules(enabled: Iterable[str] | None = None, disabled: Iterable[str]
 def _parts(rules: list[WindowRule], p: RuleParams) -> list[Column]:
     return [
         part(
-            r.applies(), r.rule_id, r.seconds(p), r.entity(), event_micros(),
+            F.col("event_type").isin(*r.types) & r.applies(), r.rule_id, r.seconds(p), r.entity(), event_micros(),
             r.value() if r.value else None,
             F.when(r.contributes(), 1).otherwise(0) if r.contributes else 1,
             r.amount() if r.amount else 0,
@@ -76,11 +76,14 @@ def window_firings(
     events: DataFrame, rules: list[WindowRule], p: RuleParams, only: Column | None = None
 ) -> DataFrame:
     """Events that fire a window rule, with the measures and visible values at their time."""
-    swept = sweep(contributions(events, _parts(rules, p)), distinct=any(r.value for r in rules))
+    # reaches the scan, so other events are not read
+    events = events.filter(F.col("event_type").isin(sorted({t for r in rules for t in r.types})))
+    parts = _parts(rules, p)
+    swept = sweep(contributions(events, parts), distinct=any(r.value for r in rules))
     fires = _per_rule(rules, lambda r: F.col(r.measure) >= F.lit(r.threshold(p)))
     fired = firing_members(swept, F.coalesce(fires, F.lit(False)), {r.rule_id: r.members for r in rules})
     wanted = events if only is None else events.filter(only)
-    mine = contributions(wanted, _parts(rules, p), EVENT_FIELDS).drop("w_us", "value", "n", "amount")
+    mine = contributions(wanted, parts, EVENT_FIELDS).drop("w_us", "value", "n", "amount")
     span = (F.col("us") - F.col("oldest")) / 1e6
     timed = fired.withColumn("span", span).withColumn("rate", F.col("n_distinct") / F.greatest(span, F.lit(1.0)))
     return mine.join(timed, ["rule_id", "entity", "us"])
