@@ -29,7 +29,7 @@ def enabled_rules(enabled: Iterable[str] | None = None, disabled: Iterable[str]
     return [r for r in RULES if r.rule_id not in off and (keep is None or r.rule_id in keep)]
 
 
-def _parts(rules: list[WindowRule], p: RuleParams) -> list[Column]:
+def window_parts(rules: list[WindowRule], p: RuleParams) -> list[Column]:
     return [
         part(
             F.col("event_type").isin(*r.types) & r.applies(), r.rule_id, r.seconds(p), r.entity(), event_micros(),
@@ -49,7 +49,8 @@ def _per_rule(rules: list[Rule], pick) -> Column:
     return out
 
 
-def _as_detections(df: DataFrame, rules: list[Rule], p: RuleParams) -> DataFrame:
+def as_detections(df: DataFrame, rules: list[Rule], p: RuleParams) -> DataFrame:
+    """Events with `rule_id` and the measures their rule reads, as DETECTION rows."""
     reads = {r.rule_id: r.reads(p) for r in rules}
 
     def of(name: str) -> Column:
@@ -78,7 +79,7 @@ def window_firings(
     """Events that fire a window rule, with the measures and visible values at their time."""
     # reaches the scan, so other events are not read
     events = events.filter(F.col("event_type").isin(sorted({t for r in rules for t in r.types})))
-    parts = _parts(rules, p)
+    parts = window_parts(rules, p)
     swept = sweep(contributions(events, parts), distinct=any(r.value for r in rules))
     fires = _per_rule(rules, lambda r: F.col(r.measure) >= F.lit(r.threshold(p)))
     fired = firing_members(swept, F.coalesce(fires, F.lit(False)), {r.rule_id: r.members for r in rules})
@@ -103,12 +104,12 @@ def detect(
     patterned = [r for r in rules if r in PATTERN_RULES]
     out: list[DataFrame] = []
     if windowed:
-        out.append(_as_detections(window_firings(events, windowed, p, only), windowed, p))
+        out.append(as_detections(window_firings(events, windowed, p, only), windowed, p))
     if patterned:
         ids = F.array(*[F.when(r.applies(p), F.lit(r.rule_id)) for r in patterned])
         asked = events if only is None else events.filter(only)
         hit = asked.withColumn("rule_id", F.explode(F.array_compact(ids)))
-        out.append(_as_detections(hit, patterned, p))
+        out.append(as_detections(hit, patterned, p))
     if not out:
         return events.sparkSession.createDataFrame([], DETECTION)
     result = out[0]

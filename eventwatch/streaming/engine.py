@@ -7,6 +7,7 @@ rule state lives outside the event table and a restart needs only the checkpoint
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
@@ -20,6 +21,7 @@ from ..session import materialize
 from ..sources.tables import (
     append_events, current_alerts, read_alert_versions, read_events, write_alert_versions, write_feed,
 )
+from .listener import Throughput
 
 
 @dataclass
@@ -31,6 +33,7 @@ class Engine:
     disabled: tuple[str, ...] = ()
     chunk_seconds: int = 3600
     feed: bool = True
+    throughput: Throughput | None = None
 
     @property
     def events_path(self) -> str:
@@ -56,8 +59,8 @@ class Engine:
         )
         return detect(around, self.params, disabled=self.disabled, only=F.col("batch") == batch_id)
 
-    def step(self, events: DataFrame, batch_id: int) -> None:
-        """Store, detect and fold one micro-batch of SECURITY_EVENT rows."""
+    def step(self, events: DataFrame, batch_id: int) -> int:
+        """Store, detect and fold one micro-batch of SECURITY_EVENT rows. Returns new alerts if sampled."""
         spark = events.sparkSession
         stored = append_events(events.select(*[f.name for f in SECURITY_EVENT]), self.events_path, batch_id)
         found = materialize(self.detections(stored, batch_id), "detections")
@@ -67,19 +70,25 @@ class Engine:
             merge_alerts(known, found, self.chunk_seconds), self.alerts_path, batch_id)
         if self.feed:
             write_feed(stored, changed, f"{self.root}/feed", batch_id)
+        if not self.throughput:
+            return 0
+        return changed.join(known.select("alert_id"), "alert_id", "left_anti").count()
 
     def raw_step(self, raw: DataFrame, batch_id: int, now: Column | None = None) -> dict[str, int]:
         """As `step` for raw JSON rows; rejects are stored with their reason. Returns counts."""
+        began = time.perf_counter()
         seen = Observation()
         valid, rejects = normalize(raw.observe(seen, F.count(F.lit(1)).alias("ingested")), now)
         valid = materialize(valid, "normalized")
         rejects.write.mode("overwrite").parquet(f"{self.root}/rejects/batch={batch_id}")
-        self.step(valid, batch_id)
+        alerts = self.step(valid, batch_id)
         spark = raw.sparkSession
         count = {"ingested": seen.get["ingested"], "valid": valid.count()}
         count["persisted"] = read_events(spark, self.events_path).filter(F.col("batch") == batch_id).count()
         count["invalid"] = count["ingested"] - count["valid"]
         count["duplicate"] = count["valid"] - count["persisted"]
+        if self.throughput:
+            self.throughput.report({**count, "alerts": alerts}, time.perf_counter() - began)
         return count
 
     def start(self, source: DataFrame, checkpoint: str, raw: bool = False, **trigger):
