@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schema import MAX_TOP, SEVERITIES, is_active
 
@@ -71,8 +71,9 @@ def alerts_timeseries(alerts: DataFrame, since: datetime | None = None, bucket_s
 def severity_heatmap(alerts: DataFrame, since: datetime | None = None, minimum: int = 12) -> DataFrame:
     """Hour x severity counts; `available` says whether the total is large enough to show."""
     cells = _alert_buckets(alerts, since, 3600)
-    total = cells.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))  # one row
-    return cells.join(F.broadcast(total)).withColumn("available", F.col("total") >= minimum).orderBy("bucket", "severity")
+    # five cells per hour at most, so one task holds them all
+    total = F.sum("count").over(W.partitionBy(F.lit(0)))
+    return cells.withColumn("total", total).withColumn("available", F.col("total") >= minimum).orderBy("bucket", "severity")
 
 
 def alert_series_pivot(alerts: DataFrame, since: datetime | None = None, bucket_seconds: int = 300) -> DataFrame:

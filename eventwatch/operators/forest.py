@@ -85,11 +85,7 @@ def rolling_forest(
         F.sequence(F.greatest(n + 1, F.lit(warmup)), F.greatest(n + buffer - 1, F.lit(warmup))),
         lambda m: (m >= buffer) | (m % RETRAIN == 0) | (m == warmup),
     )
-    last = numbered.agg(F.max("n").alias("last"))  # one row
-    train = (
-        numbered.withColumn("model", F.explode(models)).join(F.broadcast(last))
-        .filter(F.col("model") <= F.col("last")).drop("last").withColumn("role", F.lit(0))
-    )
+    train = numbered.withColumn("model", F.explode(models)).withColumn("role", F.lit(0))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         data, asked = pdf[pdf["role"] == 0].sort_values("n"), pdf[pdf["role"] == 1].sort_values("n")

@@ -13,7 +13,7 @@ from ..schema import SEVERITIES, is_active
 
 
 def dashboard_kpis(events: DataFrame, alerts: DataFrame, as_of: datetime) -> DataFrame:
-    """One row of figures: two conditional-aggregate scans, each a single row, put side by side."""
+    """One row of figures, from one conditional-aggregate scan of each table."""
     hour, day = (F.lit(as_of - timedelta(hours=h)) for h in (1, 24))
     seen = events.filter(F.col("ingested_at") >= day).agg(
         F.count_if(F.col("ingested_at") >= hour).alias("events_last_hour"),
@@ -31,7 +31,10 @@ def dashboard_kpis(events: DataFrame, alerts: DataFrame, as_of: datetime) -> Dat
     def ratio(top: str, bottom: str) -> Column:
         return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(0.0)
 
-    return seen.join(F.broadcast(state)).withColumns({
+    # two one-row results become one row
+    names = seen.columns + state.columns
+    both = seen.unionByName(state, allowMissingColumns=True).agg(*[F.max(n).alias(n) for n in names])
+    return both.withColumns({
         # all alerts over the last day's events, as defined by the dashboard
         "detection_rate": ratio("total_alerts", "events_last_24h"),
         "false_positive_rate": ratio("false_positive_alerts", "total_alerts"),
