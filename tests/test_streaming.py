@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from conftest import T0
 from eventwatch.operators.correlate import correlate
+from eventwatch.operators.anomaly import ewma_steps
+from eventwatch.operators.rollup import long_form, traffic_rollup
 from eventwatch.operators.rules import WINDOW_RULES, RuleParams
 from eventwatch.plans.dashboards import current_throughput, performance_history
 from eventwatch.plans.detect import detect
 from eventwatch.schema import SECURITY_EVENT
 from eventwatch.sources.tables import current_alerts, read_alert_versions, read_events
 from eventwatch.sources.topics import read_events as read_topic
+from eventwatch.streaming.baselines import stream_ewma, stream_rollup
 from eventwatch.streaming.engine import Engine
 from eventwatch.streaming.keyed import keyed_detections
 from eventwatch.streaming.listener import Throughput, sample
@@ -119,3 +122,28 @@ def test_samples_and_freshness(spark):
     stale = current_throughput(s, end + timedelta(seconds=25)).first()
     assert fresh.worker_online and fresh.events_per_second == round(399 / 5, 2)
     assert not stale.worker_online and stale.events_per_second is None
+
+
+def test_rollup_and_baselines_on_a_stream(spark, make_events, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = attack(make_events)
+    write_parts(events, str(tmp_path / "in"))
+    source = spark.readStream.schema(SECURITY_EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rolled = stream_rollup(source, 10, "0 seconds")
+    run(rolled.writeStream.format("parquet").option("path", str(tmp_path / "roll")).option("checkpointLocation", str(tmp_path / "cp"))
+        .trigger(availableNow=True).start())
+    got = {r.minute: r.asDict() for r in spark.read.schema(rolled.schema).parquet(str(tmp_path / "roll")).collect()}
+    want = {r.minute: r.asDict() for r in traffic_rollup(events, 10).collect()}
+    assert len(got) >= len(want) - 2 and all(got[k] == want[k] for k in got)
+
+    long = long_form(traffic_rollup(events, 10))
+    cut = int(T0.timestamp()) + 90
+    for part in (long.filter(F.col("minute") < cut), long.filter(F.col("minute") >= cut)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "series"))
+    points = spark.readStream.schema(long.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "series"))
+    steps = stream_ewma(points, expire=False)
+    run(steps.writeStream.format("parquet").option("path", str(tmp_path / "steps")).option("checkpointLocation", str(tmp_path / "cp2"))
+        .trigger(availableNow=True).start())
+    got = sorted(tuple(r) for r in spark.read.schema(steps.schema).parquet(str(tmp_path / "steps")).collect())
+    assert got == sorted(tuple(r) for r in ewma_steps(long).collect())
