@@ -31,29 +31,36 @@ def chunk_of(us: Column, seconds: int) -> Column:
     return us - F.pmod(us, F.lit(width).cast("bigint"))
 
 
-def carried_sum(df: DataFrame, keys: list[str], order: list[str], amount: Column, name: str) -> DataFrame:
-    """Running sum of `amount` over `keys` by `order`; `df` has a `chunk` column leading the order."""
-    sums = df.groupBy(*keys, "chunk").agg(F.sum(amount).alias("_s"))
-    before = W.partitionBy(*keys).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    base = sums.select(*keys, "chunk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
-    inside = W.partitionBy(*keys, "chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (
-        df.join(base, [*keys, "chunk"])
-        .withColumn(name, F.col("_base") + F.sum(amount).over(inside))
-        .drop("_base")
-    )
-
+def carried(
+    df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None,
+    lags: dict[str, str] | None = None,
+) -> DataFrame:
+    """Running sums and previous values over `keys` by `order`, as new columns.
 
-def carried_lag(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """`value` of the previous row over `keys` by `order`, across chunks."""
-    last = df.groupBy(*keys, "chunk").agg(F.max_by(F.col(value), F.struct(*order)).alias("_v"))
-    prior = W.partitionBy(*keys).orderBy("chunk")
-    carry = last.select(*keys, "chunk", F.lag("_v").over(prior).alias("_carry"))
+    `df` has a `chunk` column that leads the order. The scan runs inside (keys, chunk); what each
+    chunk hands on is taken from one row per chunk. `df` is read twice, so it should be a table
+    or a cheap plan.
+    """
+    sums, lags = sums or {}, lags or {}
+    place = F.struct(*order)
+    ends = df.groupBy(*keys, "chunk").agg(
+        *[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()],
+        *[F.max_by(F.struct(c), place).alias(f"_l_{n}") for n, c in lags.items()],
+    )
+    by_chunk = W.partitionBy(*keys).orderBy("chunk")
+    before = by_chunk.rowsBetween(W.unboundedPreceding, -1)
+    carry = ends.select(
+        *keys, "chunk",
+        *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums],
+        *[F.lag(f"_l_{n}").over(by_chunk)[c].alias(f"_l_{n}") for n, c in lags.items()],
+    )
     inside = W.partitionBy(*keys, "chunk").orderBy(*order)
-    return (
-        df.join(carry, [*keys, "chunk"])
-        .withColumn(name, F.coalesce(F.lag(value).over(inside), F.col("_carry")))
-        .drop("_carry")
+    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    first = F.row_number().over(inside) == 1
+    return df.join(carry, [*keys, "chunk"]).select(
+        *df.columns,
+        *[(F.col(f"_s_{n}") + F.sum(c).over(upto)).alias(n) for n, c in sums.items()],
+        *[F.when(first, F.col(f"_l_{n}")).otherwise(F.lag(c).over(inside)).alias(n) for n, c in lags.items()],
     )
 
 
@@ -77,9 +84,9 @@ def split_episodes(detections: DataFrame, triage: DataFrame | None, chunk_second
         )
     ).withColumn("chunk", chunk_of(F.col("us"), chunk_seconds))
     order = ["us", "kind", "tie"]
-    steps = carried_lag(steps, KEY, order, "ends", "ended")
+    steps = materialize(carried(steps, KEY, order, lags={"ended": "ends"}), "steps")
     opens = F.when((F.col("kind") == 0) & F.coalesce(F.col("ended"), F.lit(True)), 1).otherwise(0)
-    steps = carried_sum(steps, KEY, order, opens, "episode")
+    steps = carried(steps, KEY, order, sums={"episode": opens})
     numbered = d.join(
         steps.filter("kind = 0").select(*KEY, "us", F.col("tie").alias("event_id"), "episode"),
         [*KEY, "us", "event_id"],
@@ -162,8 +169,13 @@ def alert_id(rule: Column, key: Column, first_event: Column) -> Column:
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
-def as_alerts(folded: DataFrame, closed: DataFrame | None = None) -> DataFrame:
-    """Folded rows as ALERT rows; `closed` holds the effective triage rows of each episode."""
+def as_alerts(
+    folded: DataFrame, closed: DataFrame | None = None, keep: tuple[str, ...] = ("episode",)
+) -> DataFrame:
+    """Folded rows as ALERT rows, with the columns `keep` in front.
+
+    `closed` holds the effective triage rows of each episode.
+    """
     if closed is None:
         df = folded.withColumn("status", F.lit("open"))
     else:
@@ -179,7 +191,7 @@ def as_alerts(folded: DataFrame, closed: DataFrame | None = None) -> DataFrame:
         F.timestamp_micros("first_us").alias("created_at"),
         F.timestamp_micros("last_us").alias("updated_at"),
     )
-    return made.select("episode", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in ALERT])
+    return made.select(*keep, *[F.col(f.name).cast(f.dataType).alias(f.name) for f in ALERT])
 
 
 def correlate(
@@ -194,6 +206,8 @@ def correlate(
     if store:
         detections = materialize(detections, "detections")
     numbered, closed = split_episodes(detections, triage, chunk_seconds)
+    if triage is not None:
+        numbered = materialize(numbered, "numbered")
     return as_alerts(fold(numbered, chunk_seconds), closed)
 
 
@@ -204,13 +218,12 @@ def merge_alerts(stored: DataFrame, detections: DataFrame, chunk_seconds: int =
     hints h_j the count becomes m + max(c, max(h_j - j)); other fields combine first/last/max.
     """
     numbered, _ = split_episodes(detections, None, chunk_seconds)
-    new = fold(numbered, chunk_seconds)
-    fresh = as_alerts(new).drop("episode")
+    fresh = as_alerts(fold(numbered, chunk_seconds), keep=("firings", "lift"))
     active = stored.filter(F.col("status").isin("open", "acknowledged", "investigating")).select(
         *KEY, F.struct(*[f.name for f in ALERT]).alias("old")
     )
-    joined = fresh.select(*KEY, F.struct(*[f.name for f in ALERT]).alias("new")).join(
-        new.select(*KEY, "firings", "lift"), KEY
+    joined = fresh.select(
+        *KEY, "firings", "lift", F.struct(*[f.name for f in ALERT]).alias("new")
     ).join(active, KEY, "left")
     o, n = (lambda f: F.col(f"old.{f}")), (lambda f: F.col(f"new.{f}"))
     worse = severity_rank(n("severity")) > severity_rank(o("severity"))

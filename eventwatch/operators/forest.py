@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import exact_round
+from ..session import materialize
 from .anomaly import _iso_minute, standalone
-from .correlate import carried_sum
+from .correlate import carried
 from .rollup import METRICS
 
 # Buffer length, retraining step, trees, rows per tree,
@@ -72,10 +73,12 @@ def rolling_forest(
     """Score every point after the warm-up: ts, columns, score, is_anomaly, model."""
     warmup = max(60, buffer // 6)
     one = vectors.select(F.col(ts).cast("bigint").alias(ts), *[F.coalesce(c, F.lit(0.0)).cast("double").alias(c) for c in columns])
+    # one row per interval, read four times below: the rollup behind it runs once
+    one = materialize(one, "vectors")
     day = 86_400
-    numbered = carried_sum(
+    numbered = carried(
         one.withColumn("chunk", F.col(ts) - F.pmod(F.col(ts), F.lit(day))).withColumn("series", F.lit(0)),
-        ["series"], [ts], F.lit(1).cast("bigint"), "n",
+        ["series"], [ts], {"n": F.lit(1).cast("bigint")},
     ).drop("chunk", "series")
     n = F.col("n")
     # forest that scores point n; in the growing phase the first one appears at the warm-up

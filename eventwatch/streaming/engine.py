@@ -63,8 +63,9 @@ class Engine:
         """Store, detect and fold one micro-batch of SECURITY_EVENT rows. Returns new alerts if sampled."""
         spark = events.sparkSession
         stored = append_events(events.select(*[f.name for f in SECURITY_EVENT]), self.events_path, batch_id)
-        found = materialize(self.detections(stored, batch_id), "detections")
-        found.write.mode("overwrite").parquet(f"{self.root}/detections/batch={batch_id}")
+        path = f"{self.root}/detections/batch={batch_id}"
+        self.detections(stored, batch_id).write.mode("overwrite").parquet(path)
+        found = spark.read.schema(DETECTION).parquet(path)
         known = current_alerts(read_alert_versions(spark, self.alerts_path).filter(F.col("batch") < batch_id))
         changed = write_alert_versions(
             merge_alerts(known, found, self.chunk_seconds), self.alerts_path, batch_id)
