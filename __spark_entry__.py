@@ -12,7 +12,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from eventwatch.functions.enrich import enrich, enrich_ip
+from eventwatch.functions.enrich import enrich_ip
 from eventwatch.functions.normalize import dedup, normalize
 from eventwatch.operators import aggregates as agg, anomaly, search
 from eventwatch.operators.correlate import correlate, merge_alerts

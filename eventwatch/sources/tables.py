@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.normalize import dedup
-from ..operators.search import latest_alerts
 from ..schema import ALERT, AUDIT, SECURITY_EVENT
 
 
@@ -91,9 +90,3 @@ def write_feed(events: DataFrame, alerts: DataFrame, path: str, batch_id: int) -
 def topic_rows(events: DataFrame, key: str = "source_ip") -> DataFrame:
     """Key/value rows for a topic: JSON value keyed by source address."""
     return events.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
-
-
-__all__ = [
-    "append_audit", "append_events", "compact_alerts", "current_alerts", "latest_alerts",
-    "read_alert_versions", "read_events", "topic_rows", "write_alert_versions", "write_feed",
-]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .base import (
-    ALERT_OUT, DET_OUT, DETS, EPISODES, FOLD, NO_EPISODES, RULE_SQL, TRIAGE, frame, rnd, with_alerts, with_events,
+    ALERT_OUT, DET_OUT, DETS, FOLD, NO_EPISODES, RULE_SQL, frame, rnd, with_alerts, with_events,
 )
 
 SINCE = "epoch_us(TIMESTAMP '2024-01-15')"
@@ -72,7 +72,6 @@ def rule(i: int, where: str = "true") -> str:
     return with_events(f"SELECT {DET_OUT} FROM d WHERE {where}", f"d AS ({RULE_SQL[i]()})")
 
 
-HEX = ["sha256(ip)[{0}:{1}]".format(2 * i + 1, 2 * i + 2) for i in range(5)]
 
 
 def byte(i: int) -> str:
