@@ -16,6 +16,8 @@ def build_session(master: str | None = None, partitions: int | None = None) -> S
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        # a long session runs more distinct plans than the default cache of 100 compiled stages
+        .config("spark.sql.codegen.cache.maxEntries", "1000")
         # building large expressions is several times faster without call-site capture
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
