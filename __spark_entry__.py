@@ -413,11 +413,23 @@ def queries() -> dict[str, Query]:
         "ml_alerts": on_events(ml_alerts),
         "stream_events": lambda s, d: stream_events(s, d),
         "stream_detections": lambda s, d: show_detections(stream_detections(s, d, PROFILE)),
+        **_llm()[0],
     }
 
 
+def _llm():
+    """Queries and oracles of the training-data operators, if that part of the package is there."""
+    try:
+        from eventwatch.llm import queries as llm
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("eventwatch.llm", "corpus_pipeline"):
+            raise
+        return {}, {}
+    return llm.queries(), llm.oracle_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {**ORACLES, **_llm()[1]}
 
 
 def entry(spark: SparkSession) -> DataFrame:
