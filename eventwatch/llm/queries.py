@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from eventwatch.llm import toxicity
 from eventwatch.llm.quality_rules import quality_rules
+from eventwatch.llm.sentencepiece_bpe import encode_decode
 from eventwatch.llm.sharding import shard_documents
+from eventwatch.llm.text_arrays import crc_of_id
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def model_path() -> str:
+    """The vocabulary file of the registered queries; it is installed beside its package on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = encode_decode(table(spark, sf_dir, "documents"), model_path())
+    return done.select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents")).drop("row_number")
 
@@ -25,10 +42,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (crc_of_id() % 4 == 2).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_sharding": op3_sharding,
         "op7_quality_rules": op7_quality_rules,
+        "op8_toxicity": op8_toxicity,
     }
 
 

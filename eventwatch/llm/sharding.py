@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from eventwatch.session import materialize
 
@@ -79,14 +79,10 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     part = F.shiftright("spot", 33)
     sums = stored.groupBy(part.alias("part")).agg(F.sum("copies").alias("held"))
     # one row per partition of the sort: their number is the session's setting, not the data's
-    spans = sums.groupBy().agg(F.sort_array(F.collect_list(F.struct("part", "held"))).alias("spans"))
-    offsets = spans.select(F.posexplode("spans").alias("at", "span"), "spans").select(
-        F.col("span.part").alias("part"),
-        F.aggregate(F.slice("spans", F.lit(1), F.col("at")), F.lit(0).cast("long"), lambda s, x: s + x["held"]).alias("before"),
-        F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["held"]).alias("n_rows"),
-    )
-    from pyspark.sql import Window
-
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        "part", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"),
+        F.sum("held").over(Window.partitionBy()).alias("n_rows"))
     inside = Window.partitionBy("part").orderBy("spot").rowsBetween(Window.unboundedPreceding, -1)
     placed = stored.withColumn("part", part).join(F.broadcast(offsets), "part")
     start = F.col("before") + F.coalesce(F.sum("copies").over(inside), F.lit(0))

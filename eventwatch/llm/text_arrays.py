@@ -17,6 +17,8 @@ CHUNK_BYTES = 2 << 20
 SPACES = b" \t\n\x0b\x0c\r"
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
+#: Breaks for letters only: all ASCII but letters, digits and the apostrophe.
+NOT_LETTERS = np.array([b < 128 and not (chr(b).isalnum() or b == 39) for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RADIX = np.uint64(0x9E3779B97F4A7C13)
@@ -24,6 +26,11 @@ _RADIX_INVERSE = np.uint64(pow(int(_RADIX), -1, 1 << 64))
 _BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """ASCII letters in lower case."""
+    return _LOWER[data]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finalising mix (a bijection) of each element."""
     x = x ^ (x >> np.uint64(33))
@@ -74,9 +81,9 @@ def slices(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
 class Words:
     """Words of a slice: `start`, `end` (byte positions), `first` (word offsets per row), `hash`."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, hashes: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, breaks: np.ndarray = _IS_SPACE):
         n = len(data)
-        inside = ~_IS_SPACE[data]
+        inside = ~breaks[data]
         fresh = np.empty(n, bool)
         if n:
             fresh[0] = inside[0]
@@ -90,8 +97,7 @@ class Words:
             np.logical_and(inside[:-1], ~inside[1:] | fresh[1:], out=stop[:-1])
         self.end = np.flatnonzero(stop) + 1
         self.first = np.searchsorted(self.start, offsets)
-        if hashes:
-            self.hash = range_hashes(_LOWER[data] if lower else data, self.start, self.end)
+        self.hash = range_hashes(_LOWER[data] if lower else data, self.start, self.end)
 
     @property
     def row(self) -> np.ndarray:
