@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventwatch.llm import toxicity
+from eventwatch.llm.ngram_join import link_components
 from eventwatch.llm.quality_rules import quality_rules
 from eventwatch.llm.sentencepiece_bpe import encode_decode
 from eventwatch.llm.sharding import shard_documents
@@ -49,12 +50,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (crc_of_id() % 4 == 2).alias("held_out"), "score", "predicted")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
         "op3_sharding": op3_sharding,
         "op7_quality_rules": op7_quality_rules,
         "op8_toxicity": op8_toxicity,
+        "op9_ngram_join": op9_ngram_join,
     }
 
 
