@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventwatch.llm import toxicity
+from eventwatch.llm.decontaminate import find_leaks
+from eventwatch.llm.line_dedup import line_report
 from eventwatch.llm.ngram_join import link_components
 from eventwatch.llm.quality_rules import quality_rules
 from eventwatch.llm.sentencepiece_bpe import encode_decode
@@ -54,13 +56,23 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
         "op3_sharding": op3_sharding,
+        "op4_decontamination": op4_decontamination,
         "op7_quality_rules": op7_quality_rules,
         "op8_toxicity": op8_toxicity,
         "op9_ngram_join": op9_ngram_join,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
