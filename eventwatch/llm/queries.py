@@ -13,6 +13,7 @@ from eventwatch.llm.ngram_join import link_components
 from eventwatch.llm.quality_rules import quality_rules
 from eventwatch.llm.sentencepiece_bpe import encode_decode
 from eventwatch.llm.sharding import shard_documents
+from eventwatch.llm.suffix_dedup import cut_repeats
 from eventwatch.llm.text_arrays import crc_of_id
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,11 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = encode_decode(table(spark, sf_dir, "documents"), model_path())
     return done.select(
@@ -66,6 +72,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_sharding": op3_sharding,
         "op4_decontamination": op4_decontamination,

@@ -21,8 +21,8 @@ _IS_SPACE[list(SPACES)] = True
 NOT_LETTERS = np.array([b < 128 and not (chr(b).isalnum() or b == 39) for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_RADIX = np.uint64(0x9E3779B97F4A7C13)
-_RADIX_INVERSE = np.uint64(pow(int(_RADIX), -1, 1 << 64))
+RADIX = np.uint64(0x9E3779B97F4A7C13)
+RADIX_INVERSE = np.uint64(pow(int(RADIX), -1, 1 << 64))
 _BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -108,10 +108,10 @@ class Words:
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of data[start:end] for each pair, from one running sum."""
     n = len(data)
-    powers = powers_of(_RADIX, n + 1)
+    powers = powers_of(RADIX, n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE_VALUES[data] * powers[:n], out=total[1:])
-    inverse = powers_of(_RADIX_INVERSE, n + 1)
+    inverse = powers_of(RADIX_INVERSE, n + 1)
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
