@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventwatch.llm import toxicity
 from eventwatch.llm.decontaminate import find_leaks
+from eventwatch.llm.html_text import main_text
 from eventwatch.llm.line_dedup import line_report
 from eventwatch.llm.ngram_join import link_components
 from eventwatch.llm.quality_rules import quality_rules
@@ -46,6 +47,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents")).drop("row_number")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -76,6 +81,7 @@ def queries() -> dict[str, Query]:
         "op2_sentencepiece": op2_sentencepiece,
         "op3_sharding": op3_sharding,
         "op4_decontamination": op4_decontamination,
+        "op5_html_text": op5_html_text,
         "op7_quality_rules": op7_quality_rules,
         "op8_toxicity": op8_toxicity,
         "op9_ngram_join": op9_ngram_join,
