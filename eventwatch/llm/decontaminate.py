@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from eventwatch.llm.text_arrays import NOT_LETTERS, Words, id_and_text, shingles, slices, within
+from eventwatch.llm.text_arrays import NOT_LETTERS, Words, id_and_text, shingles, slices, small_batches, within
 
 SHINGLE = 5
 PERCENT = 80
@@ -164,3 +164,19 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         part = read.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+
+
+def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of `docs`, all their columns, in which no item of the benchmark was found."""
+    small_batches(docs.sparkSession)
+    place = docs.columns.index("text")
+    for bench in benchmark_parts(items):
+        def run(batches: Iterator[pa.RecordBatch], bench: Benchmark = bench) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, j, data, offsets in slices(pc.utf8_lower(batch.column(place))):
+                    clean = np.ones(j - i, bool)
+                    clean[[g[0] for g in leaks(data, offsets, bench)]] = False
+                    yield batch.slice(i, j - i).filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -5,8 +5,8 @@ or earlier in the same document) has Jaccard 0.8 or more with it; matches are ju
 
 Lines with equal sets form a class, represented by its first line. For the others only the question
 "does an earlier match exist?" is open: every class first tries the earliest class of its blocks (the
-one it shares most prefix elements with), then rounds give each undecided class its best remaining
-earlier candidate until no candidate is left. Positional, length and bitmap filters lose no match.
+one it shares most prefix elements with), then its nearest earlier candidate, and what is undecided
+after that tries all of them. Positional, length and bitmap filters lose no match.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ SHINGLE = 5
 PERCENT = 80
 #: Lines of fewer words (headings, one-word lines) are left alone: they repeat by chance.
 MIN_WORDS = 5
-BITS = 256
 TILE = 2048
 
 
@@ -54,7 +53,7 @@ def line_sets(docs: DataFrame, percent: int, min_words: int, rarity: sj.Rarity |
                        pa.array(sets.n[enough], pa.int32()), pa.array([keys[k] for k in enough], pa.binary())]
                 names = ["doc_id", "body", "line", "n", "key"]
                 if full:
-                    maps = sets.bitmaps(BITS)
+                    maps = sets.bitmaps()
                     out += [sets.prefixes(percent).take(pa.array(enough)), pa.array([maps[k] for k in enough], pa.binary())]
                     names += ["prefix", "bitmap"]
                 yield pa.RecordBatch.from_arrays(out, names)
@@ -72,46 +71,28 @@ def first_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return each.groupBy("id").agg(F.max(F.struct("shared", "other")).alias("m")).select("id", F.col("m.other").alias("other"))
 
 
-def _earlier_candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for block in sj.sorted_runs(batches, ["token", "tile"]):
-        ids, undecided = np.asarray(block["id"]), np.asarray(block["undecided"])
-        n, pos = np.asarray(block["n"]).astype(np.int64), np.asarray(block["pos"]).astype(np.int64)
-        doc, line = block["doc_id"].to_numpy(), np.asarray(block["line"])
-        doc = np.nan_to_num(doc, nan=-np.inf) if doc.dtype.kind == "f" else doc
-        body = np.asarray(block["body"])
-        maps, refused = sj.bit_matrix(block["bitmap"]), block["refused"].to_pylist()
-        one, two, apart = [], [], []
-        for i in np.flatnonzero(undecided):
-            earlier = (doc < doc[i]) | ((doc == doc[i]) & ((line < line[i]) | ((line == line[i]) & (body < body[i]))))
-            ok = earlier & sj.may_match(n, pos, maps, i, percent)
-            if refused[i]:
-                ok &= ~np.isin(ids, refused[i])
-            some = np.flatnonzero(ok)
-            if len(some):
-                far = np.bitwise_count(maps[some] ^ maps[i]).sum(axis=1)
-                one.append(ids[i]), two.append(ids[some[np.lexsort((ids[some], far))[0]]]), apart.append(int(far.min()))
-        if one:
-            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(apart, pa.int32())], ["id", "other", "apart"])
-
-
-def next_pairs(rows: DataFrame, reps: DataFrame, decided: DataFrame, refused: DataFrame, percent: int) -> DataFrame:
-    """Per undecided class its best earlier candidate not refused yet."""
+def _earlier(table: pa.Table):
+    undecided, line, body = table["undecided"].to_numpy(), table["line"].to_numpy(), table["body"].to_numpy()
+    doc = table["doc_id"].fill_null(-(1 << 63)).to_numpy()
+
+    def wanted(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        before = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & ((line[i] < line[j]) | ((line[i] == line[j]) & (body[i] < body[j]))))
+        late, early = np.where(before, j, i), np.where(before, i, j)
+        ok = undecided[late]
+        return late[ok], early[ok]
+
+    return wanted
+
+
+def next_pairs(rows: DataFrame, reps: DataFrame, decided: DataFrame, percent: int, best: bool) -> DataFrame:
+    """(id, other): earlier candidates of undecided classes; with `best` only the nearest of each."""
     marked = rows.join(decided.select("id", F.lit(False).alias("undecided")), "id", "left").withColumn("undecided", F.coalesce("undecided", F.lit(True)))
     # the first of a block has nothing earlier in it
     place = F.struct("doc_id", "line", "body")
     open_ = marked.groupBy("token").agg(
         F.min(place).alias("earliest"), F.max(F.when(F.col("undecided"), place)).alias("latest"), F.count(F.lit(1)).alias("held"))
     open_ = open_.filter("latest > earliest").select("token", F.ceil(F.col("held") / TILE).cast("int").alias("parts"))
-    use = marked.join(open_, "token").join(reps.select("id", "bitmap"), "id").join(
-        refused.groupBy("id").agg(F.collect_set("other").alias("refused")), "id", "left")
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: F.least(t, F.col("part")) * F.col("parts") + F.greatest(t, F.col("part")))
-    spread = use.withColumn("part", part).withColumn("tile", F.explode(tiles)).select(
-        "token", "tile", "id", "undecided", "doc_id", "line", "body", "n", "pos", "bitmap", "refused")
-    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = spread.repartition(count, "token", "tile").sortWithinPartitions("token", "tile").mapInArrow(
-        lambda b: _earlier_candidates(b, percent), "id bigint, other bigint, apart int")
-    return found.groupBy("id").agg(F.min(F.struct("apart", "other")).alias("m")).select("id", F.col("m.other").alias("other"))
+    return sj.paired(marked.join(open_, "token").join(reps.select("id", "bitmap"), "id"), percent, _earlier, best)
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
@@ -130,29 +111,29 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     tokens = reps.select("id", "n", "doc_id", "line", "body", F.posexplode("prefix").alias("pos", "token"))
     rows = materialize(sj.shared_elements(tokens.select("token", "id", "n", "pos", "doc_id", "line", "body")), "line-blocks")
     pairs = materialize(first_pairs(rows, percent), "line-pairs")
-    decided = None
-    if not pairs.isEmpty():
-        wanted = rows.select("id", "doc_id", "body", "line").distinct().groupBy("doc_id", "body").agg(
-            F.collect_list(F.struct("id", "line")).alias("wanted"))
-        same = F.col("w.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("w.body") == F.col("d.body"))
-        whole = with_body(docs).alias("d").join(wanted.alias("w"), same)
-        cut = whole.select(F.split("d.text", "\n").alias("lines"), "wanted")
-        texts = cut.select(F.explode(F.transform(
-            "wanted", lambda x: F.struct(x["id"].alias("id"), F.get("lines", x["line"]).alias("text")))).alias("x")).select("x.id", "x.text")
-        texts = materialize(texts.groupBy("id").agg(F.first("text").alias("text")), "line-texts")
-        decided, refused = None, None
-        while not pairs.isEmpty():
-            asked = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-            good = sj.jaccard_of_texts(asked, texts, SHINGLE, percent).withColumn("good", F.lit(True))
-            judged = materialize(pairs.withColumns({"a": F.least("id", "other"), "b": F.greatest("id", "other")}).join(
-                good, ["a", "b"], "left").select("id", "other", F.coalesce("good", F.lit(False)).alias("good")), "line-judged")
-            yes, no = judged.filter("good").select("id"), judged.filter("not good").select("id", "other")
-            decided = yes if decided is None else decided.union(yes)
-            refused = no if refused is None else refused.union(no)
-            pairs = materialize(next_pairs(rows, reps, decided, refused, percent), "line-pairs")
+    wanted = rows.select("id", "doc_id", "body", "line").distinct().groupBy("doc_id", "body").agg(
+        F.collect_list(F.struct("id", "line")).alias("wanted"))
+    same = F.col("w.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("w.body") == F.col("d.body"))
+    whole = with_body(docs).alias("d").join(wanted.alias("w"), same)
+    cut = whole.select(F.split("d.text", "\n").alias("lines"), "wanted")
+    texts = cut.select(F.explode(F.transform(
+        "wanted", lambda x: F.struct(x["id"].alias("id"), F.get("lines", x["line"]).alias("text")))).alias("x")).select("x.id", "x.text")
+    texts = materialize(texts.groupBy("id").agg(F.first("text").alias("text")), "line-texts")
+    decided, tested = None, None
+    for step in ("best", "all", "done"):
+        asked = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        good = sj.jaccard_of_texts(asked, texts, SHINGLE, percent)
+        found = pairs.withColumns({"a": F.least("id", "other"), "b": F.greatest("id", "other")}).join(good, ["a", "b"]).select("id").distinct()
+        found = materialize(found, "line-found")
+        decided = found if decided is None else decided.union(found)
+        tested = pairs if tested is None else tested.union(pairs)
+        if step == "done":
+            break
+        more = next_pairs(rows, reps, decided, percent, step == "best")
+        pairs = materialize(more.join(tested, ["id", "other"], "left_anti"), "line-pairs")
     known = reps.select("key", "id", F.col("doc_id").alias("d"), F.col("line").alias("l"), F.col("body").alias("b"))
-    known = known.withColumn("matched", F.lit(False)) if decided is None else known.join(
-        decided.withColumn("matched", F.lit(True)), "id", "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    known = known.join(decided.distinct().withColumn("matched", F.lit(True)), "id", "left").withColumn(
+        "matched", F.coalesce("matched", F.lit(False)))
     lines = line_sets(docs, percent, min_words, None).join(known, "key")
     first = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("l") == F.col("line")) & (F.col("b") == F.col("body"))
     gone = lines.filter(F.col("matched") | ~first)

@@ -3,10 +3,9 @@
 Documents with the same shingle set are one class from the start. Classes are indexed under the rare
 elements of their prefixes; classes with the same prefix and size form one group, and groups, not
 documents, are paired. Only connectivity is asked for, so pairs already connected are not looked at
-again: first every class is tried against the most central class of its blocks, then rounds take each
-class's best remaining candidate in another component, until a round has no candidate left. What a
-round rejects is remembered, so at the end every pair that passes the filters and lies in two
-components has been verified.
+again. First every class is tried against the most central class of its blocks, then against its
+nearest candidate in another component, and last all pairs that pass the filters and still lie in two
+components are verified: no link between components can remain.
 """
 
 from __future__ import annotations
@@ -23,7 +22,6 @@ from eventwatch.session import materialize
 
 SHINGLE = 4
 PERCENT = 85
-BITS = 512
 #: Members of a block one task compares at a time; larger blocks are cut into pairs of such parts.
 TILE = 2048
 
@@ -40,7 +38,7 @@ def document_sets(docs: DataFrame, size: int, percent: int, rarity: sj.Rarity |
                        pa.array(sets.keys(), pa.binary())]
                 names = ["doc_id", "body", "n", "key"]
                 if full:
-                    out += [sets.prefixes(percent), pa.array(sets.bitmaps(BITS), pa.binary())]
+                    out += [sets.prefixes(percent), pa.array(sets.bitmaps(), pa.binary())]
                     names += ["prefix", "bitmap"]
                 yield pa.RecordBatch.from_arrays(out, names)
 
@@ -96,56 +94,58 @@ def central_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return best.select(F.least("id", "m.other").alias("a"), F.greatest("id", "m.other").alias("b")).distinct()
 
 
-def _best_candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for block in sj.sorted_runs(batches, ["token", "tile"]):
-        ids, labels = np.asarray(block["id"]), np.asarray(block["label"])
-        n, pos = np.asarray(block["n"]).astype(np.int64), np.asarray(block["pos"]).astype(np.int64)
-        maps, refused = sj.bit_matrix(block["bitmap"]), block["refused"].to_pylist()
-        one, two, apart = [], [], []
-        for i in range(len(ids)):
-            ok = (labels != labels[i]) & sj.may_match(n, pos, maps, i, percent)
-            if refused[i]:
-                ok &= ~np.isin(ids, refused[i])
-            some = np.flatnonzero(ok)
-            if len(some):
-                far = np.bitwise_count(maps[some] ^ maps[i]).sum(axis=1)
-                k = some[np.lexsort((ids[some], far))[0]]
-                one.append(ids[i]), two.append(ids[k]), apart.append(int(np.min(far)))
-        if one:
-            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(apart, pa.int32())], ["id", "other", "apart"])
-
-
-def next_pairs(rows: DataFrame, reps: DataFrame, labels: DataFrame, rejected: DataFrame | None, percent: int) -> DataFrame:
-    """Per id the best candidate (by bitmaps) in another component that is not rejected yet."""
+def _other_component(table: pa.Table):
+    label = table["label"].to_numpy()
+
+    def wanted(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = label[i] != label[j]
+        return np.r_[i[ok], j[ok]], np.r_[j[ok], i[ok]]
+
+    return wanted
+
+
+def next_pairs(rows: DataFrame, reps: DataFrame, labels: DataFrame, percent: int, best: bool) -> DataFrame:
+    """(a, b): candidates in two components; per id only the nearest by bitmaps with `best`."""
     marked = rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("held"))
     mixed = mixed.filter("lo <> hi").select("token", F.ceil(F.col("held") / TILE).cast("int").alias("parts"))
     use = marked.join(mixed, "token").join(reps.select("id", "bitmap"), "id")
-    if rejected is None:
-        use = use.withColumn("refused", F.lit(None).cast("array<bigint>"))
-    else:
-        both = rejected.select(F.col("a").alias("id"), F.col("b").alias("x")).union(rejected.select(F.col("b").alias("id"), F.col("a").alias("x")))
-        use = use.join(both.groupBy("id").agg(F.collect_set("x").alias("refused")), "id", "left")
-    # parts of a large block meet pairwise: part s goes to every tile {s, t}
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: F.least(t, F.col("part")) * F.col("parts") + F.greatest(t, F.col("part")))
-    spread = use.withColumn("part", part).withColumn("tile", F.explode(tiles)).select(
-        "token", "tile", "id", "label", "n", "pos", "bitmap", "refused")
-    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = spread.repartition(count, "token", "tile").sortWithinPartitions("token", "tile").mapInArrow(
-        lambda b: _best_candidates(b, percent), "id bigint, other bigint, apart int")
-    best = found.groupBy("id").agg(F.min(F.struct("apart", "other")).alias("m"))
-    return best.select(F.least("id", "m.other").alias("a"), F.greatest("id", "m.other").alias("b")).distinct()
+    found = sj.paired(use, percent, _other_component, best)
+    return found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs`.
 
     component_id is the smallest doc_id reachable over links (Jaccard percent/100 or more). Null, empty
-    and wordless texts have no shingles and are alone. Rows with one doc_id count as linked to
-    themselves only through their texts; repeated rows give repeated results. A null doc_id is kept
-    and never the smallest unless its component has no other id. Other columns are ignored.
+    and wordless texts have no shingles and are alone. Repeated rows give repeated results. A null
+    doc_id is kept and is the component_id only where its component has no other id. Other columns are
+    ignored; an empty table gives no rows.
+    """
+    return linked(docs, size, percent).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs`, all their columns, of the first document of each component.
+
+    That is the one with the smallest doc_id (then hash of the text); of identical rows one stays.
+    Rows without words are in no component and all stay.
     """
+    names, texts = docs.columns, F.coalesce(F.col("text"), F.lit(""))
+    rows = linked(docs, size, percent)
+    kept = rows.filter((F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("body") == F.col("component_body"))))
+    kept = materialize(kept.groupBy("doc_id", "body").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "kept")
+    mine = docs.withColumn("__body", F.xxhash64(texts))
+    keys = kept.select(F.col("doc_id").alias("__d"), F.col("body").alias("__b"))
+    out = mine.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__body") == F.col("__b")), "left_semi")
+    if not kept.filter("copies > 1 and n > 0").isEmpty():
+        some = F.length(F.regexp_replace(texts, r"[\x20\x09-\x0D]", "")) > 0
+        out = out.filter(some).dropDuplicates(["doc_id", "__body"]).unionByName(out.filter(~some))
+    return out.select(*names)
+
+
+def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, body, n, component_id, component_body for every row; see link_components."""
     rarity = sj.word_rarity(docs)
     sets = document_sets(docs, size, percent, rarity).filter("n > 0")
     classes = sets.groupBy("key").agg(
@@ -161,22 +161,20 @@ def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     texts = read.alias("d").join(wanted.alias("w"), same).groupBy("w.id").agg(F.first("d.text").alias("text"))
     texts = materialize(texts, "texts")
     pairs = materialize(central_pairs(rows, percent), "pairs")
-    labels, rejected = None, None
-    while not pairs.isEmpty():
+    labels, tested = None, None
+    for step in ("best", "all", "done"):
         good = materialize(sj.jaccard_of_texts(pairs, texts, size, percent), "links")
-        bad = pairs.join(good, ["a", "b"], "left_anti")
-        rejected = materialize(bad if rejected is None else rejected.union(bad), "rejected")
         labels = components(good, labels)
-        pairs = materialize(next_pairs(rows, reps, labels, rejected, percent), "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        if step == "done":
+            break
+        found = next_pairs(rows, reps, labels, percent, step == "best")
+        pairs = materialize(found.join(tested, ["a", "b"], "left_anti"), "pairs")
     members = document_sets(docs, size, percent, None)
-    rep = reps.select("key", "id", F.col("doc_id").alias("first_doc"))
-    if labels is not None:
-        rep = rep.join(labels, "id", "left")
-        rep = rep.withColumn("label", F.coalesce("label", "id"))
-    else:
-        rep = rep.withColumn("label", F.col("id"))
-    smallest = rep.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    named = rep.join(smallest, "label").select("key", "component_id")
+    rep = reps.select("key", "id", "doc_id", "body").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("component_id"), F.col("body").alias("component_body")))
+    named = rep.join(rep.groupBy("label").agg(first.alias("first")), "label").select("key", "first.component_id", "first.component_body")
+    alone = F.col("n") == 0
     return members.join(named, "key", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", "body", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(alone, F.col("body")).otherwise(F.col("component_body")).alias("component_body"))

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventwatch.llm import toxicity
+import corpus_pipeline
+from eventwatch.llm import language_id, toxicity
 from eventwatch.llm.decontaminate import find_leaks
 from eventwatch.llm.html_text import main_text
 from eventwatch.llm.line_dedup import line_report
 from eventwatch.llm.ngram_join import link_components
 from eventwatch.llm.quality_rules import quality_rules
-from eventwatch.llm.sentencepiece_bpe import encode_decode
+from eventwatch.llm.sentencepiece_bpe import encode_decode, public_model
 from eventwatch.llm.sharding import shard_documents
 from eventwatch.llm.suffix_dedup import cut_repeats
 from eventwatch.llm.text_arrays import crc_of_id
@@ -24,20 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def model_path() -> str:
-    """The vocabulary file of the registered queries; it is installed beside its package on every node."""
-    import public_tokenizers
-
-    return public_tokenizers.path("piece_bpe_32k.model")
-
-
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = encode_decode(table(spark, sf_dir, "documents"), model_path())
+    done = encode_decode(table(spark, sf_dir, "documents"), public_model())
     return done.select(
         "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -51,6 +45,12 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs)).select(
+        "doc_id", (crc_of_id() % 3 == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -82,10 +82,12 @@ def queries() -> dict[str, Query]:
         "op3_sharding": op3_sharding,
         "op4_decontamination": op4_decontamination,
         "op5_html_text": op5_html_text,
+        "op6_language_id": op6_language_id,
         "op7_quality_rules": op7_quality_rules,
         "op8_toxicity": op8_toxicity,
         "op9_ngram_join": op9_ngram_join,
         "op10_line_dedup": op10_line_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 

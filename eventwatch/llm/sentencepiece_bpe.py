@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from eventwatch.llm.text_arrays import id_and_text, slices, within
+from eventwatch.llm.text_arrays import id_and_text, lists, slices, within
 
 SPACE = "▁"
 UNKNOWN_TEXT = " ⁇ ".encode()
@@ -260,6 +260,30 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
+def public_model() -> str:
+    """Vocabulary file of the registered queries; it is installed beside its package on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def token_ids(docs: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, ids (array), same: whether decoding the ids gives the text back. Rows as in encode_decode."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = bpe(model_path)
+        for batch in batches:
+            for i, j, _, _ in slices(batch.column(1)):
+                texts = batch.column(1).slice(i, j - i).to_pylist()
+                ids = model.encode(texts)
+                same = [a == b for a, b in zip(model.decode(ids), texts)]
+                flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), lists(flat, np.array([len(x) // 4 for x in ids])), pa.array(same, pa.bool_())],
+                    ["doc_id", "ids", "same"])
+
+    return id_and_text(docs).mapInArrow(run, "doc_id bigint, ids array<int>, same boolean")
+
+
 def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit, begin and end included), decoded.
 

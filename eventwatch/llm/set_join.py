@@ -20,6 +20,10 @@ from eventwatch.llm.text_arrays import Words, id_and_text, lists, mix, shingles,
 
 #: The most frequent words whose counts travel to the tasks (12 bytes each): a fixed size.
 FREQUENT_WORDS = 1 << 16
+#: Smallest and largest bitmap of a set.
+BITMAP_BITS = (256, 1 << 16)
+#: Pairs of rows a task looks at in one step.
+PAIR_CHUNK = 1 << 20
 
 
 @dataclass
@@ -80,10 +84,13 @@ class Sets:
         first = np.repeat(np.cumsum(self.n) - self.n, size) + within(size)
         return lists(signed(self.hash[first]), size, pa.int64())
 
-    def bitmaps(self, bits: int) -> list[bytes]:
-        spot = self.row * bits + (self.hash >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
-        flat = np.packbits((np.bincount(spot, minlength=len(self.n) * bits) & 1).astype(np.uint8)).tobytes()
-        return [flat[i * bits // 8:(i + 1) * bits // 8] for i in range(len(self.n))]
+    def bitmaps(self) -> list[bytes]:
+        """Parity bitmap per row, two to four bits an element, a power of two in all."""
+        size = np.clip(1 << np.ceil(np.log2(np.maximum(2 * self.n, 1))).astype(np.int64), *BITMAP_BITS)
+        base = np.cumsum(size) - size
+        spot = base[self.row] + (self.hash & (size[self.row] - 1).astype(np.uint64)).astype(np.int64)
+        flat = np.packbits((np.bincount(spot, minlength=int(size.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
+        return [flat[i:i + k] for i, k in zip((base // 8).tolist(), (size // 8).tolist())]
 
 
 def shingle_sets(words: Words, size: int, rarity: Rarity | None = None) -> Sets:
@@ -145,44 +152,104 @@ def shared_elements(rows: DataFrame) -> DataFrame:
         live, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spread.select("token", *[c for c in names if c != "token"]).schema))
 
 
-def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Consecutive rows equal in `keys`, as one table each."""
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, end of each row's run): the sorted input in tables that end with a run of equal `keys`."""
     held: list[pa.RecordBatch] = []
-    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [np.asarray(batch.column(batch.schema.get_field_index(k))) for k in keys]
-        cut = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            cut[1:] |= c[1:] != c[:-1]
-        marks = [0, *np.flatnonzero(cut).tolist(), batch.num_rows]
-        for i, j in zip(marks, marks[1:]):
-            now = tuple(c[i] for c in columns)
-            if last is not None and now != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(i, j - i))
-            last = now
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        fresh = np.zeros(table.num_rows, bool)
+        fresh[0] = True
+        for k in keys:
+            c = table[k].to_numpy()
+            fresh[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(fresh)
+        if len(starts) > 1:
+            cut = int(starts[-1])
+            yield table.slice(0, cut), np.repeat(starts[1:], np.diff(starts))
+            held = table.slice(cut).to_batches()
     if held:
-        yield pa.Table.from_batches(held)
-
-
-def bit_matrix(column: pa.ChunkedArray) -> np.ndarray:
-    raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, np.uint64).reshape(len(column), -1)
-
-
-def may_match(n: np.ndarray, pos: np.ndarray, maps: np.ndarray, i: int, percent: int) -> np.ndarray:
-    """Which rows of a block pass the size, position and bitmap filters against row i."""
-    m = int(n[i])
-    need = -(-(percent * (n + m)) // (100 + percent))  # ⌈t / (1 + t) · (n₁ + n₂)⌉ shared elements
-    left = 1 + np.minimum(n - pos - 1, m - int(pos[i]) - 1)
-    ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (left >= need)
-    some = np.flatnonzero(ok)
-    apart = np.bitwise_count(maps[some] ^ maps[i]).sum(axis=1).astype(np.int64)
-    ok[some] = apart <= n[some] + m - 2 * need[some]
-    return ok
+        table = pa.Table.from_batches(held)
+        yield table, np.full(table.num_rows, table.num_rows)
+
+
+class Bitmaps:
+    """Bitmaps of some rows, by size, with each folded to half its size for partners of that size."""
+
+    def __init__(self, column: list[bytes]):
+        self.size = np.array([len(b) for b in column], np.int64)
+        self.place = np.zeros(len(column), np.int64)
+        self.by_size: dict[int, np.ndarray] = {}
+        for size in np.unique(self.size).tolist():
+            rows = np.flatnonzero(self.size == size)
+            self.place[rows] = np.arange(len(rows))
+            self.by_size[size] = np.frombuffer(b"".join(column[i] for i in rows), np.uint64).reshape(len(rows), -1)
+        self.halves = {s: m[:, :m.shape[1] // 2] ^ m[:, m.shape[1] // 2:] for s, m in self.by_size.items()}
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Differing bits of the pairs: at most the size of the sets' symmetric difference."""
+        out = np.zeros(len(i), np.int64)
+        for a in self.by_size:
+            for b, left, right in ((a, self.by_size, self.by_size), (a * 2, self.by_size, self.halves), (a // 2, self.halves, self.by_size)):
+                if b in self.by_size:
+                    some = np.flatnonzero((self.size[i] == a) & (self.size[j] == b))
+                    if len(some):
+                        x = left[a][self.place[i[some]]] ^ right[b][self.place[j[some]]]
+                        out[some] = np.bitwise_count(x).sum(axis=1)
+        return out
+
+
+def block_candidates(batches: Iterator[pa.RecordBatch], percent: int, orient, best: bool) -> Iterator[pa.RecordBatch]:
+    """(id, other, apart): pairs of a block that pass every filter.
+
+    `orient(table)` gives a function of row numbers (i, j) that returns those wanted, as (id row, other
+    row). With `best` only each id's nearest partner within the slice is given.
+    """
+    for table, ends in whole_runs(batches, ["token", "tile"]):
+        ids, n, pos = table["id"].to_numpy(), table["n"].to_numpy().astype(np.int64), table["pos"].to_numpy().astype(np.int64)
+        maps, wanted = Bitmaps(table["bitmap"].to_pylist()), orient(table)
+        partners = ends - np.arange(len(ids)) - 1
+        bound = np.cumsum(partners)
+        row = 0
+        while row < len(ids):
+            stop = max(row + 1, int(np.searchsorted(bound, (bound[row - 1] if row else 0) + PAIR_CHUNK, "right")))
+            i = np.repeat(np.arange(row, stop), partners[row:stop])
+            j = i + 1 + within(partners[row:stop])
+            row = stop
+            need = -(-(percent * (n[i] + n[j])) // (100 + percent))  # ⌈t / (1 + t) · (n₁ + n₂)⌉ shared elements
+            ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (
+                np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
+            i, j = wanted(i[ok], j[ok])
+            need = -(-(percent * (n[i] + n[j])) // (100 + percent))
+            apart = maps.apart(i, j)
+            ok = apart <= n[i] + n[j] - 2 * need
+            one, two, apart = ids[i[ok]], ids[j[ok]], apart[ok]
+            if best and len(one):
+                order = np.lexsort((two, apart, one))
+                head = order[np.r_[True, one[order[1:]] != one[order[:-1]]]]
+                one, two, apart = one[head], two[head], apart[head]
+            if len(one):
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(apart)], ["id", "other", "apart"])
+
+
+def paired(rows: DataFrame, percent: int, orient, best: bool, tile: int = 2048) -> DataFrame:
+    """(id, other) over `rows` (token, parts, id, n, pos, bitmap, ...): candidates within each token.
+
+    A token held by more than `tile` rows is cut into `parts` by a hash of the id; part s goes to every
+    tile {s, t}, so each pair of parts meets in one task of bounded size.
+    """
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    least, most = (lambda t: F.least(t, F.col("part"))), (lambda t: F.greatest(t, F.col("part")))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: least(t) * F.col("parts") + most(t))
+    spread = rows.withColumn("part", part).withColumn("tile", F.explode(tiles)).drop("part", "parts")
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = spread.repartition(count, "token", "tile").sortWithinPartitions("token", "tile").mapInArrow(
+        lambda b: block_candidates(b, percent, orient, best), "id bigint, other bigint, apart bigint")
+    if not best:
+        return found.select("id", "other").distinct()
+    return found.groupBy("id").agg(F.min(F.struct("apart", "other")).alias("m")).select("id", F.col("m.other").alias("other"))
 
 
 def jaccard_of_texts(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:

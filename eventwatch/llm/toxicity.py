@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from eventwatch.llm.text_arrays import NOT_LETTERS, Words, crc_of_id, id_and_text, lower, mix, range_hashes, slices
+from eventwatch.llm.text_arrays import NOT_LETTERS, Words, crc_of_id, id_and_text, lower, mix, range_hashes, slices, small_batches
 
 BUCKETS = 1 << 18
 MAX_LABELLED = 20_000
@@ -256,3 +256,17 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -
                     ["doc_id", "score", "predicted", "passages"])
 
     return id_and_text(docs).mapInArrow(run, f"doc_id bigint, score double, predicted int, passages {SEGMENTS}")
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, all their columns, that score below the threshold."""
+    small_batches(docs.sparkSession)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in slices(batch.column(place)):
+                f, _ = _features(data, offsets, model)
+                yield batch.slice(i, j - i).filter(pa.array(_probability(f, model.calibration) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
