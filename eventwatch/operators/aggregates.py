@@ -21,8 +21,21 @@ def _flag(cond: Column) -> Column:
     return F.count_if(cond)
 
 
+def on_days(events: DataFrame, start: datetime | None, end: datetime | None) -> DataFrame:
+    """The matching condition on event_date, where the events have that partition column."""
+    if "event_date" not in events.columns:
+        return events
+    if start is not None:
+        events = events.filter(F.col("event_date") >= F.to_date(F.lit(start)))
+    return events if end is None else events.filter(F.col("event_date") <= F.to_date(F.lit(end)))
+
+
 def since_filter(df: DataFrame, column: str, since: datetime | None) -> DataFrame:
-    return df if since is None else df.filter(F.col(column) >= F.lit(since))
+    """Rows from `since` on; on the stored event table the days before are never read."""
+    if since is None:
+        return df
+    df = df.filter(F.col(column) >= F.lit(since))
+    return on_days(df, since, None) if column == "timestamp" else df
 
 
 def bucket(ts: Column, seconds: int) -> Column:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schema import (
-    ALERT, MAX_EVIDENCE, MAX_INVOLVED, TERMINAL_STATUSES, micros, severity_rank,
+    ACTIVE_STATUSES, ALERT, MAX_EVIDENCE, MAX_INVOLVED, TERMINAL_STATUSES, micros, severity_rank,
 )
 from ..session import materialize
 
@@ -35,7 +35,7 @@ def carried(
     df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None,
     lags: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Running sums and previous values over `keys` by `order`, as new columns.
+    """Running sums and previous non-null values over `keys` by `order`, as new columns.
 
     `df` has a `chunk` column that leads the order. The scan runs inside (keys, chunk); what each
     chunk hands on is taken from one row per chunk. `df` is read twice, so it should be a table
@@ -45,30 +45,32 @@ def carried(
     place = F.struct(*order)
     ends = df.groupBy(*keys, "chunk").agg(
         *[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()],
-        *[F.max_by(F.struct(c), place).alias(f"_l_{n}") for n, c in lags.items()],
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_l_{n}") for n, c in lags.items()],
     )
     by_chunk = W.partitionBy(*keys).orderBy("chunk")
     before = by_chunk.rowsBetween(W.unboundedPreceding, -1)
     carry = ends.select(
         *keys, "chunk",
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums],
-        *[F.lag(f"_l_{n}").over(by_chunk)[c].alias(f"_l_{n}") for n, c in lags.items()],
+        *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_l_{n}") for n in lags],
     )
     inside = W.partitionBy(*keys, "chunk").orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    first = F.row_number().over(inside) == 1
+    ahead = inside.rowsBetween(W.unboundedPreceding, -1)
     return df.join(carry, [*keys, "chunk"]).select(
         *df.columns,
         *[(F.col(f"_s_{n}") + F.sum(c).over(upto)).alias(n) for n, c in sums.items()],
-        *[F.when(first, F.col(f"_l_{n}")).otherwise(F.lag(c).over(inside)).alias(n) for n, c in lags.items()],
+        *[F.coalesce(F.last(c, ignorenulls=True).over(ahead), F.col(f"_l_{n}")).alias(n) for n, c in lags.items()],
     )
 
 
 def split_episodes(detections: DataFrame, triage: DataFrame | None, chunk_seconds: int = CHUNK_SECONDS):
-    """Number the episodes of each key (F2). Returns (detections, terminal triage rows), numbered.
+    """Number the episodes of each key (F2). Returns (detections, effective triage rows), numbered.
 
-    `triage` has rule_id, correlation_key, status, at. A firing opens a new episode when the row
-    before it on the key's timeline is a terminal action. At equal times the firing comes first.
+    `triage` has rule_id, correlation_key, status, at. A firing opens a new episode when the last
+    firing, terminal action or "open" before it on the key's timeline is a terminal action. The
+    other active states change the alert only while it is not closed; a status outside the five
+    is ignored. At equal times the firing comes first.
     """
     d = detections.withColumn("us", micros(F.col("triggered_at")))
     if triage is None:
@@ -77,10 +79,11 @@ def split_episodes(detections: DataFrame, triage: DataFrame | None, chunk_second
         *KEY, "us", F.lit(0).alias("kind"), F.col("event_id").alias("tie"), F.lit(False).alias("ends"),
         F.lit(None).cast("string").alias("status"),
     ).unionByName(
-        triage.filter(F.col("status").isin(*TERMINAL_STATUSES, "open")).select(
+        triage.filter(F.col("status").isin(*TERMINAL_STATUSES, *ACTIVE_STATUSES)).select(
             *KEY, micros(F.col("at")).alias("us"), F.lit(1).alias("kind"),
             F.coalesce(F.col("request_id"), F.lit("")).alias("tie"),
-            F.col("status").isin(TERMINAL_STATUSES).alias("ends"), "status",
+            F.when(F.col("status").isin(*TERMINAL_STATUSES, "open"), F.col("status").isin(TERMINAL_STATUSES)).alias("ends"),
+            "status",
         )
     ).withColumn("chunk", chunk_of(F.col("us"), chunk_seconds))
     order = ["us", "kind", "tie"]
@@ -91,8 +94,8 @@ def split_episodes(detections: DataFrame, triage: DataFrame | None, chunk_second
         steps.filter("kind = 0").select(*KEY, "us", F.col("tie").alias("event_id"), "episode"),
         [*KEY, "us", "event_id"],
     )
-    # a terminal action on an already closed alert changes nothing
-    effective = steps.filter((F.col("kind") == 1) & (F.col("episode") > 0) & (~F.col("ends") | ~F.col("ended")))
+    # on a closed alert only "open" changes anything
+    effective = steps.filter((F.col("kind") == 1) & (F.col("episode") > 0) & ((F.col("status") == "open") | ~F.col("ended")))
     return numbered, effective.select(*EPISODE, "us", "tie", "status")
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.text import filled, fixed0, fixed1, human_bytes, lookup, or_none, sentence
+from ..functions.text import exact_round, filled, fixed0, fixed1, human_bytes, lookup, or_none, sentence
 from ..schema import micros
 
 
@@ -69,7 +69,7 @@ class WindowRule(Rule):
     value: Callable[[], Column] | None = None
     contributes: Callable[[], Column] | None = None
     amount: Callable[[], Column] | None = None
-    members: int = 0
+    members: int = 0  # how many of the window's values a firing lists, smallest first
     reads: Callable[[RuleParams], dict[str, Column]] = None
 
 
@@ -195,7 +195,7 @@ def _exfiltration(p: RuleParams) -> dict[str, Column]:
             F.lit(f" within {p.exfil_seconds}s (threshold "), human_bytes(f"{p.bytes_threshold}L"), F.lit(")."),
         ),
         "severity": F.when(ratio >= 3, "high").otherwise("medium"),
-        "confidence": F.round(F.least(F.lit(0.95), 0.5 + 0.1 * ratio), 2),
+        "confidence": exact_round(f"least(0.95D, 0.5D + 0.1D * (amount / {p.bytes_threshold}L))", 2),
         "correlation_key": F.concat(F.lit("srcip:"), c("source_ip"), F.lit(":exfil")),
         "affected_host": c("source"),
         "summary": F.concat(
@@ -242,6 +242,8 @@ def _named() -> Column:
     return filled(c("username")).isNotNull() & filled(c("source_ip")).isNotNull()
 
 
+EVERY = 2 ** 31 - 1  # no limit
+
 BRUTE_FORCE = WindowRule(
     "RULE-001", "SSH_BRUTE_FORCE", "SSH/Service brute force", "authentication", "high", ("T1110.001",),
     "Investigate the source IP. If not attributable to a known scanner or user, block it at the "
@@ -255,7 +257,7 @@ BRUTE_FORCE = WindowRule(
     threshold=lambda p: p.max_failures,
     value=lambda: F.when(c("event_type") == AUTH_FAILURE, F.coalesce(filled(c("username")), F.lit("-"))),
     contributes=lambda: c("event_type") == AUTH_FAILURE,
-    members=52,  # 50 users after "-" and empty text are left out
+    members=EVERY,
     reads=_brute_force,
 )
 SPRAY = WindowRule(

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schema import MAX_PAGE, is_active
+from .aggregates import on_days
 
 EVENT_FILTERS = ("event_type", "source_ip", "severity", "source", "username")
 RELATED = 50
@@ -29,6 +30,7 @@ def filter_events(
         df = df.filter(F.col("timestamp") >= F.lit(start))
     if end is not None:
         df = df.filter(F.col("timestamp") <= F.lit(end))
+    df = on_days(df, start, end)
     if q:
         df = df.filter(F.col("message").ilike(f"%{q}%"))
     return df
@@ -91,8 +93,10 @@ def newest_per_ip(events: DataFrame, limit: int = RELATED) -> DataFrame:
 
 def related_events(alerts: DataFrame, events: DataFrame) -> DataFrame:
     """Newest events of each alert's source address (C7), for all alerts at once."""
-    recent = newest_per_ip(events.select("source_ip", *RELATED_FIELDS))
     keyed = alerts.filter("source_ip is not null").select("alert_id", "source_ip")
+    # only addresses with an alert are ranked
+    wanted = events.select("source_ip", *RELATED_FIELDS).join(keyed.select("source_ip").distinct(), "source_ip", "left_semi")
+    recent = newest_per_ip(wanted)
     return keyed.join(recent, "source_ip").select("alert_id", *RELATED_FIELDS)
 
 

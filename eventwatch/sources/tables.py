@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.normalize import dedup
 from ..schema import ALERT, AUDIT, SECURITY_EVENT
+from ..session import materialize
+
+ID_BUCKETS = 64
+ID_SCHEMA = SECURITY_EVENT.__class__([SECURITY_EVENT["event_id"]])
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -30,21 +34,24 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_events(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
-    """Store the events whose id is not stored yet; returns the rows stored.
+    """Store the events whose id is not stored yet, on whatever day; returns the rows stored.
 
-    Stored ids are read only from the days the batch touches. The day list is at most a few
-    values per batch and is used to prune partitions.
+    Stored ids are kept beside the events in a narrow table partitioned by a hash of the id, so a
+    batch compares one column with the buckets it touches. The ids are written before the events:
+    a batch that is retried ignores what it wrote itself and replaces it.
     """
     spark = batch.sparkSession
-    fresh = dedup(batch).withColumn("event_date", F.to_date("timestamp"))
-    days = [r[0] for r in fresh.select("event_date").distinct().collect()]
-    known = read_events(spark, path).filter(F.col("event_date").isin(days) & (F.col("batch") < batch_id))
-    new = fresh.join(known.select("event_id"), "event_id", "left_anti").select(
-        *[f.name for f in SECURITY_EVENT], "event_date", F.lit(batch_id).cast("bigint").alias("batch")
-    )
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "event_date", "batch").parquet(path)
-    return read_events(spark, path).filter(F.col("event_date").isin(days) & (F.col("batch") == batch_id))
+    ids, slot = f"{path}_ids", F.pmod(F.xxhash64("event_id"), F.lit(ID_BUCKETS)).cast("int")
+    known = _read(spark, ids, ID_SCHEMA, "bucket int, batch bigint").filter(F.col("batch") < batch_id)
+    fresh = dedup(batch).withColumns({"event_date": F.to_date("timestamp"), "bucket": slot})
+    new = materialize(fresh.join(known.select("bucket", "event_id"), ["bucket", "event_id"], "left_anti").withColumn(
+        "batch", F.lit(batch_id).cast("bigint")), "new-events")
+    for rows, names, parts, where in (
+        (new, ["event_id", "bucket", "batch"], ["bucket", "batch"], ids),
+        (new, [*[f.name for f in SECURITY_EVENT], "event_date", "batch"], ["event_date", "batch"], path),
+    ):
+        rows.select(*names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(where)
+    return read_events(spark, path).filter(F.col("batch") == batch_id)
 
 
 def read_alert_versions(spark: SparkSession, path: str) -> DataFrame:
@@ -71,16 +78,20 @@ def compact_alerts(spark: SparkSession, path: str, into: str) -> None:
     current_alerts(read_alert_versions(spark, path)).write.mode("overwrite").parquet(f"{into}/batch=0")
 
 
-def append_audit(audit: DataFrame, path: str) -> None:
-    audit.select(*[f.name for f in AUDIT]).write.mode("append").parquet(path)
+def append_audit(audit: DataFrame, path: str, batch_id: int) -> None:
+    audit.select(*[f.name for f in AUDIT]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    return _read(spark, path, AUDIT, "batch bigint").drop("batch")
 
 
 FEED_EVENTS = 100
 
 
 def write_feed(events: DataFrame, alerts: DataFrame, path: str, batch_id: int) -> None:
-    """Live feed of a batch: at most 100 of its events, and every alert it touched."""
-    items = events.limit(FEED_EVENTS).select(F.lit("events").alias("channel"), F.to_json(F.struct(*[
+    """Live feed of a batch: its newest 100 events, and every alert it touched."""
+    items = events.orderBy(F.desc("timestamp"), "event_id").limit(FEED_EVENTS).select(F.lit("events").alias("channel"), F.to_json(F.struct(*[
         f.name for f in SECURITY_EVENT])).alias("value"))
     items = items.unionByName(alerts.select(F.lit("alerts").alias("channel"), F.to_json(F.struct(*[
         f.name for f in ALERT])).alias("value")))

@@ -4,20 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Topic name and largest micro-batch of the default source.
-TOPIC = "siem.events.raw"
-MAX_BATCH = 500
-
 
 def read_events(spark: SparkSession, fmt: str = "kafka", path: str | None = None, **options: str) -> DataFrame:
     """Streaming DataFrame with one JSON text per row in `value`.
 
-    fmt "kafka" needs the Kafka connector on the classpath and `kafka.bootstrap.servers`;
+    fmt "kafka" needs the Kafka connector on the classpath, `subscribe` (the topic) and
+    `kafka.bootstrap.servers`; `maxOffsetsPerTrigger` bounds a micro-batch where it is given.
     fmt "text" reads JSON-lines files, `maxFilesPerTrigger` bounding a micro-batch.
     """
     reader = spark.readStream
     if fmt == "kafka":
-        settings = {"subscribe": TOPIC, "startingOffsets": "latest", "maxOffsetsPerTrigger": str(MAX_BATCH), **options}
+        settings = {"startingOffsets": "latest", **options}
         return reader.format("kafka").options(**settings).load().selectExpr("cast(value as string) as value")
     return reader.format("text").options(**{"maxFilesPerTrigger": "1", **options}).load(path)
 

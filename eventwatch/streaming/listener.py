@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections import deque
 from datetime import datetime, timezone
@@ -20,10 +21,28 @@ SAMPLE_SCHEMA = (
 
 
 def source_lag(progress) -> int | None:
-    """Records the source still holds, summed over its sources; None when it does not say."""
-    lags = [s.metrics.get("maxOffsetsBehindLatest") for s in progress.sources if s.metrics]
-    known = [int(float(x)) for x in lags if x is not None]
-    return sum(max(0, x) for x in known) if known else None
+    """Records the sources still hold, summed over all their partitions; None when they do not say.
+
+    The offsets of each partition are compared where a source reports them (topic -> partition ->
+    offset); otherwise its largest partition lag has to do.
+    """
+    known: list[int] = []
+    for s in progress.sources:
+        latest, end = _offsets(s.latestOffset), _offsets(s.endOffset)
+        if latest is not None and end is not None:
+            known.append(sum(max(0, n - end.get(part, 0)) for part, n in latest.items()))
+        elif s.metrics and s.metrics.get("maxOffsetsBehindLatest") is not None:
+            known.append(max(0, int(float(s.metrics["maxOffsetsBehindLatest"]))))
+    return sum(known) if known else None
+
+
+def _offsets(text: str | None) -> dict[tuple[str, str], int] | None:
+    """{(topic, partition): offset} of an offset's JSON text, None for another form of offset."""
+    try:
+        topics = json.loads(text or "")
+        return {(t, p): int(n) for t, parts in topics.items() for p, n in parts.items()}
+    except (ValueError, AttributeError, TypeError):
+        return None
 
 
 def sample(counts: dict[str, float], elapsed: float, busy_seconds: float, at: float, lag: int | None = None) -> tuple:

@@ -115,6 +115,17 @@ def test_closed_alerts_do_not_absorb(detections, spark):
     assert len({r.alert_id for r in got}) == 2
 
 
+def test_active_states_reach_the_alert(detections, spark):
+    """Acknowledged and investigating are kept while the alert is open and refused once it is closed."""
+    d = detections([{"at": t} for t in (1, 10, 20)])
+    rows = [("RULE-001", "srcip:203.0.113.9", s, T0 + timedelta(seconds=t), f"r{t}") for s, t in
+            (("acknowledged", 2), ("resolved", 3), ("investigating", 4), ("acknowledged", 5), ("bogus", 6), ("investigating", 30))]
+    triage = spark.createDataFrame(rows, "rule_id string, correlation_key string, status string, at timestamp, request_id string")
+    for chunk in (3, 3600):
+        got = {r.episode: (r.status, r.event_count) for r in correlate(d, triage, chunk).collect()}
+        assert got == {1: ("resolved", 1), 2: ("investigating", 2)}
+
+
 def test_merge_opens_a_new_alert_when_the_stored_one_is_closed(detections):
     stored = correlate(detections([{"at": 1}])).drop("episode").withColumn("status", __import__("pyspark").sql.functions.lit("resolved"))
     changed = merge_alerts(stored, detections([{"at": 2, "event_id": "z"}])).collect()

@@ -154,6 +154,20 @@ def test_exfiltration_sums_per_destination(make_events):
     assert got[0].evidence[0].summary == "1.9 MiB -> 203.0.113.5:443"
 
 
+def test_every_account_is_listed(make_events):
+    """80 accounts fail from one address: the firing names all of them."""
+    events = make_events([{"at": i / 4, "event_type": "authentication_failure", "source_ip": "203.0.113.9", "username": f"u{i:02d}"} for i in range(80)])
+    last = max(fired(detect(events), "RULE-001"), key=lambda r: r.event_count_hint)
+    assert last.event_count_hint == 80 and last.involved_users == [f"u{i:02d}" for i in range(80)]
+
+
+def test_exfiltration_confidence_rounds_the_binary_value(make_events):
+    """62.5 MiB over 50 MiB is 0.625, a tie that goes to the even digit."""
+    events = make_events([{"event_type": "network_flow", "source_ip": "10.0.0.1", "destination_ip": "8.8.8.8", "bytes_out": 65_536_000}])
+    (hit,) = fired(detect(events, RuleParams(bytes_threshold=52_428_800)), "RULE-006")
+    assert hit.confidence == 0.62
+
+
 def test_auth_anomaly_counts_successes_only(make_events):
     def login(i, status="success"):
         return {"at": i, "event_type": "authentication_success", "status": status, "username": "Ann", "source_ip": f"198.51.100.{i}"}
@@ -184,5 +198,5 @@ def test_user_lists_against_brute_force(make_events):
         seen = [x for x in rows if x["source_ip"] == r["source_ip"] and r["at"] - 60 < x["at"] <= r["at"]]
         if len(seen) >= 5:
             users = sorted({x["username"] for x in seen})
-            want[f"e{i:05d}"] = (len(seen), users[:52])
+            want[f"e{i:05d}"] = (len(seen), users)
     assert {r.event_id: (r.event_count_hint, r.involved_users) for r in got} == want

@@ -2,6 +2,7 @@
 
 import json
 from datetime import timedelta
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -12,13 +13,14 @@ from eventwatch.operators.rollup import long_form, traffic_rollup
 from eventwatch.operators.rules import WINDOW_RULES, RuleParams
 from eventwatch.plans.dashboards import current_throughput, performance_history
 from eventwatch.plans.detect import detect
-from eventwatch.schema import SECURITY_EVENT
-from eventwatch.sources.tables import current_alerts, read_alert_versions, read_events
+from eventwatch.schema import AUDIT, SECURITY_EVENT
+from eventwatch.operators import aggregates as agg
+from eventwatch.sources.tables import append_audit, append_events, current_alerts, read_alert_versions, read_audit, read_events
 from eventwatch.sources.topics import read_events as read_topic
 from eventwatch.streaming.baselines import stream_ewma, stream_rollup
 from eventwatch.streaming.engine import Engine
 from eventwatch.streaming.keyed import keyed_detections
-from eventwatch.streaming.listener import Throughput, sample
+from eventwatch.streaming.listener import Throughput, sample, source_lag
 
 
 def attack(make_events, n=60):
@@ -78,6 +80,36 @@ def test_engine_equals_batch_and_survives_a_repeat(spark, make_events, tmp_path)
     assert feed.filter("channel = 'events' and batch = 0").count() == 80
 
 
+def test_an_event_id_is_stored_once_whatever_its_day(spark, make_events, tmp_path):
+    """Copies on another day, in a later batch or in a retried one, add nothing."""
+    path = str(tmp_path / "events")
+    first = make_events([{"event_id": "a"}, {"event_id": "b"}])
+    later = make_events([{"event_id": "a", "at": 90_000}, {"event_id": "c", "at": 90_000}])
+    assert append_events(first, path, 0).count() == 2
+    for _ in range(2):
+        assert [r.event_id for r in append_events(later, path, 1).collect()] == ["c"]
+    assert sorted(r.event_id for r in read_events(spark, path).collect()) == ["a", "b", "c"]
+    plan = agg.top_source_ips(read_events(spark, path), T0.replace(tzinfo=None))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+
+
+def test_audit_of_a_retried_batch_is_kept_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x")], "actor string, action string")
+    rows = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in AUDIT])
+    for batch in (0, 1, 1):
+        append_audit(rows, str(tmp_path / "audit"), batch)
+    assert read_audit(spark, str(tmp_path / "audit")).count() == 2
+
+
+def test_lag_is_summed_over_partitions():
+    source = SimpleNamespace(latestOffset='{"t": {"0": 10, "1": 7}}', endOffset='{"t": {"0": 4, "1": 7}}', metrics={"maxOffsetsBehindLatest": "6"})
+    other = SimpleNamespace(latestOffset="5", endOffset="3", metrics={"maxOffsetsBehindLatest": "2"})
+    silent = SimpleNamespace(latestOffset=None, endOffset=None, metrics={})
+    second = SimpleNamespace(latestOffset='{"t": {"0": 3, "2": 9}}', endOffset='{"t": {"0": 1}}', metrics={})
+    assert source_lag(SimpleNamespace(sources=[source, second])) == 6 + 2 + 9
+    assert source_lag(SimpleNamespace(sources=[other, silent])) == 2 and source_lag(SimpleNamespace(sources=[silent])) is None
+
+
 def test_raw_stream_counts_faults(spark, tmp_path):
     rows = [{"event_id": f"x{i}", "event_type": "authentication_failure", "source_ip": "203.0.113.9", "username": f"u{i}",
              "timestamp": (T0 + timedelta(seconds=i)).isoformat()} for i in range(18)]
