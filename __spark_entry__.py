@@ -242,6 +242,22 @@ def triaged(events: DataFrame, alerts: DataFrame):
                         triage_requests(events, alerts))
 
 
+def triage_unknown_status(events: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Every move and refusal when all successes ask for a state, one in six for one that does not exist."""
+    k = F.col("destination_port") - 1
+    states = ["acknowledged", "investigating", "resolved", "open", "false_positive", "bogus"]
+    asked = events.filter("event_type = 'authentication_success'").select(
+        "source_ip", F.col("timestamp").alias("at"), F.col("event_id").alias("request_id"), F.col("username").alias("actor"),
+        F.lit(None).cast("string").alias("note"),
+        F.element_at(F.array(*[F.lit(s) for s in states]), (k % 6 + 1).cast("int")).alias("status"))
+    requests = asked.join(alerts.select("alert_id", "source_ip"), "source_ip").drop("source_ip")
+    _, audit, rejected = apply_triage(alerts.withColumn("status", F.lit("open")), requests)
+    moved = audit.select(F.col("target_id").alias("alert_id"), F.element_at("detail", "from").alias("moved_from"),
+                         F.element_at("detail", "to").alias("moved_to"), F.lit("changed").alias("outcome"), us("at").alias("us"))
+    return moved.unionByName(rejected.select(
+        "alert_id", F.col("from").alias("moved_from"), F.col("to").alias("moved_to"), F.lit("rejected").alias("outcome"), us("at").alias("us")))
+
+
 def triage_result(events: DataFrame, alerts: DataFrame) -> DataFrame:
     after, _, _ = triaged(events, alerts)
     return after.select(
@@ -409,6 +425,7 @@ def queries() -> dict[str, Query]:
         "triage_transitions": on_both(triage_result),
         "triage_audit": on_both(triage_audit),
         "triage_rejected": on_both(triage_rejected),
+        "triage_unknown_status": on_both(triage_unknown_status),
         "isolation_forest": on_events(lambda e: rolling_forest(hourly(e))),
         "ml_alerts": on_events(ml_alerts),
         "stream_events": lambda s, d: stream_events(s, d),

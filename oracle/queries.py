@@ -136,8 +136,16 @@ tw AS (
 )"""
 
 
-def with_triage(body: str) -> str:
-    return "WITH RECURSIVE " + with_alerts("", TRIAGE_WALK).strip()[len("WITH "):] + "\n" + body
+# The same over every alert and every success, with requests for a state that does not exist.
+TRIAGE_ODD = (
+    TRIAGE_WALK.replace(" WHERE rule_id = 'RULE-001' AND episode = 1", "").replace(" AND e.k < 9", "")
+    .replace("'open', 'false_positive'])[e.k % 5 + 1]", "'open', 'false_positive', 'bogus'])[e.k % 6 + 1]")
+    .replace("CASE WHEN w.state = r.target", "CASE WHEN r.target = 'bogus' THEN 'rejected' WHEN w.state = r.target")
+)
+
+
+def with_triage(body: str, walk: str = TRIAGE_WALK) -> str:
+    return "WITH RECURSIVE " + with_alerts("", walk).strip()[len("WITH "):] + "\n" + body
 
 
 # What the faulty payloads should become, stated per fault instead of parsed from text.
@@ -286,4 +294,8 @@ ORACLES: dict[str, str] = {
         w.before AS moved_from, w.state AS moved_to FROM tw w JOIN req r USING (alert_id, rn) WHERE w.outcome = 'changed'"""),
     "triage_rejected": with_triage("""SELECT r.alert_id, r.us, w.before AS moved_from, r.target AS moved_to, 'rejected' AS reason
         FROM tw w JOIN req r USING (alert_id, rn) WHERE w.outcome = 'rejected'"""),
+    "triage_unknown_status": with_triage("""SELECT f.alert_id, coalesce(w.before, f.state) AS moved_from, w.target AS moved_to, w.outcome, w.us
+        FROM (SELECT alert_id, 'open' AS state FROM first_alerts) f
+        JOIN (SELECT alert_id, r.us, r.target, w.before, w.outcome FROM tw w JOIN req r USING (alert_id, rn)) w USING (alert_id)
+        WHERE w.outcome IN ('changed', 'rejected')""", TRIAGE_ODD),
 }
