@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from eventwatch.llm import set_join as sj
@@ -95,6 +96,18 @@ def next_pairs(rows: DataFrame, reps: DataFrame, decided: DataFrame, percent: in
     return sj.paired(marked.join(open_, "token").join(reps.select("id", "bitmap"), "id"), percent, _earlier, best)
 
 
+def _cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted lines of each document as compressed texts of their own."""
+    squeeze, restore = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+    for batch in batches:
+        ids, blobs = [], []
+        for blob, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            lines = restore.decompress(blob).split(b"\n")
+            for w in wanted:
+                ids.append(w["id"]), blobs.append(squeeze.compress(lines[w["line"]]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["id", "blob"])
+
+
 def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, body (hash of the text), removed (sorted numbers of the lines to drop, from 0).
 
@@ -114,11 +127,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     wanted = rows.select("id", "doc_id", "body", "line").distinct().groupBy("doc_id", "body").agg(
         F.collect_list(F.struct("id", "line")).alias("wanted"))
     same = F.col("w.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("w.body") == F.col("d.body"))
-    whole = with_body(docs).alias("d").join(wanted.alias("w"), same)
-    cut = whole.select(F.split("d.text", "\n").alias("lines"), "wanted")
-    texts = cut.select(F.explode(F.transform(
-        "wanted", lambda x: F.struct(x["id"].alias("id"), F.get("lines", x["line"]).alias("text")))).alias("x")).select("x.id", "x.text")
-    texts = materialize(texts.groupBy("id").agg(F.first("text").alias("text")), "line-texts")
+    read = sj.packed(id_and_text(docs).select("doc_id", F.xxhash64("text").alias("body"), "text"))
+    texts = sj.stored_texts(read.alias("d").join(wanted.alias("w"), same).select("d.blob", "w.wanted").mapInArrow(_cut_lines, "id bigint, blob binary"))
     decided, tested = None, None
     for step in ("best", "all", "done"):
         asked = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()

@@ -156,10 +156,9 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
         "n", "prefix", "bitmap"), "classes")
     rows = blocks(reps)
     wanted = rows.select("id").distinct().join(reps.select("id", "doc_id", "body"), "id")
-    read = id_and_text(docs).withColumn("body", F.xxhash64("text"))
+    read = sj.packed(id_and_text(docs).select("doc_id", F.xxhash64("text").alias("body"), "text"))
     same = F.col("w.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("w.body") == F.col("d.body"))
-    texts = read.alias("d").join(wanted.alias("w"), same).groupBy("w.id").agg(F.first("d.text").alias("text"))
-    texts = materialize(texts, "texts")
+    texts = sj.stored_texts(read.alias("d").join(wanted.alias("w"), same).select("w.id", "d.blob"))
     pairs = materialize(central_pairs(rows, percent), "pairs")
     labels, tested = None, None
     for step in ("best", "all", "done"):

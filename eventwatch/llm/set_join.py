@@ -9,19 +9,22 @@ only one of the sets has).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from eventwatch.llm.text_arrays import Words, id_and_text, lists, mix, shingles, signed, slices, within
+from eventwatch.session import shared_dir
 
 #: The most frequent words whose counts travel to the tasks (12 bytes each): a fixed size.
 FREQUENT_WORDS = 1 << 16
 #: Smallest and largest bitmap of a set.
-BITMAP_BITS = (256, 1 << 16)
+BITMAP_BITS = (256, 1 << 15)
 #: Pairs of rows a task looks at in one step.
 PAIR_CHUNK = 1 << 20
 
@@ -85,8 +88,8 @@ class Sets:
         return lists(signed(self.hash[first]), size, pa.int64())
 
     def bitmaps(self) -> list[bytes]:
-        """Parity bitmap per row, two to four bits an element, a power of two in all."""
-        size = np.clip(1 << np.ceil(np.log2(np.maximum(2 * self.n, 1))).astype(np.int64), *BITMAP_BITS)
+        """Parity bitmap per row, half a bit to one bit an element, a power of two in all."""
+        size = np.clip(1 << np.floor(np.log2(np.maximum(self.n, 1))).astype(np.int64), *BITMAP_BITS)
         base = np.cumsum(size) - size
         spot = base[self.row] + (self.hash & (size[self.row] - 1).astype(np.uint64)).astype(np.int64)
         flat = np.packbits((np.bincount(spot, minlength=int(size.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
@@ -252,6 +255,30 @@ def paired(rows: DataFrame, percent: int, orient, best: bool, tile: int = 2048)
     return found.groupBy("id").agg(F.min(F.struct("apart", "other")).alias("m")).select("id", F.col("m.other").alias("other"))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """`rows` with their `text`, the last column, compressed as `blob`."""
+    names = rows.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            blobs = pa.array([squeeze.compress(x.as_py().encode()) for x in batch.column(len(names))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], blobs], [*names, "blob"])
+
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema][:-1]
+    return rows.mapInArrow(run, ", ".join([*kinds, "blob binary"]))
+
+
+def stored_texts(texts: DataFrame) -> DataFrame:
+    """(id, blob) written as a table bucketed by id: the rounds of verification join it unshuffled."""
+    spark = texts.sparkSession
+    parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"set_join_{uuid.uuid4().hex}"
+    once = texts.repartition(parts, "id").groupBy("id").agg(F.first("blob").alias("blob"))
+    once.write.bucketBy(parts, "id").format("parquet").option("path", f"{shared_dir(spark)}/{name}").option(
+        "compression", "none").saveAsTable(name)
+    return spark.table(name)
+
+
 def jaccard_of_texts(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b) of the pairs whose shingle sets have Jaccard `percent` or more, from their whole texts.
 
@@ -259,7 +286,7 @@ def jaccard_of_texts(pairs: DataFrame, texts: DataFrame, size: int, percent: int
     """
     asked = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    together = asked.join(texts, "id").select("a", "b", "id", "text").repartition(parts, "a", "b").sortWithinPartitions("a", "b", "id")
+    together = asked.join(texts, "id").select("a", "b", "id", "blob").repartition(parts, "a", "b").sortWithinPartitions("a", "b", "id")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = None
@@ -270,13 +297,14 @@ def jaccard_of_texts(pairs: DataFrame, texts: DataFrame, size: int, percent: int
             even = batch.num_rows // 2 * 2
             if even < batch.num_rows:
                 odd = batch.slice(even)
-            batch = batch.slice(0, even)
+            batch, restore = batch.slice(0, even), zstandard.ZstdDecompressor()
+            texts = pa.array([restore.decompress(x.as_py()).decode() for x in batch.column(3)], pa.large_string())
             at = 0
             while at < even:
-                _, stop, _, _ = next(slices(batch.column(3).slice(at)))
+                _, stop, _, _ = next(slices(texts.slice(at)))
                 stop = at + max(2, stop // 2 * 2)
                 part = batch.slice(at, stop - at)
-                _, _, data, offsets = next(slices(part.column(3), 1 << 62))
+                _, _, data, offsets = next(slices(texts.slice(at, stop - at), 1 << 62))
                 sets = shingle_sets(Words(data, offsets), size)
                 both = sets.row // 2
                 order = np.lexsort((sets.hash, both))
