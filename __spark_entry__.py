@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from importlib.util import find_spec
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -437,11 +438,13 @@ def queries() -> dict[str, Query]:
 def _llm():
     """Queries and oracles of the training-data operators, if that part of the package is there."""
     try:
-        from eventwatch.llm import queries as llm
-    except ModuleNotFoundError as missing:
-        if missing.name not in ("eventwatch.llm", "corpus_pipeline"):
-            raise
+        found = find_spec("eventwatch.llm.queries") and find_spec("corpus_pipeline")
+    except ModuleNotFoundError:
+        found = None
+    if not found:
         return {}, {}
+    from eventwatch.llm import queries as llm
+
     return llm.queries(), llm.oracle_sql()
 
 
