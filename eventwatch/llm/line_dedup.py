@@ -3,7 +3,7 @@
 A line's set is its distinct five-word shingles. A line goes when any line before it (smaller doc_id,
 or earlier in the same document) has Jaccard 0.8 or more with it; matches are judged on the input.
 
-Lines with equal sets form a class, represented by its first line. For the others only the question
+Lines with equal words form a class, represented by its first line. For the others only the question
 "does an earlier match exist?" is open: every class first tries the earliest class of its blocks (the
 one it shares most prefix elements with), then its nearest earlier candidate, and what is undecided
 after that tries all of them. Positional, length and bitmap filters lose no match.
@@ -34,7 +34,7 @@ def with_body(docs: DataFrame) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, percent: int, min_words: int, rarity: sj.Rarity | None) -> DataFrame:
-    """doc_id, body, line, n, key, and with `rarity` prefix and bitmap, of lines with enough words."""
+    """doc_id, body, line, key (of its words), and with `rarity` n, prefix and bitmap, of lines with enough words."""
     full = rarity is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,19 +47,19 @@ def line_sets(docs: DataFrame, percent: int, min_words: int, rarity: sj.Rarity |
                 number = np.searchsorted(breaks, starts, "right") - np.searchsorted(breaks, offsets[doc], "right")
                 words = Words(data, np.r_[starts, len(data)].astype(np.int64))
                 enough = np.flatnonzero(np.diff(words.first) >= min_words)
-                sets = sj.shingle_sets(words, SHINGLE, rarity)
-                at = pa.array(doc[enough] + i)
-                keys = sets.keys()
+                at, keys = pa.array(doc[enough] + i), sj.sequence_keys(words)
                 out = [batch.column(0).take(at), batch.column(2).take(at), pa.array(number[enough], pa.int32()),
-                       pa.array(sets.n[enough], pa.int32()), pa.array([keys[k] for k in enough], pa.binary())]
-                names = ["doc_id", "body", "line", "n", "key"]
+                       pa.array([keys[k] for k in enough], pa.binary())]
+                names = ["doc_id", "body", "line", "key"]
                 if full:
+                    sets = sj.shingle_sets(words, SHINGLE, rarity)
                     maps = sets.bitmaps()
-                    out += [sets.prefixes(percent).take(pa.array(enough)), pa.array([maps[k] for k in enough], pa.binary())]
-                    names += ["prefix", "bitmap"]
+                    out += [pa.array(sets.n[enough], pa.int32()), sets.prefixes(percent).take(pa.array(enough)),
+                            pa.array([maps[k] for k in enough], pa.binary())]
+                    names += ["n", "prefix", "bitmap"]
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    kind = "doc_id bigint, body bigint, line int, n int, key binary" + (", prefix array<bigint>, bitmap binary" if full else "")
+    kind = "doc_id bigint, body bigint, line int, key binary" + (", n int, prefix array<bigint>, bitmap binary" if full else "")
     return with_body(docs).mapInArrow(run, kind)
 
 

@@ -1,6 +1,6 @@
 """N-gram Jaccard join by grouped prefixes (operator 9).
 
-Documents with the same shingle set are one class from the start. Classes are indexed under the rare
+Documents with the same words in the same order are one class from the start. Classes are indexed under the rare
 elements of their prefixes; classes with the same prefix and size form one group, and groups, not
 documents, are paired. Only connectivity is asked for, so pairs already connected are not looked at
 again. First every class is tried against the most central class of its blocks, then against its
@@ -27,23 +27,26 @@ TILE = 2048
 
 
 def document_sets(docs: DataFrame, size: int, percent: int, rarity: sj.Rarity | None) -> DataFrame:
-    """doc_id, body (hash of the text), n, key (set fingerprint), and with `rarity` prefix and bitmap."""
+    """doc_id, body (hash of the text), key (of the word sequence), and with `rarity` n, prefix and bitmap.
+
+    Only documents with words.
+    """
     full = rarity is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in slices(batch.column(1)):
-                sets = sj.shingle_sets(Words(data, offsets), size, rarity)
-                out = [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(sets.n, pa.int32()),
-                       pa.array(sets.keys(), pa.binary())]
-                names = ["doc_id", "body", "n", "key"]
+                words = Words(data, offsets)
+                out = [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(sj.sequence_keys(words), pa.binary())]
+                names = ["doc_id", "body", "key"]
                 if full:
-                    out += [sets.prefixes(percent), pa.array(sets.bitmaps(), pa.binary())]
-                    names += ["prefix", "bitmap"]
+                    sets = sj.shingle_sets(words, size, rarity)
+                    out += [pa.array(sets.n, pa.int32()), sets.prefixes(percent), pa.array(sets.bitmaps(), pa.binary())]
+                    names += ["n", "prefix", "bitmap"]
                 yield pa.RecordBatch.from_arrays(out, names)
 
     read = id_and_text(docs).withColumn("body", F.xxhash64("text"))
-    kind = "doc_id bigint, body bigint, n int, key binary" + (", prefix array<bigint>, bitmap binary" if full else "")
+    kind = "doc_id bigint, body bigint, key binary" + (", n int, prefix array<bigint>, bitmap binary" if full else "")
     return read.mapInArrow(run, kind)
 
 
@@ -170,10 +173,10 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
         found = next_pairs(rows, reps, labels, percent, step == "best")
         pairs = materialize(found.join(tested, ["a", "b"], "left_anti"), "pairs")
     members = document_sets(docs, size, percent, None)
-    rep = reps.select("key", "id", "doc_id", "body").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rep = reps.select("key", "id", "n", "doc_id", "body").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("component_id"), F.col("body").alias("component_body")))
-    named = rep.join(rep.groupBy("label").agg(first.alias("first")), "label").select("key", "first.component_id", "first.component_body")
-    alone = F.col("n") == 0
+    named = rep.join(rep.groupBy("label").agg(first.alias("first")), "label").select("key", "n", "first.component_id", "first.component_body")
+    alone = F.col("n").isNull()
     return members.join(named, "key", "left").select(
-        "doc_id", "body", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "doc_id", "body", F.coalesce("n", F.lit(0)).alias("n"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(alone, F.col("body")).otherwise(F.col("component_body")).alias("component_body"))

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from eventwatch.llm.text_arrays import Words, id_and_text, lists, mix, shingles, signed, slices, within
-from eventwatch.session import shared_dir
+from eventwatch.session import materialize, shared_dir
 
 #: The most frequent words whose counts travel to the tasks (12 bytes each): a fixed size.
 FREQUENT_WORDS = 1 << 16
@@ -44,7 +44,7 @@ class Rarity:
 
 
 def word_rarity(docs: DataFrame, limit: int = FREQUENT_WORDS) -> Rarity:
-    """Count the words of the whole corpus and keep the `limit` most frequent ones, as powers of two."""
+    """Count the words of the whole corpus and keep about the `limit` most frequent ones, as powers of two."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,8 +52,17 @@ def word_rarity(docs: DataFrame, limit: int = FREQUENT_WORDS) -> Rarity:
                 seen, n = np.unique(Words(data, offsets).hash, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(seen)), pa.array(n)], ["word", "n"])
 
-    rows = id_and_text(docs).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = rows.filter("n > 1").orderBy(F.desc("n"), "word").limit(limit).toPandas()
+    counted = id_and_text(docs).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+    counted = materialize(counted.withColumn("step", F.floor(16 * F.log2("n")).cast("int")), "word-counts")
+    # at most 16 steps a power of two come to the driver, then the words of the highest steps that fit
+    steps, held = counted.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect(), 0
+    lowest = 1 << 30
+    for step, n in sorted(((r.step, r.n) for r in steps), reverse=True):
+        held += n
+        if held > limit:
+            break
+        lowest = step
+    top = counted.filter(F.col("step") >= lowest).select("word", "n").toPandas()
     words = np.ascontiguousarray(top.word.to_numpy(np.int64)).view(np.uint64)
     order = np.argsort(words)
     return Rarity(words[order], np.log2(top.n.to_numpy(float) + 1).astype(np.int8)[order])
@@ -71,17 +80,6 @@ class Sets:
     row: np.ndarray
     n: np.ndarray
 
-    def keys(self) -> list[bytes]:
-        """A 128-bit fingerprint per row that does not depend on order; empty rows share one."""
-        out = np.zeros((len(self.n), 2), np.uint64)
-        some = np.flatnonzero(self.n)
-        if len(some):
-            heads = (np.cumsum(self.n) - self.n)[some]
-            out[some, 0] = np.add.reduceat(mix(self.hash), heads)
-            out[some, 1] = np.add.reduceat(mix(self.hash ^ np.uint64(0x5851F42D4C957F2D)), heads)
-        raw = out.tobytes()
-        return [raw[16 * i:16 * i + 16] for i in range(len(self.n))]
-
     def prefixes(self, percent: int) -> pa.ListArray:
         size = np.where(self.n > 0, prefix_length(self.n, percent), 0)
         first = np.repeat(np.cumsum(self.n) - self.n, size) + within(size)
@@ -96,6 +94,19 @@ class Sets:
         return [flat[i:i + k] for i, k in zip((base // 8).tolist(), (size // 8).tolist())]
 
 
+def sequence_keys(words: Words) -> list[bytes]:
+    """A 128-bit fingerprint of each row's word sequence; rows without words share one."""
+    counts = np.diff(words.first)
+    out = np.zeros((len(counts), 2), np.uint64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        place, heads = within(counts).astype(np.uint64), words.first[some]
+        out[some, 0] = np.add.reduceat(mix(words.hash + place * np.uint64(0x9E3779B97F4A7C15)), heads)
+        out[some, 1] = np.add.reduceat(mix((words.hash ^ np.uint64(0x5851F42D4C957F2D)) + place * np.uint64(0xD1342543DE82EF95)), heads)
+    raw = out.tobytes()
+    return [raw[16 * i:16 * i + 16] for i in range(len(counts))]
+
+
 def shingle_sets(words: Words, size: int, rarity: Rarity | None = None) -> Sets:
     h, row = shingles(words, size)
     if rarity is None:
@@ -111,7 +122,12 @@ def shingle_sets(words: Words, size: int, rarity: Rarity | None = None) -> Sets:
         short = np.flatnonzero((counts > 0) & (counts < size))
         if len(short):
             level = np.r_[level, [rare[words.first[r]:words.first[r + 1]].min() for r in short]]
-    order = np.lexsort((h, level, row))
+    # one sort by (row, level, hash); where the packed key cannot tell two hashes apart, by all three
+    packed_key = ((row * 32 + level).astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))
+    order = np.argsort(packed_key)
+    key, hash_ = packed_key[order], h[order]
+    if len(words.first) > 1 << 19 or ((key[1:] == key[:-1]) & (hash_[1:] != hash_[:-1])).any():
+        order = np.lexsort((h, level, row))
     h, row = h[order], row[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
