@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
@@ -279,18 +280,28 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         F.col("at").bitwiseAND(_PLACE) * 4 + k).alias("at"))
     gone = kind(found.filter("repeat"), 0).union(kind(found_cells.filter("repeat"), 1)).union(kind(repeated_strings(strings), 2))
 
+    def parted(batch: pa.RecordBatch) -> Iterator[tuple]:
+        """Documents that lose nothing apart from the others: their runs are not needed."""
+        whole = batch.column(3).is_null()
+        for part in (batch.filter(whole), batch.filter(pc.invert(whole))):
+            for slice_ in opened(part):
+                yield *slice_, part.column(0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets, row, place in opened(batch):
-                runs = Runs(data, offsets)
+            for i, j, data, offsets, row, place, ids in parted(batch):
                 what, value, base = place % 4, place // 4, offsets[row]
-                r = runs.find(base[what == 0] + value[what == 0])
-                c = runs.find(base[what == 1] + value[what == 1] // 16)
-                lo, hi = runs.cell_bounds(c, value[what == 1] % 16)
+                lo = hi = np.zeros(0, np.int64)
+                if (what < 2).any():
+                    runs = Runs(data, offsets)
+                    r = runs.find(base[what == 0] + value[what == 0])
+                    c = runs.find(base[what == 1] + value[what == 1] // 16)
+                    lo, hi = runs.cell_bounds(c, value[what == 1] % 16)
+                    lo, hi = np.r_[runs.lo[r], lo], np.r_[runs.hi[r], hi]
                 s = base[what == 2] + value[what == 2]
                 n = len(data)
-                step = np.bincount(np.r_[runs.lo[r], lo, s], minlength=n + 1) - np.bincount(
-                    np.r_[runs.hi[r], hi, s] + LENGTH, minlength=n + 1)
+                step = np.bincount(np.r_[lo, s], minlength=n + 1) - np.bincount(
+                    np.r_[hi, s] + LENGTH, minlength=n + 1)
                 covered = np.cumsum(step)[:n] > 0
                 opens = covered.copy()
                 opens[1:] &= ~covered[:-1]
@@ -303,7 +314,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
                 left = np.r_[0, np.cumsum(~covered)][offsets]
                 kept = data[~covered].tobytes()
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(i, j - i), pa.array([kept[x:y] for x, y in zip(left, left[1:])], pa.binary()),
+                    ids.slice(i, j - i), pa.array([kept[x:y] for x, y in zip(left, left[1:])], pa.binary()),
                     pa.array(np.diff(offsets)), pa.array(np.diff(offsets) - np.diff(left)), pa.array(np.diff(at)),
                     pa.array([[{"start": int(x - offsets[k]), "end": int(y - offsets[k])} for x, y in zip(a[at[k]:at[k + 1]], b[at[k]:at[k + 1]])]
                               for k in range(j - i)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
