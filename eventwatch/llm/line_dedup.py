@@ -121,8 +121,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
     reps = materialize(classes.select(
         F.monotonically_increasing_id().alias("id"), "key", "first.doc_id", "first.line", "first.body", "n", "prefix", "bitmap"), "line-classes")
-    tokens = reps.select("id", "n", "doc_id", "line", "body", F.posexplode("prefix").alias("pos", "token"))
-    rows = materialize(sj.shared_elements(tokens.select("token", "id", "n", "pos", "doc_id", "line", "body")), "line-blocks")
+    tokens = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    # only elements met twice get the place of their line
+    shared = sj.shared_elements(tokens.select("token", "id", "n", "pos"))
+    rows = materialize(shared.join(reps.select("id", "doc_id", "line", "body"), "id"), "line-blocks")
     pairs = materialize(first_pairs(rows, percent), "line-pairs")
     wanted = rows.select("id", "doc_id", "body", "line").distinct().groupBy("doc_id", "body").agg(
         F.collect_list(F.struct("id", "line")).alias("wanted"))

@@ -25,10 +25,19 @@ from eventwatch.session import materialize, shared_dir
 FREQUENT_WORDS = 1 << 16
 #: Smallest and largest bitmap of a set.
 BITMAP_BITS = (256, 1 << 15)
+#: Word counts a task holds before it merges and sends them.
+HELD_COUNTS = 1 << 20
 #: Pairs of rows a task looks at in one step.
 PAIR_CHUNK = 1 << 20
 
 
+def merged_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(value, count) parts summed by value."""
+    values, counts = (np.concatenate(x) for x in zip(*parts))
+    seen, place = np.unique(values, return_inverse=True)
+    return seen, np.bincount(place, weights=counts, minlength=len(seen)).astype(np.int64)
+
+
 @dataclass
 class Rarity:
     """Counts of the most frequent words; a shingle is as rare as its rarest word."""
@@ -47,10 +56,18 @@ def word_rarity(docs: DataFrame, limit: int = FREQUENT_WORDS) -> Rarity:
     """Count the words of the whole corpus and keep about the `limit` most frequent ones, as powers of two."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sizes = [], 0  # counts of some slices, merged and sent when they are many
+        send = lambda: pa.RecordBatch.from_arrays([pa.array(a) for a in merged_counts(held)], ["word", "n"])
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(1)):
                 seen, n = np.unique(Words(data, offsets).hash, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(seen)), pa.array(n)], ["word", "n"])
+                held.append((signed(seen), n))
+                sizes += len(seen)
+                if sizes > HELD_COUNTS:
+                    yield send()
+                    held, sizes = [], 0
+        if held:
+            yield send()
 
     counted = id_and_text(docs).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
     counted = materialize(counted.withColumn("step", F.floor(16 * F.log2("n")).cast("int")), "word-counts")
