@@ -1,6 +1,7 @@
 """Line deduplication by an exact set-similarity join (operator 10).
 
-A line's set is its distinct five-word shingles. A line goes when any line before it (smaller doc_id,
+A line's set is its distinct five-word shingles; a line of fewer words is its whole sequence as one
+shingle, which only equal lines share. A line goes when any line before it (smaller doc_id,
 or earlier in the same document) has Jaccard 0.8 or more with it; matches are judged on the input.
 
 Lines with equal words form a class, represented by its first line. For the others only the question
@@ -24,8 +25,8 @@ from eventwatch.session import materialize
 
 SHINGLE = 5
 PERCENT = 80
-#: Lines of fewer words (headings, one-word lines) are left alone: they repeat by chance.
-MIN_WORDS = 5
+#: Lines of fewer words are left alone: only those without any word.
+MIN_WORDS = 1
 TILE = 2048
 
 
@@ -54,7 +55,9 @@ def line_sets(docs: DataFrame, percent: int, min_words: int, rarity: sj.Rarity |
                 if full:
                     sets = sj.shingle_sets(words, SHINGLE, rarity)
                     maps = sets.bitmaps()
-                    out += [pa.array(sets.n[enough], pa.int32()), sets.prefixes(percent).take(pa.array(enough)),
+                    # below SHINGLE words only the same sequence matches, and that is the same class already
+                    prefixes = sets.prefixes(percent, np.diff(words.first) >= SHINGLE)
+                    out += [pa.array(sets.n[enough], pa.int32()), prefixes.take(pa.array(enough)),
                             pa.array([maps[k] for k in enough], pa.binary())]
                     names += ["n", "prefix", "bitmap"]
                 yield pa.RecordBatch.from_arrays(out, names)

@@ -97,8 +97,9 @@ class Sets:
     row: np.ndarray
     n: np.ndarray
 
-    def prefixes(self, percent: int) -> pa.ListArray:
-        size = np.where(self.n > 0, prefix_length(self.n, percent), 0)
+    def prefixes(self, percent: int, wanted: np.ndarray | bool = True) -> pa.ListArray:
+        """The elements by which a set finds its partners; empty for rows not `wanted`."""
+        size = np.where((self.n > 0) & wanted, prefix_length(self.n, percent), 0)
         first = np.repeat(np.cumsum(self.n) - self.n, size) + within(size)
         return lists(signed(self.hash[first]), size, pa.int64())
 

@@ -73,6 +73,20 @@ def test_line_dedup(frame, corpus, monkeypatch):
         assert left[d] == kept
 
 
+def test_line_dedup_short_lines(frame):
+    """Lines of one to four words go when an equal line came before; lines without words stay."""
+    rows = [(1, "one\nA b c\n\n \nw x y z"), (2, "a  B c\none two\n\none"), (3, "w x y z\nw x y\nw x y z v"), (4, "v w x y z\none two\none two")]
+    want = {1: [], 2: [0, 3], 3: [0], 4: [1, 2]}
+    assert brute.removed_lines(rows, min_words=1) == want
+    assert {r.doc_id: r.removed for r in line_dedup.line_report(frame(rows)).collect()} == want
+
+
+def test_line_dedup_every_line(frame, corpus):
+    want = brute.removed_lines(corpus, min_words=1)
+    assert {r.doc_id: r.removed for r in line_dedup.line_report(frame(corpus)).collect()} == want
+    assert want != brute.removed_lines(corpus, min_words=5)
+
+
 def test_line_sets_number_lines(frame):
     rows = [(1, "\n\na b c d e\n"), (2, "a b c d e\nf g h i j"), (3, "\n")]
     got = line_dedup.line_sets(frame(rows), 80, 5, None).select("doc_id", "line").collect()
