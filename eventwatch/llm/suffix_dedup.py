@@ -142,7 +142,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 def digit_pass(rows: DataFrame) -> DataFrame:
     """(doc, at, repeat): repeat true where a row's strings all occur earlier, false where undecided.
 
-    Runs that repeat nothing give no row. The first and last class of a partition count as undecided,
+    Runs that repeat nothing give no row. Rows equal in everything are one place of repeated documents
+    and no repeat of each other; they meet in one partition. The first and last class of a partition count as undecided,
     because their neighbours are elsewhere; the next pass settles them.
     """
     order = ["core", "hull", "doc", "at"]
@@ -161,10 +162,13 @@ def digit_pass(rows: DataFrame) -> DataFrame:
             fresh[1:] = (core[1:] != core[:-1]) | (hull[1:] != hull[:-1])
             if last is not None:
                 fresh[0] = (core[0], hull[0]) != last
-            old = np.flatnonzero(~fresh)
+            f = np.flatnonzero(fresh)
+            # the head of each row's class; -1 is the class open from the batch before
+            lead = np.cumsum(fresh) - 1
+            heads_doc, heads_at = np.r_[doc[f], head[0] if head else 0], np.r_[at[f], head[1] if head else 0]
+            old = np.flatnonzero(~fresh & ((doc != heads_doc[lead]) | (at != heads_at[lead])))
             if len(old):
                 yield out(doc[old], at[old], np.ones(len(old), bool))
-            f = np.flatnonzero(fresh)
             if len(f):
                 # the open class from before, then all but the last class of this batch, have a known follower
                 same = np.zeros(len(f), bool)  # a class's core equals the one before it

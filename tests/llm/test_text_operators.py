@@ -33,6 +33,18 @@ def test_suffix_dedup_repeated_rows(frame):
     assert sorted((r.doc_id or -1, r.n_removed) for r in rows) == [(-1, 0), (1, 260), (1, 260), (2, 0)]
 
 
+def test_suffix_dedup_repeated_rows_alone(frame):
+    """Rows equal in doc_id and text are one document: they keep its text, but lose what repeats in it."""
+    rnd = np.random.default_rng(9)
+    a, b, c = ("".join(map(chr, rnd.integers(97, 123, n))) for n in (260, 300, 150))
+    docs = [(1, a), (2, b + c + b), (3, c), (4, a[:200] + c[:90])]
+    want = brute.cut_repeats(docs)
+    assert want[1][2] == 0 and want[2][2] and want[3][2] and want[4][2]
+    rows = suffix_dedup.cut_repeats(frame([docs[0], docs[0], *docs[1:], *docs[1:], docs[3]])).collect()
+    got = sorted((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in rows)
+    assert got == sorted((d, *want[d]) for d in (1, 1, 2, 2, 3, 3, 4, 4, 4))
+
+
 def test_ngram_join(frame, corpus):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(frame(corpus)).collect()}
     assert got == brute.components(corpus, 4, 85)
