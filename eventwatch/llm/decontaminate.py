@@ -5,8 +5,9 @@ shingles. Fingerprints are cut into blocks; whatever lies within `RADIUS` bits o
 fingerprint differs by at most RADIUS // BLOCKS bits in some block, so looking up each block with
 that many flips finds every such item. Candidates are verified by exact weighted Jaccard.
 
-A window alike in 0.8 of its shingles shares at least one with the item, so only windows along such
-shared shingles are fingerprinted. Documents are read once and nothing is shuffled.
+A window alike in 0.8 of its shingles shares at least one with the item, so every window that holds a
+shared shingle is fingerprinted, whatever the order of the item's parts in it. Bits are summed along
+stretches of neighbouring windows. Documents are read once and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ SHINGLE = 5
 PERCENT = 80
 RADIUS = 20
 BLOCKS = 8
-#: Windows start this many words beside where a shared shingle puts the item's beginning.
-SLACK = 2
+#: Windows and shingles of stretches whose bits a task sums at a time.
+STRETCH = 1 << 17
 #: Item text that travels to every task at a time; a larger benchmark is used in parts of this size.
 PART_BYTES = 8 << 20
 
@@ -86,6 +87,33 @@ def weighted_jaccard(a: Counter, b: Counter) -> tuple[int, int]:
     return shared, a.total() + b.total() - shared
 
 
+def windows_over(row: np.ndarray, size: np.ndarray, place: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """(row, size, start), sorted and distinct: every window of `size` words over the shingle at word `place`.
+
+    Starts lie between 0 and `most`.
+    """
+    row, size, place, most = np.unique(np.c_[row, size, place, most], axis=0).T
+    lo = np.minimum(np.maximum(place - np.maximum(size - SHINGLE, 0), 0), most)
+    hi = np.minimum(place, most)
+    # both ends grow along a row and size: each shingle adds the starts after those of the one before
+    same = (row[1:] == row[:-1]) & (size[1:] == size[:-1])
+    lo[1:] = np.where(same, np.maximum(lo[1:], hi[:-1] + 1), lo[1:])
+    many = np.maximum(hi - lo + 1, 0)
+    return np.c_[np.repeat(row, many), np.repeat(size, many), np.repeat(lo, many) + within(many)]
+
+
+def window_prints(h: np.ndarray, at: np.ndarray, n: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """SimHash of h[at:at + n] for windows in stretches: from `head` on, each starts one after the last."""
+    heads = np.flatnonzero(head)
+    length = np.diff(np.r_[heads, len(at)])
+    span = length + n[heads] - 1
+    bits = np.unpackbits(h[np.repeat(at[heads], span) + within(span)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    total = np.zeros((len(bits) + 1, 64), np.int32)
+    np.cumsum(bits, axis=0, dtype=np.int32, out=total[1:])
+    first = np.repeat(np.cumsum(span) - span, length) + within(length)
+    return np.packbits(2 * (total[first + n] - total[first]) > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def leaks(data: np.ndarray, offsets: np.ndarray, bench: Benchmark) -> list[tuple[int, int, int, int, float]]:
     """(row, item, first word, words, similarity): each leaked item's best window per row."""
     words = Words(data, offsets, breaks=NOT_LETTERS)
@@ -103,23 +131,21 @@ def leaks(data: np.ndarray, offsets: np.ndarray, bench: Benchmark) -> list[tuple
     at = np.repeat(lo, many) + within(many)
     where = np.repeat(hit, many)
     r, item = row[where], bench.item[at]
-    start = where - first[r] - bench.place[at]
-    # every start within SLACK of a shared shingle's, once per (row, item size, start)
-    start = (start[:, None] + np.arange(-SLACK, SLACK + 1)[None, :]).ravel()
-    r, size = np.repeat(r, 2 * SLACK + 1), np.repeat(bench.size[item], 2 * SLACK + 1)
-    start = np.clip(start, 0, np.maximum(counts[r] - size, 0))
-    windows = np.unique(np.c_[r, size, start], axis=0)
+    size = bench.size[item]
+    r, size, start = windows_over(r, size, where - first[r], np.maximum(counts[r] - size, 0)).T
+    n = np.maximum(np.minimum(size, counts[r]) - SHINGLE + 1, 1)
+    a = first[r] + start
+    head = np.r_[True, (r[1:] != r[:-1]) | (size[1:] != size[:-1]) | (start[1:] != start[:-1] + 1)]
+    weight = np.cumsum(np.where(head, n, 1))
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
     step = max(1, (8 << 20) // max(len(bench.ids), 64))
-    for i in range(0, len(windows), step):
-        r, size, start = windows[i:i + step].T
-        n = np.minimum(np.maximum(np.minimum(size, counts[r]) - SHINGLE + 1, 1), held[r] - start)
-        a = first[r] + start
-        flat = np.repeat(a, n) + within(n)
-        bits = np.unpackbits(h[flat].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
-        prints = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-        for w, k in zip(*np.nonzero(near_items(bench, prints))):
+    i = 0
+    while i < len(a):
+        j = min(i + step, max(i + 1, int(np.searchsorted(weight, weight[i] + STRETCH, "right"))))
+        head[i] = True
+        prints = window_prints(h, a[i:j], n[i:j], head[i:j])
+        near, i = np.argwhere(near_items(bench, prints)) + [i, 0], j
+        for w, k in near.tolist():
             bag = Counter(h[a[w]:a[w] + n[w]].tolist())
             shared, total = weighted_jaccard(bag, bench.bags[k])
             if shared and 100 * shared >= PERCENT * total:

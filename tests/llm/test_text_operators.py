@@ -117,6 +117,38 @@ def test_decontamination(frame, spark, corpus):
     assert left == {d for d, _ in corpus} - {d for d, _ in want}
 
 
+def test_decontamination_of_reordered_passages(frame, spark):
+    """Parts of an item in another order, inside a longer document."""
+    rnd = np.random.default_rng(21)
+    prose = lambda n: " ".join(f"w{x}" for x in rnd.integers(0, 10 ** 9, n))
+    parts = [prose(30) for _ in range(2)]
+    swapped = " ".join(parts[::-1])
+    items = [(1, " ".join(parts)), (2, prose(50))]
+    docs = [(1, f"{prose(100)} {swapped} {prose(100)}"), (2, f"{swapped} {prose(3)}"), (3, f"{prose(70)} {parts[1]} {prose(70)}"),
+            (4, f"{prose(9)} {' '.join(items[1][1].split()[25:] + items[1][1].split()[:25])} {prose(80)}"), (5, swapped)]
+    rows = decontaminate.find_leaks(frame(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(d, k) for d, t in docs for k, item in items if brute.leaked(t, item)}
+    assert {(r.doc_id, r.item_id) for r in rows} == want and {(1, 1), (2, 1), (5, 1)} <= want
+    assert {r.doc_id: r.first_word for r in rows}[1] == 100
+
+
+def test_windows_over_shared_shingles():
+    """Every start over a shared shingle once, and the prints of the windows one by one."""
+    rnd = np.random.default_rng(22)
+    row, place = rnd.integers(0, 4, 60), rnd.integers(0, 90, 60)
+    size = rnd.choice([3, 5, 12, 40], 60)
+    most = np.maximum(94 - size, 0)
+    got = decontaminate.windows_over(row, size, place, most)
+    want = {(r, s, min(max(x, 0), m)) for r, s, p, m in zip(row, size, place, most) for x in range(p - max(s - 5, 0), p + 1)}
+    assert list(map(tuple, got)) == sorted(want)
+    r, s, start = got.T
+    h = rnd.integers(0, 1 << 63, 4 * 90, dtype=np.uint64)
+    n, at = np.maximum(s - 4, 1), r * 90 + start
+    n = np.minimum(n, 360 - at)
+    head = np.r_[True, (r[1:] != r[:-1]) | (s[1:] != s[:-1]) | (start[1:] != start[:-1] + 1)]
+    assert decontaminate.window_prints(h, at, n, head).tolist() == [decontaminate.fingerprint(h[a:a + k]) for a, k in zip(at, n)]
+
+
 def test_decontamination_parts(frame, spark, corpus):
     """A benchmark used in several parts gives the same leaks."""
     bench = spark.createDataFrame([(i, t) for i, t in corpus if t], "item_id long, text string")
