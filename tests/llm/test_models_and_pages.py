@@ -124,6 +124,16 @@ def test_repeated_runs_of_a_host(spark):
     assert got == {**dict(enumerate(texts)), 9: texts[0]}
 
 
+def test_copied_pages_keep_their_text(spark):
+    """Copies of a page under other urls of its host do not erase each other."""
+    rnd = random.Random(16)
+    texts = [" ".join(str(rnd.randint(0, 9 ** 9)) for _ in range(30)) for _ in range(3)]
+    menu = "<div>" + "".join(f"<a>item {i} </a>" for i in range(12)) + "</div>"
+    pages = [(i, f"http://h/{i}", f"<body>{menu}<div><p>{texts[i % 3]}</p></div></body>") for i in range(5)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: texts[i % 3] for i in range(5)}
+
+
 def test_pages_of_the_test_data(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = html_text.main_text(pages).join(pages.select("page_id", "html"), "page_id").collect()
