@@ -1,8 +1,8 @@
-"""N-gram Jaccard join by grouped prefixes (operator 9).
+"""N-gram Jaccard join by prefixes (operator 9).
 
 Documents with the same words in the same order are one class from the start. Classes are indexed under the rare
-elements of their prefixes; classes with the same prefix and size form one group, and groups, not
-documents, are paired. Only connectivity is asked for, so pairs already connected are not looked at
+elements of their prefixes, and classes are paired one by one: classes with equal prefixes are not
+grouped. Only connectivity is asked for, so pairs already connected are not looked at
 again. First every class is tried against the most central class of its blocks, then against its
 nearest candidate in another component, and last all pairs that pass the filters and still lie in two
 components are verified: no link between components can remain.
@@ -79,10 +79,7 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def blocks(reps: DataFrame) -> DataFrame:
-    """(token, id, n, pos): prefix elements that several groups share; id is a group's first class.
-
-    Classes with the same prefix and size are one group here.
-    """
+    """(token, id, n, pos): prefix elements that several classes share."""
     tokens = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "id", "n", "pos")
     return materialize(sj.shared_elements(tokens), "blocks")
 
