@@ -1,5 +1,5 @@
 import sys
-from datetime import datetime, timedelta, timezone
+from datetime import timedelta
 from pathlib import Path
 
 import pytest
@@ -7,12 +7,9 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from eventwatch.schema import SECURITY_EVENT  # noqa: E402
 from eventwatch.session import build_session  # noqa: E402
-
-T0 = datetime(2026, 9, 7, 12, 0, 0, tzinfo=timezone.utc)
+from fixtures import T0  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -42,11 +39,3 @@ def make_events(spark):
         return spark.createDataFrame(out, SECURITY_EVENT)
 
     return make
-
-
-def stamp(seconds=0):
-    return T0 + timedelta(seconds=seconds)
-
-
-def lit_ts(when):
-    return F.lit(when)

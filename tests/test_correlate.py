@@ -5,7 +5,7 @@ from datetime import timedelta
 
 import pytest
 
-from conftest import T0
+from fixtures import T0
 from eventwatch.operators.correlate import correlate, merge_alerts
 from eventwatch.schema import DETECTION, SEVERITIES
 

@@ -5,7 +5,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from conftest import T0
+from fixtures import T0
 from eventwatch.functions.enrich import enrich_ip, no_enrichment
 from eventwatch.operators import search
 from eventwatch.operators.aggregates import bucket_for_range, series_total

@@ -6,7 +6,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from conftest import T0
+from fixtures import T0
 from eventwatch.operators.correlate import correlate
 from eventwatch.operators.anomaly import ewma_steps
 from eventwatch.operators.rollup import long_form, traffic_rollup
