@@ -35,7 +35,7 @@ def components(rows, size, percent):
     return {d: (len(s), root(d)) for d, s in sets}
 
 
-def removed_lines(rows, min_words=5, size=5, percent=80):
+def removed_lines(rows, min_words=1, size=5, percent=80):
     """{doc_id: [line numbers]} of rows (doc_id, text), in id order."""
     earlier, out = [], {}
     for d, text in sorted(rows):
