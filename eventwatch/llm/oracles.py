@@ -87,7 +87,68 @@ select doc_id, size, text_crc32, 'rows' as law, (place % 16)::int as shard, (pla
 from rows join last using (i)
 """
 
+HARD_NEGATIVES = """
+with v as (
+  select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.e, b.e)::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+), positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id, (row_number() over w)::int as rank, n.vec_id as negative_id, positive_score, n.score as negative_score
+from positives join scored n using (anchor_id)
+where not n.same and 80 * positive_score <= 100 * n.score and 100 * n.score <= 100 * positive_score
+window w as (partition by anchor_id, positive_id order by n.score desc, n.vec_id)
+qualify row_number() over w <= 5
+"""
+
+# words near each other leave the same rest without the letter at one place, or one is the rest of the other
+SPELLING = r"""
+with recursive runs as (
+  select coalesce(doc_id::varchar, '') as id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as c
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) as run from documents)
+  where length(run) >= 7 group by 1, 2
+), crc_table as (
+  select b, list_reduce(list_prepend(b::ubigint, range(8)::ubigint[]),
+         lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end) as v from range(256) t(b)
+), crc_list as (select list(v order by b) as vs from crc_table
+), crcs as (
+  select run, c, xor(list_reduce(
+           list_prepend(4294967295::ubigint, list_transform(range(strlen(id || ':' || run)), lambda i: ('0x' || substr(hex(encode(id || ':' || run)), (2 * i + 1)::int, 2))::ubigint)),
+           lambda c, x: xor(vs[((xor(c, x) & 255) + 1)::bigint], c >> 8)), 4294967295::ubigint)::bigint as h
+  from runs, crc_list
+), w as (
+  select case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run) + 2)::int) else run end as word,
+         sum(c)::bigint as n
+  from crcs group by 1 having length(word) >= 7 and n >= 2
+), rests as (
+  select word, n, i, substr(word, 1, (i - 1)::int) || substr(word, (i + 1)::int) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from w)
+), pairs as (
+  select a.word as word, b.word as other, b.n from rests a join rests b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select rests.word, w.word, w.n from rests join w on rest = w.word
+  union select w.word, rests.word, rests.n from rests join w on rest = w.word
+), best as (
+  select word, count(*)::bigint as n_near, min({'k': -n, 'w': other}) as b from (select distinct * from pairs) group by word
+), formed as (
+  select w.word, w.n, coalesce(n_near, 0)::bigint as n_near,
+         case when -b.k >= 10 * w.n then b.w end as form, case when -b.k >= 10 * w.n then -b.k end::bigint as form_n
+  from w left join best using (word)
+), chain as (
+  select word, form as root, 1 as d from formed where form is not null
+  union all
+  select chain.word, formed.form, d + 1 from chain join formed on chain.root = formed.word where formed.form is not null
+), ends as (select word, arg_max(root, d) as root from chain group by word)
+select word, form, coalesce(root, word) as root, n, n_near, form_n from formed left join ends using (word)
+"""
+
 ORACLES = {
+    "op12_hard_negatives": HARD_NEGATIVES,
+    "op13_spelling_variants": SPELLING,
     "op3_sharding": SHARDING,
     "op7_quality_rules": QUALITY,
 }

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, over whole tables."""
+"""The registered queries of the operators, over whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from eventwatch.llm import language_id, toxicity
+from eventwatch.llm import hard_negatives, language_id, quality_model, toxicity
 from eventwatch.llm.decontaminate import find_leaks
 from eventwatch.llm.html_text import main_text
 from eventwatch.llm.line_dedup import line_report
@@ -15,6 +15,7 @@ from eventwatch.llm.ngram_join import link_components
 from eventwatch.llm.quality_rules import quality_rules
 from eventwatch.llm.sentencepiece_bpe import encode_decode, public_model
 from eventwatch.llm.sharding import shard_documents
+from eventwatch.llm.spelling_variants import variants
 from eventwatch.llm.suffix_dedup import cut_repeats
 from eventwatch.llm.text_arrays import crc_of_id
 
@@ -75,6 +76,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
+    # without an id a row has no label to learn from
+    held_out = F.coalesce(crc_of_id() % 5 == 0, F.lit(False))
+    return quality_model.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.whole_numbers(table(spark, sf_dir, "embeddings"), 256)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -87,6 +106,9 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_ngram_join": op9_ngram_join,
         "op10_line_dedup": op10_line_dedup,
+        "op11_quality_model": op11_quality_model,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_spelling_variants": op13_spelling_variants,
         "pipeline": corpus_pipeline.run,
     }
 
