@@ -59,6 +59,19 @@ def stored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _STORED[key]
 
 
+_STREAMED: dict[tuple, object] = {}
+
+
+def streamed(spark: SparkSession, sf_dir: str, late: bool):
+    """The streaming engine after all events of this data set, in order or with late ones; run once per session."""
+    from eventwatch.streaming.replay import streamed as run
+
+    key = (spark.sparkContext.applicationId, sf_dir, late)
+    if key not in _STREAMED:
+        _STREAMED[key] = run(spark, sf_dir, PROFILE, late, 2 if late else 3)
+    return _STREAMED[key]
+
+
 def us(col: str) -> Column:
     return F.unix_micros(col)
 
@@ -354,7 +367,7 @@ def catalogue_activity(alerts: DataFrame) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every implemented query by name."""
-    from eventwatch.streaming.replay import stream_detections, stream_events
+    from eventwatch.streaming import replay
 
     return {
         "events_search_page": on_events(lambda e: show_events(search.search_events(e, 50, 20, **SEARCH)[0])),
@@ -429,8 +442,12 @@ def queries() -> dict[str, Query]:
         "triage_unknown_status": on_both(triage_unknown_status),
         "isolation_forest": on_events(lambda e: rolling_forest(hourly(e))),
         "ml_alerts": on_events(ml_alerts),
-        "stream_events": lambda s, d: stream_events(s, d),
-        "stream_detections": lambda s, d: show_detections(stream_detections(s, d, PROFILE)),
+        "stream_events": replay.stream_events,
+        "stream_events_repeated": replay.stream_events_repeated,
+        "stream_detections": lambda s, d: show_detections(streamed(s, d, False).detections(s)),
+        "stream_late_detections": lambda s, d: show_detections(streamed(s, d, True).detections(s)),
+        "stream_alerts": lambda s, d: show_alerts(streamed(s, d, False).alerts(s)),
+        "stream_late_alerts": lambda s, d: show_alerts(streamed(s, d, True).alerts(s)),
         **_llm()[0],
     }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..schema import EVENT_STATUSES, EVENT_TYPES, SECURITY_EVENT, SEVERITIES, SOURCE_TYPES
 from .ip import bind, canonical_ip
@@ -183,10 +183,12 @@ def normalize(raw: DataFrame, now: Column | None = None, text: str = "value") ->
 def dedup(events: DataFrame, within: str = "10 minutes") -> DataFrame:
     """First copy of each event id.
 
-    Batch: the earliest row; each task keeps one row per id before the shuffle, so an id copied
+    Batch: the earliest row, ties by content; each task keeps one row per id before the shuffle, so an id copied
     many times stays cheap. Stream: the first copy seen, remembered for `within`.
     """
     if events.isStreaming:
         return events.withWatermark("timestamp", within).dropDuplicatesWithinWatermark(["event_id"])
-    rank = F.row_number().over(W.partitionBy("event_id").orderBy("timestamp", "ingested_at"))
+    maps = [f.name for f in events.schema if isinstance(f.dataType, T.MapType)]
+    content = F.xxhash64(*[c for c in events.columns if c not in maps])
+    rank = F.row_number().over(W.partitionBy("event_id").orderBy("timestamp", "ingested_at", content, *map(F.to_json, maps)))
     return events.withColumn("_n", rank).filter("_n = 1").drop("_n")

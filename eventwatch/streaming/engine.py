@@ -1,26 +1,36 @@
 """Continuous detection: one foreachBatch step from raw events to stored alerts.
 
 A micro-batch is normalised, stored, detected and folded with the batch operators. Window rules
-see the stored events of the last window besides the batch itself, read by day partition, so no
-rule state lives outside the event table and a restart needs only the checkpoint.
+see the stored events around the batch, read by day, so no rule state lives outside the event table
+and a restart needs only the checkpoint.
+
+Late events (S6) re-open what they touch: stored events whose windows they enter are measured again,
+firings that changed are retracted and emitted anew in the detection changelog, and alerts of those keys are
+folded again from the firings that hold. After any order of arrival the tables equal the batch result.
+
+All tables of a batch become visible by one rename (`sources.commits`); a batch that is delivered
+again after its commit does nothing, one that failed before it starts over with the same clock.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..functions.normalize import normalize
-from ..operators.correlate import merge_alerts
-from ..operators.rules import WINDOW_RULES, RuleParams
-from ..plans.detect import detect
-from ..schema import DETECTION, SECURITY_EVENT
-from ..session import materialize
-from ..sources.tables import (
-    append_events, current_alerts, read_alert_versions, read_events, write_alert_versions, write_feed,
-)
+from ..operators.correlate import correlate, merge_alerts
+from ..operators.rules import WINDOW_RULES, RuleParams, WindowRule
+from ..operators.sliding import SLICE, contributions
+from ..plans.detect import detect, enabled_rules, window_parts
+from ..schema import ALERT, DETECTION, SECURITY_EVENT
+from ..session import materialize, scratch
+from ..sources import tables
+from ..sources.commits import Commits
+from ..sources.tables import EMIT, KEY, RETRACT, AlertStore, names
 from .listener import Throughput
 
 
@@ -34,58 +44,166 @@ class Engine:
     chunk_seconds: int = 3600
     feed: bool = True
     throughput: Throughput | None = None
+    #: Told the name of each table when a batch has written it, before the commit.
+    written: Callable[[str], None] | None = None
+
+    def events(self, spark: SparkSession) -> DataFrame:
+        return tables.read_events(spark, self.root)
+
+    def detections(self, spark: SparkSession) -> DataFrame:
+        """Firings that hold after the last committed batch."""
+        return tables.current_detections(tables.read_changes(spark, self.root))
 
-    @property
-    def events_path(self) -> str:
-        return f"{self.root}/events"
+    def alerts(self, spark: SparkSession) -> DataFrame:
+        return tables.read_alerts(spark, self.root)
 
-    @property
-    def alerts_path(self) -> str:
-        return f"{self.root}/alerts"
+    def _wrote(self, name: str) -> None:
+        if self.written:
+            self.written(name)
 
-    def reach_seconds(self) -> int:
-        return max(r.seconds(self.params) for r in WINDOW_RULES)
+    def _windowed(self) -> list[WindowRule]:
+        return [r for r in enabled_rules(disabled=self.disabled) if r in WINDOW_RULES]
 
-    def detections(self, stored: DataFrame, batch_id: int) -> DataFrame:
-        """Firings of the batch's own events, measured with the stored events before them."""
+    def _days(self, stored: DataFrame, seconds_before: int, seconds_after: int) -> list[date]:
+        """Days that hold events around those of the batch."""
+        first, last = timedelta(seconds=seconds_before), timedelta(seconds=seconds_after)
+        found: set[date] = set()
+        spans = stored.groupBy("event_date").agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).collect()
+        for r in spans:
+            day, end = (r.lo - first).date(), (r.hi + last).date()
+            while day <= end:
+                found.add(day)
+                day += timedelta(days=1)
+        return sorted(found)
+
+    def changes(self, stored: DataFrame, batch_id: int, high_us: int | None) -> DataFrame:
+        """DETECTION rows with `op`: what the batch's events fire, and what late ones among them revise."""
         spark = stored.sparkSession
-        span = stored.agg(F.min("timestamp"), F.max("timestamp")).first()
-        if span[0] is None:
-            return spark.createDataFrame([], DETECTION)
-        start = F.lit(span[0]) - F.make_dt_interval(secs=F.lit(self.reach_seconds()))
-        around = read_events(spark, self.events_path).filter(
-            (F.col("event_date") >= F.to_date(start)) & (F.col("event_date") <= F.to_date(F.lit(span[1])))
-            & (F.col("timestamp") > start) & (F.col("timestamp") <= F.lit(span[1])) & (F.col("batch") <= batch_id)
-        )
-        return detect(around, self.params, disabled=self.disabled, only=F.col("batch") == batch_id)
+        low = stored.agg(F.min(F.unix_micros("timestamp"))).first()[0]
+        if low is None:
+            return spark.createDataFrame([], DETECTION).withColumn("op", F.lit(EMIT))
+        rules = self._windowed()
+        reach = max((r.seconds(self.params) for r in rules), default=0)
+        late = high_us is not None and low <= high_us and bool(rules)
+        # a late row re-opens slices that end up to SLICE + 1 windows after it
+        days = self._days(stored, reach, reach * (SLICE + 1) if late else 0)
+        around = tables.read_events(spark, self.root, batch_id, days)
+        if not late:
+            start = F.timestamp_micros(F.lit(low - reach * 1_000_000))
+            fired = detect(around.filter(F.col("timestamp") > start), self.params, disabled=self.disabled, only=F.col("batch") == batch_id)
+            return fired.withColumn("op", F.lit(EMIT))
+        touched = materialize(self._touched(around, stored, rules, batch_id, high_us), "touched")
+        marked = around.join(touched.withColumn("touched", F.lit(True)), "event_id", "left").withColumn(
+            "due", (F.col("batch") == batch_id) | F.col("touched").isNotNull())
+        marked = materialize(marked, "reopened")
+        found = materialize(detect(marked, self.params, disabled=self.disabled, only=F.col("due")), "found")
+        before = tables.current_detections(tables.read_changes(spark, self.root, batch_id - 1, days)).join(touched, "event_id", "left_semi")
+        before = materialize(before, "before")
+        content = F.xxhash64(F.to_json(F.struct(*names(DETECTION))))
+        same = before.select("rule_id", "event_id", content.alias("content")).join(
+            found.select("rule_id", "event_id", content.alias("content")), ["rule_id", "event_id", "content"]).select("rule_id", "event_id")
+        same = materialize(same, "unchanged")
+        out = [rows.join(same, ["rule_id", "event_id"], "left_anti").select(*names(DETECTION)).withColumn("op", F.lit(op))
+               for rows, op in ((before, RETRACT), (found, EMIT))]
+        return out[0].unionByName(out[1])
+
+    def _touched(self, around: DataFrame, stored: DataFrame, rules: list[WindowRule], batch_id: int, high_us: int) -> DataFrame:
+        """event_id of earlier events in a slice that a late event of the batch adds to, from its time on."""
+        parts = window_parts(rules, self.params)
+        length = F.col("w_us") * SLICE
+
+        def start(us: Column) -> Column:
+            return us - F.pmod(us, length)
+
+        late = contributions(stored.filter(F.unix_micros("timestamp") <= high_us), parts).filter("n > 0")
+        hit = F.array_distinct(F.array(start(F.col("us")), start(F.col("us") + F.col("w_us") - 1)))
+        slices = late.select("rule_id", "entity", F.explode(hit).alias("slice"), "us").groupBy("rule_id", "entity", "slice").agg(
+            F.min("us").alias("since"))
+        earlier = contributions(around.filter(F.col("batch") < batch_id), parts, ["event_id"]).select(
+            "event_id", "rule_id", "entity", "us", start(F.col("us")).alias("slice"))
+        return earlier.join(slices, ["rule_id", "entity", "slice"]).filter("us >= since").select("event_id").distinct()
+
+    def changed_alerts(self, found: DataFrame, known: DataFrame, touched: list[int], batch_id: int) -> DataFrame:
+        """ALERT rows the batch creates, changes or takes back (`deleted`).
+
+        Firings after all others of their key are merged into the stored alert; a key with a retraction or
+        an earlier firing is folded again from all firings of it that hold. `known` are the alerts of the
+        `touched` buckets.
+        """
+        spark = found.sparkSession
+        seen = known.groupBy(*KEY).agg(F.max("last_seen").alias("seen"))
+        first = found.groupBy(*KEY).agg(F.max(F.col("op") == RETRACT).alias("back"), F.min("triggered_at").alias("first"))
+        revised = materialize(first.join(seen, KEY, "left").filter(
+            F.col("back") | F.coalesce(F.col("first") <= F.col("seen"), F.lit(False))).select(*KEY), "revised-keys")
+        ahead = materialize(found.join(revised, KEY, "left_anti").select(*names(DETECTION)), "ahead")
+        merged = merge_alerts(known, ahead, self.chunk_seconds).withColumn("deleted", F.lit(False))
+        if revised.isEmpty():
+            return merged
+        history = tables.read_changes(spark, self.root, batch_id).filter(F.col("bucket").isin(touched)).join(revised, KEY, "left_semi")
+        hold = materialize(tables.current_detections(history), "firings")
+        old = materialize(known.join(revised, KEY, "left_semi"), "revised-alerts")
+        moves = old.select(*KEY, F.inline("status_history")).select(
+            *KEY, F.col("to").alias("status"), "at", F.lit(None).cast("string").alias("request_id"))
+        folded = correlate(hold, None if moves.isEmpty() else moves, self.chunk_seconds, store=False).drop("episode")
+        # an analyst's moves stay with the alert
+        told = old.select("alert_id", F.col("status_history").alias("told"))
+        again = folded.join(told, "alert_id", "left").withColumn(
+            "status_history", F.coalesce("told", "status_history")).select(*names(ALERT), F.lit(False).alias("deleted"))
+        again = materialize(again, "folded-again")
+        gone = old.join(again, "alert_id", "left_anti").select(*names(ALERT), F.lit(True).alias("deleted"))
+        return merged.unionByName(again).unionByName(gone)
 
     def step(self, events: DataFrame, batch_id: int) -> int:
-        """Store, detect and fold one micro-batch of SECURITY_EVENT rows. Returns new alerts if sampled."""
+        """Store, detect, fold and commit one micro-batch of SECURITY_EVENT rows. Returns new alerts if sampled."""
         spark = events.sparkSession
-        stored = append_events(events.select(*[f.name for f in SECURITY_EVENT]), self.events_path, batch_id)
-        path = f"{self.root}/detections/batch={batch_id}"
-        self.detections(stored, batch_id).write.mode("overwrite").parquet(path)
-        found = spark.read.schema(DETECTION).parquet(path)
-        known = current_alerts(read_alert_versions(spark, self.alerts_path).filter(F.col("batch") < batch_id))
-        changed = write_alert_versions(
-            merge_alerts(known, found, self.chunk_seconds), self.alerts_path, batch_id)
-        if self.feed:
-            write_feed(stored, changed, f"{self.root}/feed", batch_id)
-        if not self.throughput:
+        commits = Commits(spark, self.root)
+        manifest = commits.latest()
+        if batch_id <= manifest["batch"]:
             return 0
-        return changed.join(known.select("alert_id"), "alert_id", "left_anti").count()
+        with scratch(spark):
+            return self._commit(events, batch_id, {**manifest, "dropped": []}, commits)
+
+    def _commit(self, events: DataFrame, batch_id: int, manifest: dict, commits: Commits) -> int:
+        spark, high = events.sparkSession, manifest["high_us"]
+        stored, manifest = tables.append_events(events.select(*names(SECURITY_EVENT)), self.root, batch_id, manifest)
+        self._wrote("events")
+        found = tables.write_detections(materialize(self.changes(stored, batch_id, high), "changes"), self.root, batch_id)
+        self._wrote("detections")
+        store = AlertStore(spark, self.root, manifest["alerts"])
+        touched = [r.bucket for r in found.select("bucket").distinct().collect()]
+        known = store.read(touched)
+        changed = materialize(self.changed_alerts(found, known, touched, batch_id), "changed-alerts")
+        new = changed.join(known.select("alert_id"), "alert_id", "left_anti").count() if self.throughput else 0
+        store.write(changed, batch_id)
+        self._wrote("alerts")
+        if self.feed:
+            tables.write_feed(stored, changed.filter(~F.col("deleted")), self.root, batch_id)
+            self._wrote("feed")
+        top = stored.agg(F.max(F.unix_micros("timestamp"))).first()[0]
+        commits.commit(batch_id, {
+            **manifest, "alerts": store.state, "dropped": [*manifest["dropped"], *store.dropped],
+            "high_us": max((x for x in (high, top) if x is not None), default=None)})
+        return new
 
     def raw_step(self, raw: DataFrame, batch_id: int, now: Column | None = None) -> dict[str, int]:
         """As `step` for raw JSON rows; rejects are stored with their reason. Returns counts."""
         began = time.perf_counter()
-        seen = Observation()
+        spark = raw.sparkSession
+        commits = Commits(spark, self.root)
+        if batch_id <= commits.latest()["batch"]:
+            return {}
+        with scratch(spark):
+            return self._raw(raw, batch_id, F.timestamp_micros(F.lit(commits.begin(batch_id))) if now is None else now, began)
+
+    def _raw(self, raw: DataFrame, batch_id: int, now: Column, began: float) -> dict[str, int]:
+        spark, seen = raw.sparkSession, Observation()
         valid, rejects = normalize(raw.observe(seen, F.count(F.lit(1)).alias("ingested")), now)
         valid = materialize(valid, "normalized")
         rejects.write.mode("overwrite").parquet(f"{self.root}/rejects/batch={batch_id}")
+        self._wrote("rejects")
         alerts = self.step(valid, batch_id)
-        spark = raw.sparkSession
         count = {"ingested": seen.get["ingested"], "valid": valid.count()}
-        count["persisted"] = read_events(spark, self.events_path).filter(F.col("batch") == batch_id).count()
+        count["persisted"] = self.events(spark).filter(F.col("batch") == batch_id).count()
         count["invalid"] = count["ingested"] - count["valid"]
         count["duplicate"] = count["valid"] - count["persisted"]
         if self.throughput:

@@ -3,49 +3,102 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.rules import RuleParams
-from ..schema import DETECTION
 from ..session import shared_dir
 from ..sources.bridge import security_events
-from ..sources.tables import read_events
 from .engine import Engine
 
+DAY_US = 86_400_000_000
 
-def replay(spark: SparkSession, sf_dir: str, root: str, parts: int, step) -> None:
-    """Write the mapped events in `parts` time-ordered files and stream them one per batch."""
+
+def mapped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    events = security_events(spark, sf_dir)
-    span = events.agg(F.min(F.unix_micros("timestamp")), F.max(F.unix_micros("timestamp"))).first()
+    return security_events(spark, sf_dir)
+
+
+def in_order(events: DataFrame, parts: int) -> DataFrame:
+    """The events with `part`: equal spans of time, one after the other."""
+    us = F.unix_micros("timestamp")
+    span = events.agg(F.min(us), F.max(us)).first()
+    if span[0] is None:
+        return events.withColumn("part", F.lit(0))
     width = (span[1] - span[0]) // parts + 1
-    for i in range(parts):
-        lo = span[0] + i * width
-        inside = F.unix_micros("timestamp").between(lo, lo + width - 1)
-        events.filter(inside).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    query = (
-        source.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-
-
-def stream_detections(spark: SparkSession, sf_dir: str, params: RuleParams, parts: int = 3) -> DataFrame:
-    """Firings found by the streaming engine, batch by batch."""
+    return events.withColumn("part", F.floor((us - span[0]) / width).cast("int"))
+
+
+def with_late(parted: DataFrame) -> DataFrame:
+    """One event in five comes a part later than its time, one in seventeen two parts later."""
+    number = F.col("event_id").cast("bigint")
+    return parted.withColumn("part", F.col("part") + F.when(number % 17 == 3, 2).when(number % 5 == 2, 1).otherwise(0))
+
+
+def with_copies(parted: DataFrame) -> DataFrame:
+    """Copies of one event in three arrive again, in the same part and in the two after it, dated up to two days later."""
+    number = F.col("event_id").cast("bigint")
+    again = F.when(number % 3 == 0, F.array(*[F.struct(F.lit(p).alias("p"), F.lit(d).alias("d")) for p, d in ((0, 0), (0, 1), (1, 1), (2, 2))]))
+    each = parted.withColumn("c", F.explode(F.coalesce(again, F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("d"))))))
+    return each.withColumns({"part": F.col("part") + F.col("c.p"), "timestamp": F.timestamp_micros(
+        F.unix_micros("timestamp") + F.col("c.d") * DAY_US)}).drop("c")
+
+
+def replay(parted: DataFrame, root: str, step: Callable[[DataFrame, int], object]) -> None:
+    """Stream the rows part by part, a micro-batch each, over one checkpoint."""
+    spark = parted.sparkSession
+    parted.write.partitionBy("part").parquet(f"{root}/parts")
+    names = [f for f in parted.schema if f.name != "part"]
+    schema = type(parted.schema)(names)
+    for part in sorted(r.part for r in parted.select("part").distinct().collect()):
+        # the source looks into one folder; a part becomes visible in it as a whole
+        rows = spark.read.schema(schema).parquet(f"{root}/parts/part={part}")
+        rows.write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{root}/in")
+        query = source.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+
+def streamed(spark: SparkSession, sf_dir: str, params: RuleParams, late: bool = False, parts: int = 3) -> Engine:
+    """The engine after the mapped events have gone through it; the second batch is delivered twice."""
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     engine = Engine(root, params, chunk_seconds=86_400)
-    replay(spark, sf_dir, root, parts, engine.step)
-    found = spark.read.parquet(f"{root}/detections")
-    return found.select(*[f.name for f in DETECTION])
+
+    def step(rows: DataFrame, batch_id: int) -> None:
+        for _ in range(2 if batch_id == 1 else 1):
+            engine.step(rows, batch_id)
+
+    parted = in_order(mapped_events(spark, sf_dir), parts)
+    replay(with_late(parted) if late else parted, root, step)
+    return engine
+
+
+def event_rows(events: DataFrame) -> DataFrame:
+    return events.select("event_id", F.unix_micros("timestamp").alias("us"), "event_type", "source_ip")
+
+
+def _stored(spark: SparkSession, parted: DataFrame) -> DataFrame:
+    """Events the stream keeps, without running rules on them."""
+    from ..sources.commits import Commits
+    from ..sources.tables import append_events, read_events
+
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def step(rows: DataFrame, batch_id: int) -> None:
+        commits = Commits(spark, root)
+        _, manifest = append_events(rows, root, batch_id, {**commits.latest(), "dropped": []})
+        commits.commit(batch_id, manifest)
+
+    replay(parted, root, step)
+    return event_rows(read_events(spark, root))
 
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events stored by the stream after de-duplication."""
-    from ..sources.tables import append_events
+    return _stored(spark, in_order(mapped_events(spark, sf_dir), 2))
 
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    replay(spark, sf_dir, root, 2, lambda df, i: append_events(df, f"{root}/events", i) and None)
-    return read_events(spark, f"{root}/events").select(
-        "event_id", F.unix_micros("timestamp").alias("us"), "event_type", "source_ip")
+
+def stream_events_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same when many events come again, in the same and in later batches, dated on other days."""
+    return _stored(spark, with_copies(in_order(mapped_events(spark, sf_dir), 6)))

@@ -214,7 +214,11 @@ ORACLES: dict[str, str] = {
     "rule_007_authgeo": rule(7),
     "detections_all": with_events(f"SELECT {DET_OUT} FROM dets", DETS),
     "stream_detections": with_events(f"SELECT {DET_OUT} FROM dets", DETS),
+    "stream_late_detections": with_events(f"SELECT {DET_OUT} FROM dets", DETS),
     "stream_events": with_events("SELECT event_id, us, event_type, source_ip FROM ev"),
+    "stream_events_repeated": with_events("SELECT event_id, us, event_type, source_ip FROM ev"),
+    "stream_alerts": with_events(f"SELECT {ALERT_OUT.replace('episode, ', '')} FROM alerts", DETS, NO_EPISODES, FOLD),
+    "stream_late_alerts": with_events(f"SELECT {ALERT_OUT.replace('episode, ', '')} FROM alerts", DETS, NO_EPISODES, FOLD),
     "detections_disabled": with_events(f"SELECT {DET_OUT} FROM dets WHERE rule_id IN ('RULE-002', 'RULE-004', 'RULE-006')", DETS),
     "alerts_folded": with_events(f"SELECT {ALERT_OUT.replace('episode, ', '')} FROM alerts", DETS, NO_EPISODES, FOLD),
     "alerts_merged": with_events(f"SELECT {ALERT_OUT.replace('episode, ', '')} FROM alerts", DETS, NO_EPISODES, FOLD),
