@@ -7,6 +7,7 @@ few events over thirty days.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 from importlib.util import find_spec
@@ -24,8 +25,9 @@ from eventwatch.operators.sliding import sliding
 from eventwatch.operators.triage import apply_triage
 from eventwatch.plans import catalogue as cat, dashboards
 from eventwatch.plans.detect import detect
-from eventwatch.session import materialize
+from eventwatch.session import materialize, shared_dir
 from eventwatch.sources.bridge import security_events, triage_events
+from eventwatch.sources.tables import append_audit, read_audit, read_feed, topic_rows
 from oracle.queries import ORACLES
 
 DAY = 86_400
@@ -239,21 +241,19 @@ def anomaly_listing(events: DataFrame) -> DataFrame:
 
 
 def triage_requests(events: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Status requests on RULE-001 alerts, one per mapped login success with k < 9 on its address."""
+    """Status requests on all alerts, one per mapped login success on their address."""
     k = F.col("destination_port") - 1
-    asked = events.filter((F.col("event_type") == "authentication_success") & (k < 9)).select(
+    asked = events.filter(F.col("event_type") == "authentication_success").select(
         "source_ip", F.col("timestamp").alias("at"), F.col("event_id").alias("request_id"),
         F.col("username").alias("actor"), F.lit(None).cast("string").alias("note"),
         F.element_at(F.array(*[F.lit(s) for s in ("acknowledged", "investigating", "resolved", "open", "false_positive")]),
                      (k % 5 + 1).cast("int")).alias("status"),
     )
-    first = alerts.filter("rule_id = 'RULE-001' and episode = 1").select("alert_id", "source_ip")
-    return asked.join(first, "source_ip").drop("source_ip")
+    return asked.join(alerts.select("alert_id", "source_ip"), "source_ip").drop("source_ip")
 
 
 def triaged(events: DataFrame, alerts: DataFrame):
-    return apply_triage(alerts.filter("rule_id = 'RULE-001' and episode = 1").withColumn("status", F.lit("open")),
-                        triage_requests(events, alerts))
+    return apply_triage(alerts.withColumn("status", F.lit("open")), triage_requests(events, alerts))
 
 
 def triage_unknown_status(events: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -317,11 +317,17 @@ def alert_versions(alerts: DataFrame) -> DataFrame:
     return alerts.drop("episode").unionByName(opened)
 
 
+_BUNDLES: dict[tuple, dict[str, DataFrame]] = {}
+
+
 def bundle(part: str) -> Query:
+    """One part of the threat page; the bundle is computed once per session and data set."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        got = dashboards.threat_activity(
-            _events(spark, sf_dir), stored_alerts(spark, sf_dir), AS_OF, minutes=1440, bucket_seconds=3600)
-        return got[part]
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _BUNDLES:
+            _BUNDLES[key] = dashboards.threat_activity(
+                _events(spark, sf_dir), stored_alerts(spark, sf_dir), AS_OF, minutes=1440, bucket_seconds=3600)
+        return _BUNDLES[key][part]
 
     return run
 
@@ -356,6 +362,54 @@ def ml_alerts(events: DataFrame) -> DataFrame:
     return show_detections_standalone(forest_detections(rolling_forest(hourly(events))))
 
 
+def newest_alert(alerts: DataFrame) -> DataFrame:
+    """The newest alert, looked up by its id."""
+    newest = alerts.orderBy(F.desc("last_seen"), "alert_id").select("alert_id").first()
+    return show_alert_keys(search.alert_by_id(alerts, newest[0] if newest else ""))
+
+
+def catalogue_upsert(alerts: DataFrame) -> DataFrame:
+    """The catalogue over an older one that knows only the rules that fired, renamed and switched off."""
+    new = cat.catalogue(alerts.sparkSession, PROFILE)
+    fired = new.join(alerts.select("rule_id").distinct(), "rule_id", "left_semi")
+    old = fired.withColumns({"handle": F.lower("handle"), "enabled": F.lit(False)}).select(*new.columns)
+    return cat.upsert_catalogue(old, new).select("rule_id", "handle", "enabled")
+
+
+def feed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the live feed showed of each micro-batch's events."""
+    rows = read_feed(spark, streamed(spark, sf_dir, False).root).filter("channel = 'events'")
+    return rows.select("batch", F.get_json_object("value", "$.event_id").alias("event_id"), F.get_json_object("value", "$.severity").alias("severity"))
+
+
+def feed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alerts the live feed showed, with the largest count it showed of each."""
+    rows = read_feed(spark, streamed(spark, sf_dir, False).root).filter("channel = 'alerts'")
+    return rows.select(F.get_json_object("value", "$.alert_id").alias("alert_id"), F.get_json_object("value", "$.event_count").cast("bigint").alias("n")).groupBy(
+        "alert_id").agg(F.max("n").alias("event_count"))
+
+
+def topic_messages(events: DataFrame) -> DataFrame:
+    return topic_rows(events).select("key", *[F.get_json_object("value", f"$.{f}").alias(f) for f in ("event_id", "event_type", "bytes_out")])
+
+
+def audit_log(events: DataFrame, alerts: DataFrame) -> DataFrame:
+    """The audit table after the triage of all alerts was appended in two batches, the second one twice."""
+    _, audit, _ = triaged(events, alerts)
+    audit = materialize(audit, "audit")
+    path = f"{shared_dir(events.sparkSession)}/audit-log-{uuid.uuid4().hex}"
+    early = F.col("at") < F.lit(SINCE)
+    for batch, part in ((0, early), (1, ~early), (1, ~early)):
+        append_audit(audit.filter(part), path, batch)
+    return read_audit(events.sparkSession, path).select("target_id", "request_id", "actor", us("at").alias("us"))
+
+
+def stream_rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventwatch.streaming.replay import rolled
+
+    return rolled(spark, sf_dir, 3600)
+
+
 def rule_activity_view(alerts: DataFrame) -> DataFrame:
     return agg.rule_activity(alerts).withColumn("last_triggered", us("last_triggered"))
 
@@ -379,6 +433,7 @@ def queries() -> dict[str, Query]:
         "event_type_breakdown": on_events(lambda e: agg.event_type_breakdown(e, SINCE)),
         "severity_breakdown": on_events(lambda e: agg.severity_breakdown(e, SINCE)),
         "events_timeseries": on_events(lambda e: agg.events_timeseries(e, SINCE, 600)),
+        "events_timeseries_range": on_events(lambda e: agg.events_timeseries(e, SINCE, agg.bucket_for_range(720))),
         "events_total": on_events(lambda e: agg.series_total(agg.events_timeseries(e, SINCE, agg.bucket_for_range(720)))),
         "top_hosts": on_events(lambda e: agg.top_hosts(e, SINCE, 50)),
         "minute_rollup": on_events(lambda e: traffic_rollup(e, 60)),
@@ -405,6 +460,13 @@ def queries() -> dict[str, Query]:
         "alert_episodes": alert_episodes,
         "alerts_search_page": on_alerts(lambda a: show_alert_keys(
             search.search_alerts(a, 40, 5, active_only=True, severity="high")[0])),
+        "alert_by_id": on_alerts(newest_alert),
+        "catalogue_upsert": on_alerts(catalogue_upsert),
+        "feed_events": feed_events,
+        "feed_alerts": feed_alerts,
+        "topic_messages": on_events(topic_messages),
+        "audit_log": on_both(audit_log),
+        "stream_rollup": stream_rolled,
         "alerts_search_total": on_alerts(lambda a: search.search_alerts(a, status="resolved", rule_id="RULE-001")[1]),
         "alert_related_events": on_both(lambda e, a: search.related_events(a, e).select(
             "alert_id", us("timestamp").alias("us"), "event_id", "event_type", "username")),
@@ -426,10 +488,15 @@ def queries() -> dict[str, Query]:
             cat.with_activity(cat.catalogue(a.sparkSession, PROFILE), a))),
         "rule_lookup": on_alerts(lambda a: cat.find_rule(catalogue_activity(a), "port_scan")),
         "dashboard_kpis": on_both(lambda e, a: dashboards.dashboard_kpis(e, a, AS_OF)),
-        "threat_rule_frequency": on_alerts(lambda a: rule_activity_view(a).select("rule_id", "trigger_count", "last_triggered")),
+        "threat_rule_frequency": lambda s, d: bundle("rule_frequency")(s, d).select(
+            "rule_id", "trigger_count", us("last_triggered").alias("last_triggered")),
         "threat_top_source_ips": lambda s, d: flat_enrichment(bundle("top_source_ips")(s, d)),
         "threat_top_hosts": bundle("top_attacked_hosts"),
         "threat_events_timeseries": bundle("events_timeseries"),
+        "threat_alerts_timeseries": bundle("alerts_timeseries"),
+        "threat_event_severity": bundle("event_severity"),
+        "threat_event_types": bundle("event_types"),
+        "threat_top_event_sources": bundle("top_event_sources"),
         "ip_enrichment": on_events(ip_enrichment),
         "ewma_steps": on_events(lambda e: ewma(e).select(
             "metric", "minute", F.round("mean", 4).alias("mean"), F.round("z", 4).alias("z"), "n")),

@@ -10,6 +10,7 @@ from ..functions.enrich import enrich
 from ..functions.text import exact_round
 from ..operators import aggregates as agg
 from ..schema import SEVERITIES, is_active
+from ..session import materialize
 
 
 def dashboard_kpis(events: DataFrame, alerts: DataFrame, as_of: datetime) -> DataFrame:
@@ -44,20 +45,75 @@ def dashboard_kpis(events: DataFrame, alerts: DataFrame, as_of: datetime) -> Dat
     })
 
 
+#: Grouping columns of the bundle's parts over events and over alerts.
+EVENT_PARTS = {"events_timeseries": ["bucket"], "event_severity": ["severity"], "event_types": ["event_type"],
+               "top_source_ips": ["source_ip"], "top_event_sources": ["source", "source_type"]}
+ALERT_PARTS = {"alerts_timeseries": ["bucket", "severity"], "rule_frequency": ["rule_id"], "top_attacked_hosts": ["affected_host"]}
+
+
+def _grouped(df: DataFrame, parts: dict[str, list[str]], measures: list[Column]) -> DataFrame:
+    """All groupings of `parts` in one aggregation, a row naming its part."""
+    columns = list(dict.fromkeys(c for keys in parts.values() for c in keys))
+    # one bit per column, set where the column is not part of the grouping
+    bits = {name: sum(2 ** (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in keys) for name, keys in parts.items()}
+    part = None
+    for name, value in bits.items():
+        part = F.when(F.grouping_id() == value, name) if part is None else part.when(F.grouping_id() == value, name)
+    sets = [[F.col(c) for c in keys] for keys in parts.values()]
+    return df.groupingSets(sets, *columns).agg(part.alias("part"), *measures)
+
+
+def threat_bundle(
+    events: DataFrame, alerts: DataFrame, as_of: datetime, minutes: int = 180, bucket_seconds: int = 300,
+) -> tuple[DataFrame, DataFrame]:
+    """(event groups, alert groups): every grouping of the threat page, from one scan of each table."""
+    since = F.lit(as_of - timedelta(minutes=minutes))
+    seen = events.filter(F.col("timestamp") >= since).select(
+        agg.bucket(F.col("timestamp"), bucket_seconds).alias("bucket"), "severity", "event_type", "source_ip", "source", "source_type")
+    by_event = _grouped(seen, EVENT_PARTS, [
+        F.count(F.lit(1)).alias("count"), F.count_if(F.col("event_type") == "authentication_failure").alias("auth_failures"),
+        F.count_if(F.col("severity").isin("high", "critical")).alias("high_severity_events")])
+    # rule activity is over all time, the rest over the range
+    inside = F.col("first_seen") >= since
+    raised = alerts.select(agg.bucket(F.col("first_seen"), max(bucket_seconds, 300)).alias("bucket"), "severity", "rule_id", "affected_host",
+                           "event_count", "status", "last_seen", inside.alias("inside"))
+    by_alert = _grouped(raised, ALERT_PARTS, [
+        F.count_if("inside").alias("count"), F.sum(F.when(F.col("inside"), F.col("event_count"))).alias("event_count"),
+        F.count_if(F.col("inside") & (F.col("severity") == "critical")).alias("critical_alerts"),
+        F.count(F.lit(1)).alias("trigger_count"), F.count_if(is_active(F.col("status"))).alias("active_count"),
+        F.max("last_seen").alias("last_triggered")])
+    return by_event, by_alert
+
+
 def threat_activity(
     events: DataFrame, alerts: DataFrame, as_of: datetime, minutes: int = 180, bucket_seconds: int = 300,
 ) -> dict[str, DataFrame]:
-    """The figures of the threat page, all over one time range."""
-    since = as_of - timedelta(minutes=minutes)
+    """The figures of the threat page, all over one time range.
+
+    Each table is aggregated once, with a grouping set per part, and the small result is stored; the parts
+    are taken from it.
+    """
+    by_event, by_alert = (materialize(d, "bundle") for d in threat_bundle(events, alerts, as_of, minutes, bucket_seconds))
+    e = {name: by_event.filter(F.col("part") == name) for name in EVENT_PARTS}
+    a = {name: by_alert.filter(F.col("part") == name) for name in ALERT_PARTS}
+    count = F.col("count")
+
+    def top(df: DataFrame, by: str, *ties: str) -> DataFrame:
+        return df.orderBy(F.desc(by), *ties).limit(10)
+
     return {
-        "events_timeseries": agg.events_timeseries(events, since, bucket_seconds),
-        "alerts_timeseries": agg.alerts_timeseries(alerts, since, bucket_seconds),
-        "event_severity": agg.severity_breakdown(events, since),
-        "event_types": agg.event_type_breakdown(events, since),
-        "rule_frequency": agg.rule_activity(alerts).orderBy(F.desc("trigger_count"), "rule_id"),
-        "top_source_ips": enrich(agg.top_source_ips(events, since, 10)),
-        "top_attacked_hosts": agg.affected_hosts(alerts, since, 10),
-        "top_event_sources": agg.top_hosts(events, since, 10),
+        "events_timeseries": e["events_timeseries"].select("bucket", "count").orderBy("bucket"),
+        "alerts_timeseries": a["alerts_timeseries"].filter(count > 0).select("bucket", "severity", "count").orderBy("bucket", "severity"),
+        "event_severity": e["event_severity"].select("severity", "count"),
+        "event_types": e["event_types"].select("event_type", "count").orderBy(F.desc("count"), "event_type"),
+        "rule_frequency": a["rule_frequency"].select("rule_id", "trigger_count", "active_count", "last_triggered").orderBy(
+            F.desc("trigger_count"), "rule_id"),
+        "top_source_ips": enrich(top(e["top_source_ips"].filter("source_ip is not null").select(
+            "source_ip", count.alias("event_count"), "auth_failures"), "event_count", "source_ip")),
+        "top_attacked_hosts": top(a["top_attacked_hosts"].filter((count > 0) & F.col("affected_host").isNotNull()).select(
+            F.col("affected_host").alias("host"), count.alias("alert_count"), "event_count", "critical_alerts"), "alert_count", "host"),
+        "top_event_sources": top(e["top_event_sources"].select(
+            F.col("source").alias("host"), "source_type", count.alias("event_count"), "high_severity_events"), "event_count", "host", "source_type"),
     }
 
 

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F
 
 from ..functions.normalize import normalize
 from ..operators.correlate import correlate, merge_alerts
@@ -145,8 +145,12 @@ class Engine:
         moves = old.select(*KEY, F.inline("status_history")).select(
             *KEY, F.col("to").alias("status"), "at", F.lit(None).cast("string").alias("request_id"))
         folded = correlate(hold, None if moves.isEmpty() else moves, self.chunk_seconds, store=False).drop("episode")
-        # an analyst's moves stay with the alert
-        told = old.select("alert_id", F.col("status_history").alias("told"))
+        folded = materialize(folded.withColumn("ahead", F.lead("first_seen").over(W.partitionBy(*KEY).orderBy("first_seen"))), "folded")
+        # an analyst's moves stay with the episode they fall into, whose first event may be another now
+        told = old.select(*KEY, F.explode("status_history").alias("move")).join(folded.select(*KEY, "alert_id", "first_seen", "ahead"), KEY).filter(
+            (F.col("move.at") >= F.col("first_seen")) & (F.col("ahead").isNull() | (F.col("move.at") < F.col("ahead"))))
+        by_time = F.transform(F.array_sort(F.collect_list(F.struct(F.col("move.at").alias("k"), "move"))), lambda m: m["move"])
+        told = told.groupBy("alert_id").agg(by_time.alias("told"))
         again = folded.join(told, "alert_id", "left").withColumn(
             "status_history", F.coalesce("told", "status_history")).select(*names(ALERT), F.lit(False).alias("deleted"))
         again = materialize(again, "folded-again")

@@ -45,8 +45,12 @@ def with_copies(parted: DataFrame) -> DataFrame:
         F.unix_micros("timestamp") + F.col("c.d") * DAY_US)}).drop("c")
 
 
-def replay(parted: DataFrame, root: str, step: Callable[[DataFrame, int], object]) -> None:
-    """Stream the rows part by part, a micro-batch each, over one checkpoint."""
+def each_batch(step: Callable[[DataFrame, int], object]):
+    return lambda source: source.writeStream.foreachBatch(step)
+
+
+def replay(parted: DataFrame, root: str, sink: Callable[[DataFrame], object]) -> None:
+    """Stream the rows part by part, a micro-batch each, over one checkpoint into the writer that `sink` makes."""
     spark = parted.sparkSession
     parted.write.partitionBy("part").parquet(f"{root}/parts")
     names = [f for f in parted.schema if f.name != "part"]
@@ -56,7 +60,7 @@ def replay(parted: DataFrame, root: str, step: Callable[[DataFrame, int], object
         rows = spark.read.schema(schema).parquet(f"{root}/parts/part={part}")
         rows.write.mode("append").parquet(f"{root}/in")
         source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{root}/in")
-        query = source.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        query = sink(source).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
 
 
@@ -70,7 +74,7 @@ def streamed(spark: SparkSession, sf_dir: str, params: RuleParams, late: bool =
             engine.step(rows, batch_id)
 
     parted = in_order(mapped_events(spark, sf_dir), parts)
-    replay(with_late(parted) if late else parted, root, step)
+    replay(with_late(parted) if late else parted, root, each_batch(step))
     return engine
 
 
@@ -78,6 +82,25 @@ def event_rows(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.unix_micros("timestamp").alias("us"), "event_type", "source_ip")
 
 
+def rolled(spark: SparkSession, sf_dir: str, seconds: int) -> DataFrame:
+    """The traffic rollup of the stream; an event long after the last closes every interval."""
+    from .baselines import stream_rollup
+
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = in_order(mapped_events(spark, sf_dir), 3)
+    later = F.timestamp_micros(F.unix_micros("timestamp") + 30 * DAY_US)
+    last = events.orderBy(F.desc("timestamp"), "event_id").limit(1).withColumns({"timestamp": later, "part": F.lit(3)})
+    out = None
+
+    def start(source: DataFrame):
+        nonlocal out
+        out = stream_rollup(source, seconds, "0 seconds")
+        return out.writeStream.format("parquet").option("path", f"{root}/out")
+
+    replay(events.unionByName(last), root, start)
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
 def _stored(spark: SparkSession, parted: DataFrame) -> DataFrame:
     """Events the stream keeps, without running rules on them."""
     from ..sources.commits import Commits
@@ -90,7 +113,7 @@ def _stored(spark: SparkSession, parted: DataFrame) -> DataFrame:
         _, manifest = append_events(rows, root, batch_id, {**commits.latest(), "dropped": []})
         commits.commit(batch_id, manifest)
 
-    replay(parted, root, step)
+    replay(parted, root, each_batch(step))
     return event_rows(read_events(spark, root))
 
 

@@ -117,12 +117,12 @@ RELATED = """related AS (SELECT a.alert_id, a.last_us, a.evidence, r.us, r.event
 
 # Requests applied one at a time in order, by recursion over the request number.
 TRIAGE_WALK = """
-first_alerts AS (SELECT alert_id, correlation_key, source_ip FROM alerts WHERE rule_id = 'RULE-001' AND episode = 1),
+first_alerts AS (SELECT alert_id, correlation_key, source_ip FROM alerts),
 req AS (
   SELECT f.alert_id, e.us, e.event_id AS request_id, e.username AS actor,
     (['acknowledged', 'investigating', 'resolved', 'open', 'false_positive'])[e.k % 5 + 1] AS target,
     row_number() OVER (PARTITION BY f.alert_id ORDER BY e.us, e.event_id) AS rn
-  FROM ev e JOIN first_alerts f USING (source_ip) WHERE e.event_type = 'authentication_success' AND e.k < 9
+  FROM ev e JOIN first_alerts f USING (source_ip) WHERE e.event_type = 'authentication_success'
 ),
 tw AS (
   SELECT alert_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS VARCHAR) AS before, 'open' AS state, '' AS outcome FROM first_alerts
@@ -138,8 +138,7 @@ tw AS (
 
 # The same over every alert and every success, with requests for a state that does not exist.
 TRIAGE_ODD = (
-    TRIAGE_WALK.replace(" WHERE rule_id = 'RULE-001' AND episode = 1", "").replace(" AND e.k < 9", "")
-    .replace("'open', 'false_positive'])[e.k % 5 + 1]", "'open', 'false_positive', 'bogus'])[e.k % 6 + 1]")
+    TRIAGE_WALK.replace("'open', 'false_positive'])[e.k % 5 + 1]", "'open', 'false_positive', 'bogus'])[e.k % 6 + 1]")
     .replace("CASE WHEN w.state = r.target", "CASE WHEN r.target = 'bogus' THEN 'rejected' WHEN w.state = r.target")
 )
 
@@ -193,6 +192,7 @@ ORACLES: dict[str, str] = {
         FROM ev WHERE us >= {SINCE} GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 50"""),
     "minute_rollup": with_events(rollup(60)),
     "hour_rollup": with_events(rollup(3600)),
+    "stream_rollup": with_events(rollup(3600)),
     "metrics_long": with_events(LONG),
     "dedup_events": with_events("SELECT event_id, us, CAST(0 AS BIGINT) AS bytes_in FROM ev"),
     "normalize_raw": with_events(NORMALIZED),
@@ -272,6 +272,24 @@ ORACLES: dict[str, str] = {
         GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""),
     "threat_events_timeseries": with_events(
         f"SELECT {bucket('us', 3600)} AS bucket, count(*) AS count FROM ev WHERE us >= {DAY_AGO} GROUP BY 1"),
+    "threat_alerts_timeseries": with_alerts(
+        f"SELECT {bucket('first_us', 3600)} AS bucket, severity, count(*) AS count FROM alerts WHERE first_us >= {DAY_AGO} GROUP BY 1, 2"),
+    "threat_event_severity": with_events(f"SELECT severity, count(*) AS count FROM ev WHERE us >= {DAY_AGO} GROUP BY 1"),
+    "threat_event_types": with_events(f"SELECT event_type, count(*) AS count FROM ev WHERE us >= {DAY_AGO} GROUP BY 1"),
+    "threat_top_event_sources": with_events(f"""SELECT source AS host, source_type, count(*) AS event_count,
+        count(*) FILTER (WHERE severity IN ('high', 'critical')) AS high_severity_events FROM ev WHERE us >= {DAY_AGO}
+        GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10"""),
+    "alert_by_id": with_alerts(f"SELECT {KEYS} FROM alerts ORDER BY last_us DESC, alert_id LIMIT 1"),
+    "catalogue_upsert": with_alerts("""SELECT rule_id, handle, rule_id <> 'ML-001' AND rule_id NOT IN (SELECT rule_id FROM alerts) AS enabled
+        FROM rules""", CATALOGUE),
+    "feed_events": with_events("""SELECT batch, event_id, severity FROM (
+        SELECT *, CAST((us - min(us) OVER ()) // ((max(us) OVER () - min(us) OVER ()) // 3 + 1) AS BIGINT) AS batch FROM ev)
+        QUALIFY row_number() OVER (PARTITION BY batch ORDER BY us DESC, event_id) <= 100"""),
+    "feed_alerts": with_events("SELECT alert_id, event_count FROM alerts", DETS, NO_EPISODES, FOLD),
+    "topic_messages": with_events("SELECT source_ip AS key, event_id, event_type, CAST(bytes_out AS VARCHAR) AS bytes_out FROM ev"),
+    "events_timeseries_range": with_events(f"SELECT {bucket('us', 1800)} AS bucket, count(*) AS count FROM ev WHERE us >= {SINCE} GROUP BY 1"),
+    "audit_log": with_triage("""SELECT r.alert_id AS target_id, r.request_id, r.actor, r.us FROM tw w JOIN req r USING (alert_id, rn)
+        WHERE w.outcome = 'changed'"""),
     "ip_enrichment": with_events(enriched(IPS, "ip")),
     "ewma_steps": with_ewma("SELECT metric, minute, round(mean, 4) AS mean, round(z, 4) AS z, rn - 1 AS n FROM walk"),
     "ewma_baseline": with_ewma(f"""SELECT metric, {rnd('next_mean', 2)} AS mean, {rnd('sqrt(next_var)', 2)} AS std, rn AS samples,

@@ -6,6 +6,8 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from fixtures import T0
+from eventwatch.schema import ALERT
+from eventwatch.plans import dashboards
 from eventwatch.functions.enrich import enrich_ip, no_enrichment
 from eventwatch.operators import search
 from eventwatch.operators.aggregates import bucket_for_range, series_total
@@ -91,3 +93,18 @@ def test_small_helpers(spark, make_events):
     assert series_total(spark.createDataFrame([], "bucket bigint, count bigint")).first().total == 0
     row = topic_rows(brute(make_events)).first()
     assert row.key == "203.0.113.9" and '"event_id":"e00000"' in row.value
+
+
+def test_the_bundle_scans_each_table_once(spark, make_events, tmp_path):
+    make_events([{"severity": s, "source_ip": ip} for s in ("low", "high") for ip in ("203.0.113.1", None)]).write.parquet(str(tmp_path / "e"))
+    events = spark.read.parquet(str(tmp_path / "e"))
+    spark.createDataFrame([], ALERT).write.parquet(str(tmp_path / "a"))
+    alerts = spark.read.schema(ALERT).parquet(str(tmp_path / "a"))
+    as_of = T0.replace(tzinfo=None) + timedelta(hours=1)
+    for part in dashboards.threat_bundle(events, alerts, as_of):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 1 and plan.count("Aggregate [") == 1
+    got = {name: [tuple(r) for r in df.collect()] for name, df in dashboards.threat_activity(events, alerts, as_of).items()}
+    assert sorted(got["event_severity"]) == [("high", 2), ("low", 2)] and [r[:3] for r in got["top_source_ips"]] == [("203.0.113.1", 2, 0)]
+    assert got["top_event_sources"] == [("ssh-server-01", "linux_server", 4, 2)] and got["event_types"] == [("unknown", 4)]
+    assert got["rule_frequency"] == got["alerts_timeseries"] == got["top_attacked_hosts"] == []
