@@ -43,13 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-_LOCAL = threading.local()
+#: By thread: the tables each open `scratch` has to delete.
+_SCOPES: dict[int, list[list[str]]] = {}
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables this thread materialises inside are deleted at the end; none may be read afterwards."""
-    scopes = _LOCAL.__dict__.setdefault("scopes", [])
+    scopes = _SCOPES.setdefault(threading.get_ident(), [])
     scopes.append([])
     try:
         yield
@@ -67,7 +68,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if getattr(_LOCAL, "scopes", None):
-        _LOCAL.scopes[-1].append(path)
+    if scopes := _SCOPES.get(threading.get_ident()):
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
