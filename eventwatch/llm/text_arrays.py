@@ -115,7 +115,14 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-_POWERS: dict[int, np.ndarray] = {}
+class Kept(dict):
+    """Tables a process keeps for reuse; they are never sent to another one."""
+
+    def __reduce__(self):
+        return Kept, ()
+
+
+_POWERS: dict[int, np.ndarray] = Kept()
 
 
 def powers_of(base: np.uint64, n: int) -> np.ndarray:
