@@ -1,13 +1,15 @@
 """Line deduplication by an exact set-similarity join (operator 10).
 
-A line's set is its distinct five-word shingles; a line of fewer words is its whole sequence as one
-shingle, which only equal lines share. A line goes when any line before it (smaller doc_id,
-or earlier in the same document) has Jaccard 0.8 or more with it; matches are judged on the input.
-
-Lines with equal words form a class, represented by its first line. For the others only the question
-"does an earlier match exist?" is open: every class first tries the earliest class of its blocks (the
-one it shares most prefix elements with), then its nearest earlier candidate, and what is undecided
-after that tries all of them. Positional, length and bitmap filters lose no match.
+A line's set is its words, A-Z in lower case, repeated words told apart by number (the second "the" is
+another element than the first). A line goes when any line before it (smaller doc_id, or earlier in the
+same document) has Jaccard 0.8 or more with it; matches are judged on the input.
+
+Words are ordered by rarity. Lines with equal sets form a class, represented by its first line. Two
+classes can only match when they share an element of both prefixes; rows (element, class) meet by the
+element and pass the length, positional and bitmap filters, none of which loses a match. What is left is
+verified from the whole lines. A class needs one earlier match only, so each first tries the nearest of
+its candidates in a block; a class that had more and found none tries all of them. The rows of an
+element held by very many classes are cut into tiles, so no task sees more than two parts of `TILE`.
 """
 
 from __future__ import annotations
@@ -20,83 +22,213 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from eventwatch.llm import set_join as sj
-from eventwatch.llm.text_arrays import Words, id_and_text, slices
+from eventwatch.llm.text_arrays import Words, id_and_text, lists, mix, signed, slices, within
 from eventwatch.session import materialize
 
-SHINGLE = 5
 PERCENT = 80
-#: Lines of fewer words are left alone: only those without any word.
-MIN_WORDS = 1
 TILE = 2048
+#: Candidates a class tries first, in each step of a block; the others follow if none of these matches.
+NEAREST = 8
+#: Words are counted in this many hash buckets. The counts order words and mark those that may be hot.
+BUCKETS = 1 << 17
+#: Rows of a block partition a task looks at together.
+GATHERED = 1 << 17
+_NTH = np.uint64(0x9E3779B97F4A7C15)
 
 
 def with_body(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).withColumn("body", F.xxhash64("text"))
 
 
-def line_sets(docs: DataFrame, percent: int, min_words: int, rarity: sj.Rarity | None) -> DataFrame:
-    """doc_id, body, line, key (of its words), and with `rarity` n, prefix and bitmap, of lines with enough words."""
-    full = rarity is not None
+def words_of_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
+    """(words by line, row of each line's text, number of the line in it); empty last lines are left out."""
+    breaks = np.flatnonzero(data == 10) + 1
+    starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], breaks[breaks < len(data)]) if len(data) else np.zeros(0, np.int64)
+    row = np.searchsorted(offsets, starts, "right") - 1
+    # a break that ends a document opens no line of the next one twice: starts are distinct
+    number = np.searchsorted(breaks, starts, "right") - np.searchsorted(breaks, offsets[row], "right")
+    return Words(data, np.r_[starts, len(data)].astype(np.int64)), row, number
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def word_counts(docs: DataFrame) -> np.ndarray:
+    """Count per bucket of the words of all lines, lines with the same words counted once a slice.
+
+    A task sends at most one row a bucket, and `BUCKETS` numbers come to the driver, however large the corpus.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(1)):
+                words = words_of_lines(data, offsets)[0]
+                sizes = np.diff(words.first)
+                some = np.flatnonzero(sizes)
+                if len(some):
+                    place = within(sizes).astype(np.uint64)
+                    key = np.add.reduceat(mix(words.hash + place * _NTH), words.first[some])
+                    fresh = np.zeros(len(sizes), bool)
+                    fresh[some[np.unique(key, return_index=True)[1]]] = True
+                    total += np.bincount(_bucket(words.hash[np.repeat(fresh, sizes)]), minlength=BUCKETS)
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(total[met])], ["bucket", "n"])
+
+    got = id_and_text(docs).mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(BUCKETS, np.int64)
+    out[got.bucket.to_numpy(np.int64)] = got.n.to_numpy(np.int64)
+    return out
+
+
+def _order(row: np.ndarray, level: np.ndarray | int, low: np.ndarray) -> np.ndarray:
+    """Order of (row, level, low): one sort of these packed in 64 bits, by all three where that is not enough."""
+    if len(row) and row[-1] < 1 << 20:
+        packed = (row.astype(np.uint64) << np.uint64(44)) | (np.uint64(level) << np.uint64(37)) | (low >> np.uint64(27))
+        at = np.argsort(packed, kind="stable")
+        p, q = packed[at], low[at]
+        if not ((p[1:] == p[:-1]) & (q[1:] != q[:-1])).any():
+            return at
+    return np.lexsort((low, np.broadcast_to(level, len(row)), row))
+
+
+def token_sets(words: Words, level: np.ndarray | None = None) -> tuple[sj.Sets, np.ndarray]:
+    """(the rows' elements, level of each): by `level`, below 128, within a row when it is given for the words."""
+    row = words.row
+    order = _order(row, 0, words.hash)
+    h = words.hash[order]
+    again = np.zeros(len(h), bool)
+    again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
+    place = np.arange(len(h))
+    nth = place - np.maximum.accumulate(np.where(again, 0, place)) if len(h) else place
+    element = mix(h + nth.astype(np.uint64) * _NTH)
+    found = np.zeros(len(h), np.uint64)
+    if level is not None:
+        found = level[order].astype(np.uint64)
+        second = _order(row, found, element)
+        element, found = element[second], found[second]
+    return sj.Sets(element, row, np.diff(words.first).astype(np.int64)), found
+
+
+def line_classes(docs: DataFrame, percent: int, counts: np.ndarray) -> DataFrame:
+    """One row per class of lines with equal sets: its first line (doc_id, line, body), n, prefix, cold, b1, b2.
+
+    `prefix` has 32 bits of each element, of which the first `cold` are in too few lines to need tiles;
+    b1 and b2 are a parity bitmap of 128 bits.
+    """
+    hot = np.ceil(2 * np.log2(TILE + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in slices(batch.column(1)):
-                breaks = np.flatnonzero(data == 10) + 1
-                starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], breaks[breaks < len(data)]) if len(data) else np.zeros(0, np.int64)
-                doc = np.searchsorted(offsets, starts, "right") - 1
-                # a break that ends a document opens no line of the next one twice: starts are distinct
-                number = np.searchsorted(breaks, starts, "right") - np.searchsorted(breaks, offsets[doc], "right")
-                words = Words(data, np.r_[starts, len(data)].astype(np.int64))
-                enough = np.flatnonzero(np.diff(words.first) >= min_words)
-                at, keys = pa.array(doc[enough] + i), sj.sequence_keys(words)
-                out = [batch.column(0).take(at), batch.column(2).take(at), pa.array(number[enough], pa.int32()),
-                       pa.array([keys[k] for k in enough], pa.binary())]
-                names = ["doc_id", "body", "line", "key"]
-                if full:
-                    sets = sj.shingle_sets(words, SHINGLE, rarity)
-                    maps = sets.bitmaps()
-                    # below SHINGLE words only the same sequence matches, and that is the same class already
-                    prefixes = sets.prefixes(percent, np.diff(words.first) >= SHINGLE)
-                    out += [pa.array(sets.n[enough], pa.int32()), prefixes.take(pa.array(enough)),
-                            pa.array([maps[k] for k in enough], pa.binary())]
-                    names += ["n", "prefix", "bitmap"]
-                yield pa.RecordBatch.from_arrays(out, names)
-
-    kind = "doc_id bigint, body bigint, line int, key binary" + (", n int, prefix array<bigint>, bitmap binary" if full else "")
-    return with_body(docs).mapInArrow(run, kind)
-
-
-def first_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Each class with the earliest class of its blocks it shares most prefix elements with."""
-    hub = rows.groupBy("token").agg(F.min(F.struct("doc_id", "line", "body", "id", "n")).alias("hub"), F.count(F.lit(1)).alias("held"))
-    met = rows.join(hub.filter("held > 1").select("token", "hub"), "token").filter("id <> hub.id").filter(
-        100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
-    each = met.groupBy("id", F.col("hub.id").alias("other")).agg(F.count(F.lit(1)).alias("shared"))
-    return each.groupBy("id").agg(F.max(F.struct("shared", "other")).alias("m")).select("id", F.col("m.other").alias("other"))
-
-
-def _earlier(table: pa.Table):
-    undecided, line, body = table["undecided"].to_numpy(), table["line"].to_numpy(), table["body"].to_numpy()
-    doc = table["doc_id"].fill_null(-(1 << 63)).to_numpy()
-
-    def wanted(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        before = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & ((line[i] < line[j]) | ((line[i] == line[j]) & (body[i] < body[j]))))
-        late, early = np.where(before, j, i), np.where(before, i, j)
-        ok = undecided[late]
-        return late[ok], early[ok]
-
-    return wanted
-
-
-def next_pairs(rows: DataFrame, reps: DataFrame, decided: DataFrame, percent: int, best: bool) -> DataFrame:
-    """(id, other): earlier candidates of undecided classes; with `best` only the nearest of each."""
-    marked = rows.join(decided.select("id", F.lit(False).alias("undecided")), "id", "left").withColumn("undecided", F.coalesce("undecided", F.lit(True)))
-    # the first of a block has nothing earlier in it
-    place = F.struct("doc_id", "line", "body")
-    open_ = marked.groupBy("token").agg(
-        F.min(place).alias("earliest"), F.max(F.when(F.col("undecided"), place)).alias("latest"), F.count(F.lit(1)).alias("held"))
-    open_ = open_.filter("latest > earliest").select("token", F.ceil(F.col("held") / TILE).cast("int").alias("parts"))
-    return sj.paired(marked.join(open_, "token").join(reps.select("id", "bitmap"), "id"), percent, _earlier, best)
+            for i, _, data, offsets in slices(batch.column(1)):
+                words, row, number = words_of_lines(data, offsets)
+                sets, level = token_sets(words, np.ceil(2 * np.log2(counts[_bucket(words.hash)] + 1)))
+                some = np.flatnonzero(sets.n)
+                if not len(some):
+                    continue
+                n, heads, e = sets.n[some], words.first[:-1][some], sets.hash
+                size = sj.prefix_length(n, percent)
+                at = np.repeat(heads, size) + within(size)
+                cold = np.bincount(np.repeat(np.arange(len(n)), size)[level[at] < hot], minlength=len(n))
+                bit, high = np.uint64(1) << (e & np.uint64(63)), (e & np.uint64(64)) > 0
+                columns = [
+                    signed(np.add.reduceat(mix(e + np.uint64(1)), heads)),
+                    signed(np.add.reduceat(mix(e ^ np.uint64(0x5851F42D4C957F2D)), heads)),
+                    batch.column(0).take(pa.array(row[some] + i)), pa.array(number[some], pa.int32()),
+                    batch.column(2).take(pa.array(row[some] + i)), pa.array(n, pa.int32()),
+                    lists((e[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), size, pa.int32()), pa.array(cold, pa.int32()),
+                    signed(np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), heads)),
+                    signed(np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), heads))]
+                yield pa.RecordBatch.from_arrays(
+                    [c if isinstance(c, pa.Array) else pa.array(c) for c in columns],
+                    ["k1", "k2", "doc_id", "line", "body", "n", "prefix", "cold", "b1", "b2"])
+
+    lines = with_body(docs).select("doc_id", "text", "body").mapInArrow(
+        run, "k1 bigint, k2 bigint, doc_id bigint, line int, body bigint, n int, prefix array<int>, cold int, b1 bigint, b2 bigint")
+    # the place decides the minimum; what follows it is equal within a class
+    first = F.min(F.struct("doc_id", "line", "body", "n", "prefix", "cold", "b1", "b2")).alias("first")
+    return lines.groupBy("k1", "k2").agg(first).select(F.monotonically_increasing_id().alias("id"), "first.*")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= GATHERED:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iterator[pa.RecordBatch]:
+    """(id, other, more): earlier candidates of classes in a block; `more` where the nearest are not all.
+
+    With `every`, all candidates of the rows marked `open`.
+    """
+    for table, ends in sj.whole_runs(_gathered(batches), ["token", "tile"]):
+        c = {k: table[k].to_numpy() for k in table.column_names if k != "doc_id"}
+        ids, n, pos = c["id"], c["n"].astype(np.int64), c["pos"].astype(np.int64)
+        doc, line = table["doc_id"].fill_null(-(1 << 63)).to_numpy(), c["line"]
+        # as unsigned: numpy counts the bits of a negative number's absolute value
+        maps = [np.ascontiguousarray(c[k]).view(np.uint64) for k in ("b1", "b2")]
+        order = np.lexsort((ids, c["b2"], c["b1"], line, doc))
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        partners = ends - np.arange(len(ids)) - 1
+        bound = np.cumsum(partners)
+        row = 0
+        while row < len(ids):
+            stop = max(row + 1, int(np.searchsorted(bound, (bound[row - 1] if row else 0) + sj.PAIR_CHUNK, "right")))
+            i = np.repeat(np.arange(row, stop), partners[row:stop])
+            j = i + 1 + within(partners[row:stop])
+            row = stop
+            ok = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            i, j = i[ok], j[ok]
+            need = -(-(percent * (n[i] + n[j])) // (100 + percent))  # ⌈t / (1 + t) · (n₁ + n₂)⌉ shared elements
+            ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
+            i, j, need = i[ok], j[ok], need[ok]
+            apart = sum(np.bitwise_count(m[i] ^ m[j]).astype(np.int64) for m in maps)
+            # a class holds an element once, but two elements may share their 32 bits
+            ok = (apart <= n[i] + n[j] - 2 * need) & (ids[i] != ids[j])
+            i, j, apart = i[ok], j[ok], apart[ok]
+            late, early = np.where(rank[i] < rank[j], j, i), np.where(rank[i] < rank[j], i, j)
+            more = np.zeros(len(late), bool)
+            if every:
+                ok = c["open"][late]
+                late, early, more = late[ok], early[ok], more[ok]
+            elif len(late):
+                o = np.lexsort((rank[early], apart, late))
+                late, early = late[o], early[o]
+                size = np.diff(np.flatnonzero(np.r_[True, late[1:] != late[:-1], True]))
+                keep = within(size) < NEAREST
+                more = np.repeat(size > NEAREST, size)[keep]
+                late, early = late[keep], early[keep]
+            if len(late):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[late]), pa.array(ids[early]), pa.array(more)], ["id", "other", "more"])
+
+
+def candidates(reps: DataFrame, hot: DataFrame, percent: int, undecided: DataFrame | None = None) -> DataFrame:
+    """(id, other, more): pairs of classes that pass every filter, `other` being the earlier one.
+
+    Without `undecided` the nearest of each class, with it all candidates of these classes.
+    """
+    rows = reps.select("id", "doc_id", "line", "n", "b1", "b2", F.posexplode("prefix").alias("pos", "token"))
+    if undecided is not None:
+        rows = rows.join(undecided.withColumn("open", F.lit(True)), "id", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        rows = rows.join(rows.filter("open").select("token").distinct(), "token", "left_semi")
+    # part s of a hot element goes to every tile {s, t}, so each pair of parts meets in one task
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1),
+                        lambda t: F.least(t, part) * F.col("parts") + F.greatest(t, part))
+    rows = rows.join(hot, "token", "left").withColumn(
+        "tile", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(tiles))).drop("parts")
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.repartition(count, "token", "tile").sortWithinPartitions("token", "tile").mapInArrow(
+        lambda b: _block_pairs(b, percent, undecided is not None), "id bigint, other bigint, more boolean")
+    return found.groupBy("id", "other").agg(F.max("more").alias("more"))
 
 
 def _cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,48 +243,50 @@ def _cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["id", "blob"])
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+def matched(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """id of the classes of `pairs` whose whole lines match those of their `other`."""
+    met = pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct()
+    wanted = reps.select("id", "doc_id", "body", "line").join(met, "id").groupBy("doc_id", "body").agg(
+        F.collect_list(F.struct("id", "line")).alias("wanted"))
+    same = F.col("w.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("w.body") == F.col("d.body"))
+    read = sj.packed(with_body(docs).select("doc_id", "body", "text"))
+    texts = read.alias("d").join(wanted.alias("w"), same).select("d.blob", "w.wanted").mapInArrow(_cut_lines, "id bigint, blob binary")
+    once = texts.groupBy("id").agg(F.first("blob").alias("blob"))  # a repeated document gives its lines again
+    good = sj.jaccard_of_texts(pairs.select(F.col("id").alias("a"), F.col("other").alias("b")), once, lambda w: token_sets(w)[0], percent)
+    return good.select(F.col("a").alias("id")).distinct()
+
+
+def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, body (hash of the text), kept: numbers of the lines with words that no earlier line matches."""
+    reps = materialize(line_classes(docs, percent, word_counts(docs)), "line-classes")
+    tail = reps.select(F.explode(F.slice("prefix", F.col("cold") + 1, F.size("prefix"))).alias("token"))
+    hot = tail.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > TILE)
+    hot = materialize(hot.select("token", F.ceil(F.col("held") / TILE).cast("int").alias("parts")), "line-hot")
+    pairs = materialize(candidates(reps, hot, percent), "line-pairs")
+    gone = materialize(matched(docs, reps, pairs, percent), "line-found")
+    undecided = materialize(pairs.filter("more").select("id").distinct().join(gone, "id", "left_anti"), "line-open")
+    if not undecided.isEmpty():
+        rest = candidates(reps, hot, percent, undecided).join(pairs, ["id", "other"], "left_anti")
+        gone = gone.union(matched(docs, reps, materialize(rest, "line-pairs"), percent))
+    left = reps.select("id", "doc_id", "body", "line").join(gone, "id", "left_anti")
+    return left.groupBy("doc_id", "body").agg(F.collect_set("line").alias("kept"))
+
+
+def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, body (hash of the text), removed (sorted numbers of the lines to drop, from 0).
 
     Documents without such lines give no row. Rows equal in doc_id and text are one document, whose
-    lines do not match themselves; null doc_ids come first. Null and empty texts, lines of fewer than
-    `min_words` words and other columns play no part; an empty table gives no rows.
+    lines do not match themselves. Null doc_ids come first; lines of one number in different texts of a
+    doc_id are ordered by their hashes. Lines of any length take part whole. Null and empty texts, lines
+    without words and other columns play no part; an empty table gives no rows.
     """
-    rarity = sj.word_rarity(docs)
-    classes = line_sets(docs, percent, min_words, rarity).groupBy("key").agg(
-        F.min(F.struct("doc_id", "line", "body")).alias("first"), F.first("n").alias("n"),
-        F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
-    reps = materialize(classes.select(
-        F.monotonically_increasing_id().alias("id"), "key", "first.doc_id", "first.line", "first.body", "n", "prefix", "bitmap"), "line-classes")
-    tokens = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    # only elements met twice get the place of their line
-    shared = sj.shared_elements(tokens.select("token", "id", "n", "pos"))
-    rows = materialize(shared.join(reps.select("id", "doc_id", "line", "body"), "id"), "line-blocks")
-    pairs = materialize(first_pairs(rows, percent), "line-pairs")
-    wanted = rows.select("id", "doc_id", "body", "line").distinct().groupBy("doc_id", "body").agg(
-        F.collect_list(F.struct("id", "line")).alias("wanted"))
-    same = F.col("w.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("w.body") == F.col("d.body"))
-    read = sj.packed(id_and_text(docs).select("doc_id", F.xxhash64("text").alias("body"), "text"))
-    texts = sj.stored_texts(read.alias("d").join(wanted.alias("w"), same).select("d.blob", "w.wanted").mapInArrow(_cut_lines, "id bigint, blob binary"))
-    decided, tested = None, None
-    for step in ("best", "all", "done"):
-        asked = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        good = sj.jaccard_of_texts(asked, texts, SHINGLE, percent)
-        found = pairs.withColumns({"a": F.least("id", "other"), "b": F.greatest("id", "other")}).join(good, ["a", "b"]).select("id").distinct()
-        found = materialize(found, "line-found")
-        decided = found if decided is None else decided.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        if step == "done":
-            break
-        more = next_pairs(rows, reps, decided, percent, step == "best")
-        pairs = materialize(more.join(tested, ["id", "other"], "left_anti"), "line-pairs")
-    known = reps.select("key", "id", F.col("doc_id").alias("d"), F.col("line").alias("l"), F.col("body").alias("b"))
-    known = known.join(decided.distinct().withColumn("matched", F.lit(True)), "id", "left").withColumn(
-        "matched", F.coalesce("matched", F.lit(False)))
-    lines = line_sets(docs, percent, min_words, None).join(known, "key")
-    first = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("l") == F.col("line")) & (F.col("b") == F.col("body"))
-    gone = lines.filter(F.col("matched") | ~first)
-    return gone.groupBy("doc_id", "body").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    kept = kept_lines(docs, percent).withColumnsRenamed({"doc_id": "d", "body": "b"})
+    texts = with_body(docs).withColumn("lines", F.split("text", "\n"))
+    worded = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(r"[^\x20\x09-\x0D]"))
+    texts = texts.select("doc_id", "body", worded.alias("worded")).filter(F.size("worded") > 0).distinct()
+    out = texts.join(kept, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("b") == F.col("body")), "left")
+    gone = F.array_except("worded", F.coalesce("kept", F.array().cast("array<int>")))
+    return out.select("doc_id", "body", gone.alias("removed")).filter(F.size("removed") > 0)
 
 
 def line_report(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ only one of the sets has).
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -313,8 +313,10 @@ def stored_texts(texts: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def jaccard_of_texts(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose shingle sets have Jaccard `percent` or more, from their whole texts.
+def jaccard_of_texts(pairs: DataFrame, texts: DataFrame, size: int | Callable[[Words], Sets], percent: int) -> DataFrame:
+    """(a, b) of the pairs whose sets have Jaccard `percent` or more, from their whole texts.
+
+    The sets are shingles of `size` words, or what the function `size` makes of the words.
 
     Both texts of a pair meet by the pair, never by a text, so a text in many pairs is no hot key.
     """
@@ -339,7 +341,8 @@ def jaccard_of_texts(pairs: DataFrame, texts: DataFrame, size: int, percent: int
                 stop = at + max(2, stop // 2 * 2)
                 part = batch.slice(at, stop - at)
                 _, _, data, offsets = next(slices(texts.slice(at, stop - at), 1 << 62))
-                sets = shingle_sets(Words(data, offsets), size)
+                words = Words(data, offsets)
+                sets = shingle_sets(words, size) if isinstance(size, int) else size(words)
                 both = sets.row // 2
                 order = np.lexsort((sets.hash, both))
                 h, p = sets.hash[order], both[order]

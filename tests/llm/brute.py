@@ -35,18 +35,23 @@ def components(rows, size, percent):
     return {d: (len(s), root(d)) for d, s in sets}
 
 
-def removed_lines(rows, min_words=1, size=5, percent=80):
-    """{doc_id: [line numbers]} of rows (doc_id, text), in id order."""
+def removed_lines(rows, percent=80):
+    """{doc_id: [line numbers]} of rows (doc_id, text): lines like an earlier one as bags of words."""
     earlier, out = [], {}
-    for d, text in sorted(rows):
+    for d, text in sorted(rows, key=lambda r: r[0]):
         out[d] = []
         for i, line in enumerate((text or "").split("\n")):
-            if len(words(line)) < min_words:
+            bag = Counter(words(line))
+            size = bag.total()
+            if not size:
                 continue
-            s = shingle_set(line, size)
-            if any(100 * len(s & e) >= percent * len(s | e) for e in earlier):
-                out[d].append(i)
-            earlier.append(s)
+            for other, total in earlier:
+                if min(size, total) * 100 >= percent * max(size, total):
+                    shared = (bag & other).total()
+                    if 100 * shared >= percent * (size + total - shared):
+                        out[d].append(i)
+                        break
+            earlier.append((bag, size))
     return out
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -86,23 +87,67 @@ def test_line_dedup(frame, corpus, monkeypatch):
 
 
 def test_line_dedup_short_lines(frame):
-    """Lines of one to four words go when an equal line came before; lines without words stay."""
-    rows = [(1, "one\nA b c\n\n \nw x y z"), (2, "a  B c\none two\n\none"), (3, "w x y z\nw x y\nw x y z v"), (4, "v w x y z\none two\none two")]
-    want = {1: [], 2: [0, 3], 3: [0], 4: [1, 2]}
-    assert brute.removed_lines(rows, min_words=1) == want
+    """Lines of one to four words take part like all others; lines without words stay."""
+    rows = [(1, "one\nA b c\n\n \nw x y z"), (2, "a  B c\none two\n\none"), (3, "w x y z\nw x y\nw x y z v"), (4, "v w x y z\none two\none two\none one")]
+    want = {1: [], 2: [0, 3], 3: [0, 2], 4: [0, 1, 2]}
+    assert brute.removed_lines(rows) == want
     assert {r.doc_id: r.removed for r in line_dedup.line_report(frame(rows)).collect()} == want
 
 
-def test_line_dedup_every_line(frame, corpus):
-    want = brute.removed_lines(corpus, min_words=1)
-    assert {r.doc_id: r.removed for r in line_dedup.line_report(frame(corpus)).collect()} == want
-    assert want != brute.removed_lines(corpus, min_words=5)
+def test_line_dedup_one_word_changed(frame):
+    """A line of ten or more words with one word changed, added, removed or moved goes."""
+    rnd = random.Random(5)
+    rows, want = [], {}
+    for k in range(40):
+        w = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(10, 60))]
+        edit, at = list(w), rnd.randrange(len(w))
+        if k % 4 == 0:
+            edit[at] = "other"
+        elif k % 4 == 1:
+            edit.insert(at, "other")
+        elif k % 4 == 2:
+            del edit[at]
+        else:
+            edit.insert(0, edit.pop(at))
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, "own line %d\n" % k + " ".join(edit))]
+        want |= {2 * k: [], 2 * k + 1: [1]}
+    got = {r.doc_id: r.removed for r in line_dedup.line_report(frame(rows)).collect()}
+    brute_want = brute.removed_lines(rows)
+    assert got == brute_want
+    assert sum(got[d] == x for d, x in want.items()) >= 0.9 * len(want)
+
+
+def test_line_dedup_many_near_copies(frame, monkeypatch):
+    """Groups of look-alikes with more candidates than are tried first, in blocks cut into tiles."""
+    monkeypatch.setattr(line_dedup, "TILE", 3)
+    monkeypatch.setattr(line_dedup, "NEAREST", 1)
+    rnd = random.Random(6)
+    base = [f"w{i}" for i in range(12)]
+    rows = []
+    for d in range(60):
+        w = list(base)
+        for at in rnd.sample(range(12), rnd.randint(0, 4)):
+            w[at] = f"x{rnd.randrange(6)}"
+        rows.append((d, " ".join(w)))
+    want = brute.removed_lines(rows)
+    assert {r.doc_id: r.removed for r in line_dedup.line_report(frame(rows)).collect()} == want
+    assert 5 < sum(not x for x in want.values()) < 55
+
+
+def test_line_dedup_edges(frame):
+    """Null ids come first, equal rows are one document, a very long line is compared whole."""
+    long = " ".join(f"w{i % 977}x{i}" for i in range(30000))
+    rows = [(None, "a b c"), (1, "a b c\nd e"), (1, "a b c\nd e"), (2, long), (3, long + " end"), (4, None), (5, "")]
+    got = sorted(((r.doc_id, r.n_lines, r.removed) for r in line_dedup.line_report(frame(rows)).collect()), key=str)
+    assert got == sorted([(None, 1, []), (1, 2, [0]), (1, 2, [0]), (2, 1, []), (3, 1, [0]), (4, 1, []), (5, 1, [])], key=str)
+
 
+def test_words_of_lines_number_lines():
+    import pyarrow as pa
+    from eventwatch.llm.text_arrays import utf8
 
-def test_line_sets_number_lines(frame):
-    rows = [(1, "\n\na b c d e\n"), (2, "a b c d e\nf g h i j"), (3, "\n")]
-    got = line_dedup.line_sets(frame(rows), 80, 5, None).select("doc_id", "line").collect()
-    assert sorted((r.doc_id, r.line) for r in got) == [(1, 2), (2, 0), (2, 1)]
+    words, row, number = line_dedup.words_of_lines(*utf8(pa.array(["\n\na b\n", "c\nd e", None, "\n"])))
+    assert [(r, n, int(k)) for r, n, k in zip(row.tolist(), number.tolist(), np.diff(words.first)) if k] == [(0, 2, 2), (1, 0, 1), (1, 1, 2)]
 
 
 def test_decontamination(frame, spark, corpus):
