@@ -225,9 +225,9 @@ def candidates(reps: DataFrame, hot: DataFrame, percent: int, undecided: DataFra
                         lambda t: F.least(t, part) * F.col("parts") + F.greatest(t, part))
     rows = rows.join(hot, "token", "left").withColumn(
         "tile", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(tiles))).drop("parts")
-    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count, every = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), undecided is not None
     found = rows.repartition(count, "token", "tile").sortWithinPartitions("token", "tile").mapInArrow(
-        lambda b: _block_pairs(b, percent, undecided is not None), "id bigint, other bigint, more boolean")
+        lambda b: _block_pairs(b, percent, every), "id bigint, other bigint, more boolean")
     return found.groupBy("id", "other").agg(F.max("more").alias("more"))
 
 

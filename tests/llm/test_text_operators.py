@@ -121,17 +121,18 @@ def test_line_dedup_many_near_copies(frame, monkeypatch):
     """Groups of look-alikes with more candidates than are tried first, in blocks cut into tiles."""
     monkeypatch.setattr(line_dedup, "TILE", 3)
     monkeypatch.setattr(line_dedup, "NEAREST", 1)
-    rnd = random.Random(6)
-    base = [f"w{i}" for i in range(12)]
+    rnd, asked, candidates = random.Random(6), [], line_dedup.candidates
+    monkeypatch.setattr(line_dedup, "candidates", lambda *a: asked.append(len(a)) or candidates(*a))
+    base = [f"w{i}" for i in range(200)]
     rows = []
     for d in range(60):
         w = list(base)
-        for at in rnd.sample(range(12), rnd.randint(0, 4)):
-            w[at] = f"x{rnd.randrange(6)}"
+        for at in rnd.sample(range(200), rnd.randint(8, 20)):
+            w[at] = f"x{rnd.randrange(1000)}"
         rows.append((d, " ".join(w)))
     want = brute.removed_lines(rows)
     assert {r.doc_id: r.removed for r in line_dedup.line_report(frame(rows)).collect()} == want
-    assert 5 < sum(not x for x in want.values()) < 55
+    assert 5 < sum(not x for x in want.values()) < 55 and asked == [3, 4]
 
 
 def test_line_dedup_edges(frame):
