@@ -134,6 +134,107 @@ def test_copied_pages_keep_their_text(spark):
     assert got == {i: texts[i % 3] for i in range(5)}
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<div class="layout with-sidebar"><nav>menu</nav><article>Whole</article></div>', "Whole"),
+    ('<article class="post comments-open"><p>One<div class="comment-list"><article class="comment">Me!</article></div></article>', "One"),
+    ('<section id="notice-of-meeting"><p>Monday</section><footer>f</footer>', "Monday"),
+    ('<article><div class="entry-header"><h1>Title</h1></div><p>Text</article>', "Title\nText"),
+    ('<form id="page"><nav>n</nav><p>All</form>', "All"),
+    ('<form><article>A<form>Send</form></article></form>', "A"),
+    ('<div class="sidebar"><article>Card</article></div><article>Main</article>', "Main"),
+    ('<div id="notices"><article>Only</article></div>', "Only"),
+    ('<div class="site-header">h</div><main><p>M<div class="ad-slot">Buy</div></main>', "M"),
+    ("<nav>only menus</nav>", ""), ("", ""),
+])
+def test_markup_is_evidence_only(page, want):
+    blocks, is_open = html_text.blocks_of(page)
+    assert "\n".join(html_text.kept_blocks(blocks, html_text.OTHER if is_open else html_text.CONTENT, [])) == want
+
+
+def _pages(spark, rows):
+    """Pages with columns that clash with the operator's own names."""
+    return spark.createDataFrame([(i, u, h, "x", 1, 2, b"k") for i, u, h in rows],
+                                 "page_id long, url string, html string, host string, part int, n int, key binary").repartition(5)
+
+
+def _repeats_by_force(pages):
+    """Text of each page by the definition: strings of RUN tokens, compared as strings, on all pages of a host."""
+    parsed = {i: (u.split("/")[2], *html_text.blocks_of(h)) for i, u, h in pages}
+
+    def runs(blocks):
+        out, stream = {}, [(w, r) for t, r in blocks for w in t.split()]
+        for k in range(len(stream) - html_text.RUN + 1):
+            part = stream[k:k + html_text.RUN]
+            if len({r for _, r in part}) == 1:
+                out[k] = " ".join(w for w, _ in part)
+        return out
+
+    result = {}
+    for i, (host, blocks, is_open) in parsed.items():
+        keys, having = set(), {}
+        for h, other, _ in sorted((p for p in parsed.values() if p[0] == host), key=str):
+            if html_text.page_key(other) not in keys:
+                keys.add(html_text.page_key(other))
+                for r in set(runs(other).values()):
+                    having[r] = having.get(r, 0) + 1
+        least = html_text.OPEN_PAGES if is_open else html_text.MARKED_PAGES
+        hit = {k + j for k, r in runs(blocks).items() if 2 * having.get(r, 0) > len(keys) and having.get(r, 0) >= least
+               for j in range(html_text.RUN)}
+        at, lines = 0, []
+        for t, r in blocks:
+            words = t.split()
+            covered = [at + j in hit for j in range(len(words))]
+            at += len(words)
+            j = 0
+            while j < len(words):
+                end = j
+                while end < len(words) and covered[end]:
+                    end += 1
+                if covered[j] and end - j < min(html_text.RUN, len(words)):
+                    covered[j:end] = [False] * (end - j)
+                j = max(end, j + 1)
+            left = [w for w, c in zip(words, covered) if not c]
+            if left and r == (html_text.OTHER if is_open else html_text.CONTENT):
+                lines.append(" ".join(left))
+        result[i] = "\n".join(lines)
+    return result
+
+
+@pytest.mark.parametrize("group", [1024, 4])
+def test_host_repeats_by_brute_force(spark, monkeypatch, group):
+    """Boilerplate in and out of articles, whole blocks, parts of blocks and over blocks; one and several groups a host."""
+    monkeypatch.setattr(html_text, "GROUP", group)
+    rnd = random.Random(26)
+    prose = lambda n: " ".join(rnd.choice("abcdefghij") + str(rnd.randint(0, 400)) for _ in range(n))
+    share, start, few, quoted = prose(12), prose(9), prose(5) + "</p><p>" + prose(6), prose(20)
+    pages = []
+    for i in range(60):
+        body = [f"<p>{prose(rnd.randint(30, 50))}</p>" for _ in range(2)]
+        body.append(f"<p>{start} {prose(rnd.randint(1, 9))}</p>" if i % 4 else f"<p>{prose(3)}</p>")
+        body.append(f"<div><p>{few}</p></div>" if i % 5 else "")
+        body.append(f"<blockquote>{quoted}</blockquote>" if i % 3 == 0 else "")
+        body.append(f"<p>{share}</p>")
+        text = "".join(body)
+        pages.append((i, f"http://H{'abc'[min(i // 28, 2)]}.org/{i}", f"<article>{text}</article><p>x" if i % 2 else f"<div>{text}</div>"))
+    pages += [(100 + k, f"https://ha.org/copy{k}", pages[3][2]) for k in range(30)]
+    pages = [(i, u.lower(), h) for i, u, h in pages]
+    rows = html_text.main_text(_pages(spark, pages)).collect()
+    got, want = {r.page_id: r.text for r in rows}, _repeats_by_force(pages)
+    assert len(rows) == len(pages) and got == want
+    assert share not in got[1] and start not in got[1] and quoted in got[3] and all(got.values())
+
+
+def test_html_edges(spark):
+    """Long pages, repeated rows, null urls and ids, clashing columns, no pages."""
+    word = "w" * 50 + " "
+    rows = [(1, "http://u@h/1", f"<article>{word * 40000}</article>"), (2, "//h/2", "<p>a<p>b"), (2, "//h/2", "<p>a<p>b"), (None, None, "<p>same text " + "q " * 9),
+            (4, None, "<p>same text " + "q " * 9), (5, "no host", None)]
+    got = html_text.main_text(_pages(spark, rows)).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in got) == sorted([(1, 51 * 40000 - 1), (2, 3), (2, 3), (0, 27), (4, 27), (5, 0)])
+    assert all(set(r.asDict()) == {"page_id", "url", "text", "n_chars"} for r in got)
+    assert html_text.main_text(_pages(spark, rows).limit(0)).collect() == []
+
+
 def test_pages_of_the_test_data(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = html_text.main_text(pages).join(pages.select("page_id", "html"), "page_id").collect()
