@@ -171,13 +171,14 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -
     for table, ends in sj.whole_runs(_gathered(batches), ["token", "tile"]):
         c = {k: table[k].to_numpy() for k in table.column_names if k != "doc_id"}
         ids, n, pos = c["id"], c["n"].astype(np.int64), c["pos"].astype(np.int64)
-        doc, line = table["doc_id"].fill_null(-(1 << 63)).to_numpy(), c["line"]
         # as unsigned: numpy counts the bits of a negative number's absolute value
         maps = [np.ascontiguousarray(c[k]).view(np.uint64) for k in ("b1", "b2")]
-        order = np.lexsort((ids, c["b2"], c["b1"], line, doc))
-        rank = np.empty(len(ids), np.int64)
-        rank[order] = np.arange(len(ids))
-        partners = ends - np.arange(len(ids)) - 1
+        # a block is sorted by size: the partners of a row are the larger ones up to its length limit
+        key = ends * (int(n.max()) + 1) + n
+        limit = ends * (int(n.max()) + 1) + np.minimum(100 * n // percent, n.max())
+        partners = np.searchsorted(key, limit, "right") - np.arange(len(ids)) - 1
+        # a row too far behind in its prefix to share enough with any larger one has none
+        partners[n - pos < -(-(2 * percent * n) // (100 + percent))] = 0
         bound = np.cumsum(partners)
         row = 0
         while row < len(ids):
@@ -185,8 +186,6 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -
             i = np.repeat(np.arange(row, stop), partners[row:stop])
             j = i + 1 + within(partners[row:stop])
             row = stop
-            ok = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-            i, j = i[ok], j[ok]
             need = -(-(percent * (n[i] + n[j])) // (100 + percent))  # ⌈t / (1 + t) · (n₁ + n₂)⌉ shared elements
             ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
             i, j, need = i[ok], j[ok], need[ok]
@@ -194,13 +193,19 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -
             # a class holds an element once, but two elements may share their 32 bits
             ok = (apart <= n[i] + n[j] - 2 * need) & (ids[i] != ids[j])
             i, j, apart = i[ok], j[ok], apart[ok]
-            late, early = np.where(rank[i] < rank[j], j, i), np.where(rank[i] < rank[j], i, j)
+            # the few rows left are ordered by place
+            rows, at = np.unique(np.r_[i, j], return_inverse=True)
+            doc = table["doc_id"].take(pa.array(rows)).fill_null(-(1 << 63)).to_numpy()
+            rank = np.empty(len(rows), np.int64)
+            rank[np.lexsort((ids[rows], c["b2"][rows], c["b1"][rows], c["line"][rows], doc))] = np.arange(len(rows))
+            first, second = rank[at[:len(i)]], rank[at[len(i):]]
+            late, early, before = np.where(first < second, j, i), np.where(first < second, i, j), np.minimum(first, second)
             more = np.zeros(len(late), bool)
             if every:
                 ok = c["open"][late]
                 late, early, more = late[ok], early[ok], more[ok]
             elif len(late):
-                o = np.lexsort((rank[early], apart, late))
+                o = np.lexsort((before, apart, late))
                 late, early = late[o], early[o]
                 size = np.diff(np.flatnonzero(np.r_[True, late[1:] != late[:-1], True]))
                 keep = within(size) < NEAREST
@@ -226,18 +231,18 @@ def candidates(reps: DataFrame, hot: DataFrame, percent: int, undecided: DataFra
     rows = rows.join(hot, "token", "left").withColumn(
         "tile", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(tiles))).drop("parts")
     count, every = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), undecided is not None
-    found = rows.repartition(count, "token", "tile").sortWithinPartitions("token", "tile").mapInArrow(
+    found = rows.repartition(count, "token", "tile").sortWithinPartitions("token", "tile", "n").mapInArrow(
         lambda b: _block_pairs(b, percent, every), "id bigint, other bigint, more boolean")
     return found.groupBy("id", "other").agg(F.max("more").alias("more"))
 
 
 def _cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The wanted lines of each document as compressed texts of their own."""
-    squeeze, restore = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+    squeeze = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         ids, blobs = [], []
-        for blob, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            lines = restore.decompress(blob).split(b"\n")
+        for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
+            lines = text.as_py().encode().split(b"\n")
             for w in wanted:
                 ids.append(w["id"]), blobs.append(squeeze.compress(lines[w["line"]]))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["id", "blob"])
@@ -246,11 +251,12 @@ def _cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def matched(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """id of the classes of `pairs` whose whole lines match those of their `other`."""
     met = pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct()
-    wanted = reps.select("id", "doc_id", "body", "line").join(met, "id").groupBy("doc_id", "body").agg(
-        F.collect_list(F.struct("id", "line")).alias("wanted"))
+    # a written table has a known size: Spark only shuffles the texts where many lines are wanted
+    wanted = materialize(reps.select("id", "doc_id", "body", "line").join(met, "id").groupBy("doc_id", "body").agg(
+        F.collect_list(F.struct("id", "line")).alias("wanted")), "line-wanted")
     same = F.col("w.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("w.body") == F.col("d.body"))
-    read = sj.packed(with_body(docs).select("doc_id", "body", "text"))
-    texts = read.alias("d").join(wanted.alias("w"), same).select("d.blob", "w.wanted").mapInArrow(_cut_lines, "id bigint, blob binary")
+    read = with_body(docs).select("doc_id", "body", "text")
+    texts = read.alias("d").join(wanted.alias("w"), same).select("d.text", "w.wanted").mapInArrow(_cut_lines, "id bigint, blob binary")
     once = texts.groupBy("id").agg(F.first("blob").alias("blob"))  # a repeated document gives its lines again
     good = sj.jaccard_of_texts(pairs.select(F.col("id").alias("a"), F.col("other").alias("b")), once, lambda w: token_sets(w)[0], percent)
     return good.select(F.col("a").alias("id")).distinct()
