@@ -14,12 +14,12 @@ element held by very many classes are cut into tiles, so no task sees more than
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from eventwatch.llm import set_join as sj
 from eventwatch.llm.text_arrays import Words, id_and_text, lists, mix, signed, slices, within
@@ -278,6 +278,23 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return left.groupBy("doc_id", "body").agg(F.collect_set("line").alias("kept"))
 
 
+def _of_lines(make: Callable[[Column], Column]) -> Column:
+    """make(lines of the text); as an argument of a lambda the lines are cut once, however often they are used."""
+    return F.transform(F.array(F.split("text", "\n")), make)[0]
+
+
+def _worded(lines: Column) -> Column:
+    """Numbers of the lines with words."""
+    return F.array_compact(F.transform(lines, lambda line, i: F.when(line.rlike(r"[^\x20\x09-\x0D]"), i)))
+
+
+def _without_kept(texts: DataFrame, kept: DataFrame) -> DataFrame:
+    """`texts` (doc_id, body, worded, ...) with the column `removed`: worded lines that `kept` does not name."""
+    kept = kept.withColumnsRenamed({"doc_id": "d", "body": "b"})
+    out = texts.join(kept, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("b") == F.col("body")), "left")
+    return out.withColumn("removed", F.array_except("worded", F.coalesce("kept", F.array().cast("array<int>"))))
+
+
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, body (hash of the text), removed (sorted numbers of the lines to drop, from 0).
 
@@ -286,22 +303,16 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     doc_id are ordered by their hashes. Lines of any length take part whole. Null and empty texts, lines
     without words and other columns play no part; an empty table gives no rows.
     """
-    kept = kept_lines(docs, percent).withColumnsRenamed({"doc_id": "d", "body": "b"})
-    texts = with_body(docs).withColumn("lines", F.split("text", "\n"))
-    worded = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(r"[^\x20\x09-\x0D]"))
-    texts = texts.select("doc_id", "body", worded.alias("worded")).filter(F.size("worded") > 0).distinct()
-    out = texts.join(kept, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("b") == F.col("body")), "left")
-    gone = F.array_except("worded", F.coalesce("kept", F.array().cast("array<int>")))
-    return out.select("doc_id", "body", gone.alias("removed")).filter(F.size("removed") > 0)
+    texts = with_body(docs).select("doc_id", "body", _of_lines(_worded).alias("worded")).filter(F.size("worded") > 0).distinct()
+    return _without_kept(texts, kept_lines(docs, percent)).select("doc_id", "body", "removed").filter(F.size("removed") > 0)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed for every row of `docs` (an empty text is one line)."""
-    base = with_body(docs).select("doc_id", "body", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
-    gone = removed_lines(docs).withColumnsRenamed({"doc_id": "d", "body": "b"})
-    out = base.join(gone, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("b") == F.col("body")), "left")
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    both = _of_lines(lambda lines: F.struct(F.size(lines).cast("long").alias("n_lines"), _worded(lines).alias("worded")))
+    base = with_body(docs).select("doc_id", "body", both.alias("of")).select("doc_id", "body", "of.*")
+    return _without_kept(base, kept_lines(docs)).select(
+        "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -309,8 +320,6 @@ def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
     names = docs.columns
     gone = gone.select(F.col("doc_id").alias("__d"), F.col("body").alias("__b"), F.col("removed").alias("__gone"))
     joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__b")), "left")
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone"), lambda i: F.get(F.col("__lines"), i)), "\n")
-    out = joined.withColumn("__lines", lines).withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
-    return out.select(*names)
+    kept = _of_lines(lambda lines: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone"), lambda i: F.get(lines, i)), "\n"))
+    return joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)).select(*names)
