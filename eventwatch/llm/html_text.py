@@ -16,7 +16,8 @@ their longest blocks differ, so copies, and most near copies, count as one and d
 
 Distinct pages of a host are dealt by that hash into groups of about `GROUP`, each counted in one task; runs
 with a quarter of a group's pages are sent on and summed (all runs of a small group, which only copies leave behind). A run
-with half of the host's pages is below a quarter of a group of 64 once in some 20 000 groups, of 1 024 never. Copies are combined before they are shuffled, so one host with
+that some groups did not send and whose sum is not decided without them is counted again in all groups, so the result
+does not depend on the number of groups. Copies are combined before they are shuffled, so one host with
 a third of all pages, or one page with very many copies, spreads over many tasks.
 """
 
@@ -234,24 +235,32 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
 
 
 def _group_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, run, n, needed) of the runs of each group that a quarter of its pages have; run null: its pages."""
-    def counted(host: str, parts: int, runs: list[np.ndarray], needed: list[np.ndarray]) -> pa.RecordBatch:
+    """(host, run, n, least, needed) of the runs of each group that `least` of its pages have; run null: its pages.
+
+    Where `asked` runs are given, exactly those of them that the group has are counted.
+    """
+    def counted(host: str, parts: int, asked: list[int] | None, runs: list[np.ndarray], needed: list[np.ndarray]) -> pa.RecordBatch:
         every, n = np.unique(np.concatenate(runs), return_counts=True)
-        # the only group of a host decides by itself
-        least = max(OPEN_PAGES, len(runs) // 2 + 1) if parts == 1 else len(runs) // 4 + 1 if len(runs) >= SMALL_GROUP else 1
-        some = np.flatnonzero((n >= least) & np.isin(every, np.concatenate(needed)))
+        if asked is not None:
+            least, some = 1, np.flatnonzero(np.isin(signed(every), np.array(asked, np.int64)))
+        else:
+            # the only group of a host decides by itself
+            least = max(OPEN_PAGES, len(runs) // 2 + 1) if parts == 1 else len(runs) // 4 + 1 if len(runs) >= SMALL_GROUP else 1
+            some = np.flatnonzero(n >= least)
         return pa.RecordBatch.from_arrays(
             [pa.array([host] * (len(some) + 1), pa.string()), pa.array([None, *signed(every[some]).tolist()], pa.int64()),
-             pa.array([len(runs), *n[some].tolist()], pa.int64())], ["host", "run", "n"])
+             pa.array([len(runs), *n[some].tolist()], pa.int64()), pa.array([least] * (len(some) + 1), pa.int64()),
+             pa.array([False, *np.isin(every[some], np.concatenate(needed)).tolist()], pa.bool_())],
+            ["host", "run", "n", "least", "needed"])
 
     group, key, runs, needed = None, None, [], []
     for batch in batches:
-        for host, part, parts, k, texts, regions in zip(
-                *(batch.column(c).to_pylist() for c in ("host", "part", "parts", "key", "texts", "regions"))):
+        for host, part, parts, asked, k, texts, regions in zip(
+                *(batch.column(c).to_pylist() for c in ("host", "part", "parts", "asked", "key", "texts", "regions"))):
             if group is None or group[:2] != (host, part):
                 if group is not None:
-                    yield counted(group[0], group[2], runs, needed)
-                group, key, runs, needed = (host, part, parts), None, [], []
+                    yield counted(group[0], *group[2:], runs, needed)
+                group, key, runs, needed = (host, part, parts, asked), None, [], []
             if k == key:
                 continue
             key = k
@@ -261,22 +270,40 @@ def _group_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             runs.append(np.unique(hashes))
             needed.append(hashes[kept[at]])
     if group is not None:
-        yield counted(group[0], group[2], runs, needed)
+        yield counted(group[0], *group[2:], runs, needed)
 
 
 def host_repeats(pages: DataFrame) -> DataFrame:
     """(host, open_runs, marked_runs): hashes of the runs that are boilerplate on the host's pages.
 
-    At most twice the runs of an average page of the host.
+    At most twice the runs of an average page of the host. A run that a group did not send has fewer than `least`
+    pages there, so its sum lies between two bounds; where half of the host's pages lies between them too, the
+    run is counted again in all groups of the host.
     """
     count = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = distinct_pages(pages).withColumn("part", F.pmod("key", "parts"))
-    groups = dealt.repartition(count, "host", "part").sortWithinPartitions("host", "part", "key", "content")
-    counts = materialize(groups.mapInArrow(_group_counts, "host string, run bigint, n bigint"), "host-runs")
-    sizes = counts.filter("run is null").groupBy("host").agg(F.sum("n").alias("pages"))
-    runs = counts.filter("run is not null").groupBy("host", "run").agg(F.sum("n").alias("n")).join(sizes, "host")
-    runs = runs.filter((2 * F.col("n") > F.col("pages")) & (F.col("n") >= OPEN_PAGES))
-    return runs.groupBy("host").agg(
+
+    def counts_of(chosen: DataFrame, name: str) -> DataFrame:
+        dealt = distinct_pages(chosen).withColumn("part", F.pmod("key", "parts"))
+        asked = chosen.select("host", "asked").distinct() if "asked" in chosen.columns else None
+        dealt = dealt.withColumn("asked", F.lit(None).cast("array<bigint>")) if asked is None else dealt.join(asked, "host")
+        groups = dealt.repartition(count, "host", "part").sortWithinPartitions("host", "part", "key", "content")
+        return materialize(groups.mapInArrow(_group_counts, "host string, run bigint, n bigint, least bigint, needed boolean"), name)
+
+    counts = counts_of(pages, "host-runs")
+    sizes = counts.filter("run is null").groupBy("host").agg(
+        F.sum("n").alias("pages"), F.count(F.lit(1)).alias("groups"), F.sum(F.col("least") - 1).alias("unsent"))
+    runs = counts.filter("run is not null").groupBy("host", "run").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("sent"), F.sum(F.col("least") - 1).alias("below"), F.max("needed").alias("needed")).join(sizes, "host")
+    # only a run that no group needs goes; where a group did not send it, that is not known
+    runs = runs.filter(F.col("needed") | (F.col("sent") < F.col("groups")))
+    at_most = F.col("n") + F.col("unsent") - F.col("below")
+    doubtful = materialize(runs.filter((2 * F.col("n") <= F.col("pages")) & (2 * at_most > F.col("pages"))).groupBy("host").agg(
+        F.sort_array(F.collect_list("run")).alias("asked")), "doubtful-runs")
+    found = runs.filter(2 * F.col("n") > F.col("pages")).select("host", "run", "n")
+    if not doubtful.isEmpty():
+        again = counts_of(pages.join(doubtful, "host"), "host-runs-again").filter("run is not null").groupBy("host", "run").agg(F.sum("n").alias("n"))
+        found = found.unionByName(again.join(sizes, "host").filter(2 * F.col("n") > F.col("pages")).select("host", "run", "n"))
+    return found.filter(F.col("n") >= OPEN_PAGES).groupBy("host").agg(
         F.collect_list("run").alias("open_runs"),
         F.collect_list(F.when(F.col("n") >= MARKED_PAGES, F.col("run"))).alias("marked_runs"))
 

@@ -224,6 +224,29 @@ def test_host_repeats_by_brute_force(spark, monkeypatch, group):
     assert share not in got[1] and start not in got[1] and quoted in got[3] and all(got.values())
 
 
+def test_result_does_not_depend_on_the_number_of_groups(spark, monkeypatch):
+    """A string on half of a host's pages, nearly all of them in one of two groups, and only in one of them in kept text."""
+    rnd = random.Random(7)
+    line, menu = " ".join(f"shared{k}" for k in range(10)), " ".join(f"menu{k}" for k in range(10))
+    made = {0: [], 1: []}
+    while min(map(len, made.values())) < 70:
+        own = "<p>" + " ".join(f"w{rnd.randint(0, 10 ** 6)}" for _ in range(30)) + "</p>"
+        same = made[html_text.page_key(html_text.blocks_of(own)[0]) % 2]
+        if len(same) < 70:
+            same.append(own)
+    pages = []
+    for odd, texts in made.items():
+        for k, own in enumerate(texts):
+            shared = f"<p>{line}</p>" if not odd or k < 10 else ""
+            bar = f"<p>{menu}</p>" if odd and k < 10 else f"<nav>{menu}</nav>"
+            pages.append((len(pages), f"http://h.org/{len(pages)}", own + shared + bar))
+    want = _repeats_by_force(pages)
+    assert not any(line in t or menu in t for t in want.values())
+    for group in (1024, 70):
+        monkeypatch.setattr(html_text, "GROUP", group)
+        assert {r.page_id: r.text for r in html_text.main_text(_pages(spark, pages)).collect()} == want
+
+
 def test_html_edges(spark):
     """Long pages, repeated rows, null urls and ids, clashing columns, no pages."""
     word = "w" * 50 + " "
