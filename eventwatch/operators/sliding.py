@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import spread
+
 SLICE = 4  # slice length in windows; a contribution is copied to at most one further slice
 
 KEYS = ["rule_id", "entity", "slice"]
@@ -62,7 +64,7 @@ def _sliced(parts: DataFrame) -> DataFrame:
     following = start + length
     carried = (F.col("n") > 0) & (F.col("us") + F.col("w_us") > following)
     slices = F.when(carried, F.array(start, following)).otherwise(F.array(start))
-    return summed.withColumn("slice", F.explode(slices)).withColumn("own", F.col("slice") <= F.col("us"))
+    return spread(summed.withColumn("slice", F.explode(slices)).withColumn("own", F.col("slice") <= F.col("us")), *KEYS)
 
 
 def _changes(sliced: DataFrame, distinct: bool) -> DataFrame:

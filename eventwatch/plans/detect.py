@@ -15,6 +15,7 @@ from ..operators.rules import (
 )
 from ..operators.sliding import contributions, firing_members, part, sweep
 from ..schema import DETECTION
+from ..session import spread
 
 EVENT_FIELDS = [
     "event_id", "timestamp", "source", "event_type", "source_ip", "destination_ip",
@@ -87,7 +88,8 @@ def window_firings(
     mine = contributions(wanted, parts, EVENT_FIELDS).drop("w_us", "value", "n", "amount")
     span = (F.col("us") - F.col("oldest")) / 1e6
     timed = fired.withColumn("span", span).withColumn("rate", F.col("n_distinct") / F.greatest(span, F.lit(1.0)))
-    return mine.join(timed, ["rule_id", "entity", "us"])
+    keys = ["rule_id", "entity", "us"]
+    return spread(mine, *keys).join(spread(timed, *keys), keys)
 
 
 def detect(

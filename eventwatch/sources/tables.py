@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.normalize import dedup
 from ..schema import ALERT, AUDIT, DETECTION, SECURITY_EVENT
-from ..session import materialize
+from ..session import materialize, spread
 from .commits import Commits
 
 KEY = ["rule_id", "correlation_key"]
@@ -165,7 +165,8 @@ def read_changes(spark: SparkSession, root: str, upto: int | None = None, days:
 def current_detections(changes: DataFrame) -> DataFrame:
     """The firings that hold: the last batch that touched one decides, and an emit in it stands."""
     last = changes.groupBy("rule_id", "event_id", "day").agg(F.max("batch").alias("batch"))
-    return changes.filter(F.col("op") == EMIT).join(last, ["rule_id", "event_id", "day", "batch"]).select(*names(DETECTION))
+    key = ["rule_id", "event_id", "day", "batch"]
+    return spread(changes.filter(F.col("op") == EMIT), *key).join(spread(last, *key), key).select(*names(DETECTION))
 
 
 # --- alerts -----------------------------------------------------------------------------------

@@ -130,3 +130,28 @@ def test_merge_opens_a_new_alert_when_the_stored_one_is_closed(detections):
     stored = correlate(detections([{"at": 1}])).drop("episode").withColumn("status", __import__("pyspark").sql.functions.lit("resolved"))
     changed = merge_alerts(stored, detections([{"at": 2, "event_id": "z"}])).collect()
     assert len(changed) == 1 and changed[0].event_count == 1 and changed[0].alert_id != stored.first().alert_id
+
+
+def test_only_shown_firings_are_read_in_full(spark, monkeypatch):
+    """The fold numbers narrow rows; texts and evidence come from the firings an alert shows."""
+    from eventwatch.operators import correlate as module
+    from eventwatch.schema import DETECTION
+    from eventwatch.session import materialize
+
+    stored = {}
+
+    def seen(df, name):
+        stored[name] = materialize(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(module, "materialize", seen)
+    rows = []
+    for i in range(300):
+        full = {"event_id": f"e{i:03d}", "rule_id": "R", "correlation_key": f"k{i % 2}", "title": f"t{i}", "severity": "high" if i == 150 else "low",
+                "confidence": 0.5, "event_count_hint": 1, "evidence": [(f"e{i:03d}", T0 + timedelta(seconds=i), "s")], "metadata": {"i": str(i)},
+                "triggered_at": T0 + timedelta(seconds=i), "involved_users": [f"u{i}"], "involved_hosts": []}
+        rows.append(tuple(full.get(f.name) for f in DETECTION))
+    got = {r.correlation_key: r for r in module.correlate(spark.createDataFrame(rows, DETECTION)).collect()}
+    assert stored["places"].count() <= 2 * (25 + 2)
+    assert got["k0"].event_count == 150 and got["k0"].title == "t150" and got["k1"].title == "t1" and got["k0"].metadata["i"] == "298"
+    assert [e.event_id for e in got["k1"].evidence] == [f"e{i:03d}" for i in range(251, 300, 2)]

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from eventwatch.operators.sliding import sliding
+from eventwatch.operators.sliding import contributions, part, sliding, sweep
 
 
 def measure(spark, rows, seconds, **kw):
@@ -48,3 +48,11 @@ def test_random_series(spark, seed, span, tick):
         assert (count, amount, distinct) == (len(seen), sum(r[3] for r in seen), len({r[2] for r in seen}))
         if seen:
             assert oldest == min(r[1] for r in seen)
+
+
+def test_slices_are_not_merged_by_their_compressed_size(spark, make_events):
+    """Rows that repeat each other are small in a shuffle and large in a sort: every partition stays a task of its own."""
+    events = make_events([{"at": t, "event_type": "authentication_failure", "source_ip": f"10.0.0.{t % 40}", "username": "u"} for t in range(400)])
+    parts = [part(F.lit(True), "r", 60, F.col("source_ip"), F.unix_micros("timestamp"), F.col("username"))]
+    swept = sweep(contributions(events, parts)).withColumn("task", F.spark_partition_id())
+    assert swept.select("task").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
