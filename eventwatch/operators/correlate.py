@@ -115,14 +115,14 @@ def _smallest(df: DataFrame, columns: list[str], keys: list[str], limit: int) ->
         F.array_sort(F.collect_list(F.when(F.col("of") == c, F.col("item")))).alias(c) for c in columns])
 
 
-def _told(detections: DataFrame, places: DataFrame) -> DataFrame:
+def _told(detections: DataFrame, places: DataFrame, at: list[str]) -> DataFrame:
     """What the first, last and worst firing of each episode say, and its last MAX_EVIDENCE evidence items, oldest first.
 
-    `places` has EPISODE, us, event_id of the firings to read, and `times`, how often one is numbered (null: no evidence).
+    `places` has EPISODE and the columns `at` of the firings to read, and `times`, how often one is numbered (null: no evidence).
     """
     order = F.struct("us", "event_id")
     copies = F.count(F.lit(1)).over(W.partitionBy(*EPISODE, "us", "event_id"))
-    read = detections.withColumn("us", micros(F.col("triggered_at"))).join(places, [*KEY, "us", "event_id"]).withColumn(
+    read = detections.withColumn("us", micros(F.col("triggered_at"))).join(places, at).withColumn(
         "times", (F.col("times") / copies).cast("int"))
     items = F.array_sort(F.collect_list(F.when(F.col("times").isNotNull(), F.struct("us", "event_id", "evidence", "times"))))
     last = F.flatten(F.transform("items", lambda e: F.array_repeat(e["evidence"], e["times"])))
@@ -135,11 +135,17 @@ def _told(detections: DataFrame, places: DataFrame) -> DataFrame:
         "evidence", F.flatten(F.slice("items", F.greatest(F.size("items") - (MAX_EVIDENCE - 1), F.lit(1)), MAX_EVIDENCE)))
 
 
-def fold(detections: DataFrame, numbered: DataFrame, chunk_seconds: int = CHUNK_SECONDS, split: bool = False) -> DataFrame:
+def fold(
+    detections: DataFrame, numbered: DataFrame, chunk_seconds: int = CHUNK_SECONDS, split: bool = False,
+    whole: DataFrame | None = None,
+) -> DataFrame:
     """One row per episode: alert fields plus `firings` (n) and `lift` (max of h_i - i).
 
     Counts and places come from the measures in `numbered`; of the `detections` only the firings an alert shows are read
     in full. Both are read several times. Without `split`, all firings of a key are its first episode.
+
+    `whole` has the whole rows where `detections` are without texts; firings in it may be older versions, so that both
+    have `batch`, which tells the one that counts.
     """
     df = spread(numbered.withColumn("chunk", chunk_of(F.col("us"), chunk_seconds)), *EPISODE, "chunk")
     order = F.struct("us", "event_id")
@@ -175,12 +181,16 @@ def fold(detections: DataFrame, numbered: DataFrame, chunk_seconds: int = CHUNK_
             *EPISODE, F.col(f"{at}_us").alias("us"), F.col(f"{at}_event").alias("event_id"), F.lit(None).cast("bigint").alias("times")))
     # a written table has a known size: Spark only shuffles the detections for this join where it is large
     places = materialize(places.groupBy(*EPISODE, "us", "event_id").agg(F.max("times").alias("times")), "places")
+    at = [*KEY, "us", "event_id"]
+    if whole is not None:
+        places = detections.select(*KEY, micros(F.col("triggered_at")).alias("us"), "event_id", "batch").join(places, at).distinct()
+        at = [*at, "batch"]
     names = ["involved_users", "involved_hosts"]
     listed = detections.select(*KEY, F.lit(1).cast("bigint").alias("episode"), *names)
     if split:
         listed = detections.select(*KEY, micros(F.col("triggered_at")).alias("us"), "event_id", *names).join(
             numbered.select(*EPISODE, "us", "event_id"), [*KEY, "us", "event_id"])
-    keyed = body.join(_told(detections, places), EPISODE, "left").join(_smallest(listed, names, EPISODE, MAX_INVOLVED), EPISODE, "left")
+    keyed = body.join(_told(detections if whole is None else whole, places, at), EPISODE, "left").join(_smallest(listed, names, EPISODE, MAX_INVOLVED), EPISODE, "left")
     empty = F.array().cast("array<string>")
     return keyed.select(
         *EPISODE, "firings", "lift", "confidence", "anomaly_score", "first_us", "first_event", "last_us",
@@ -224,19 +234,19 @@ def as_alerts(
 
 def correlate(
     detections: DataFrame, triage: DataFrame | None = None, chunk_seconds: int = CHUNK_SECONDS,
-    store: bool = True,
+    store: bool = True, whole: DataFrame | None = None,
 ) -> DataFrame:
     """Alerts of a detection set, one row per episode.
 
     The fold reads the detections several times; `store` writes them once to the shared folder
-    first. Pass store=False for detections that are already a table.
+    first. Pass store=False for detections that are already a table. `whole`: see `fold`.
     """
     if store:
         detections = materialize(detections, "detections")
     numbered, closed = split_episodes(detections, triage, chunk_seconds)
     if triage is not None:
         numbered = materialize(numbered, "numbered")
-    return as_alerts(fold(detections, numbered, chunk_seconds, triage is not None), closed)
+    return as_alerts(fold(detections, numbered, chunk_seconds, triage is not None, whole), closed)
 
 
 def merge_alerts(stored: DataFrame, detections: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:

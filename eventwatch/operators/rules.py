@@ -70,6 +70,7 @@ class WindowRule(Rule):
     contributes: Callable[[], Column] | None = None
     amount: Callable[[], Column] | None = None
     members: int = 0  # how many of the window's values a firing lists, smallest first
+    counted: bool = True  # whether a firing states the window's count
     reads: Callable[[RuleParams], dict[str, Column]] = None
 
 
@@ -321,6 +322,7 @@ AUTH_ANOMALY = WindowRule(
     measure="n_distinct",
     value=lambda: c("source_ip"),
     members=20,
+    counted=False,
     reads=_auth_anomaly,
 )
 

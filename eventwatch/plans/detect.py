@@ -50,8 +50,8 @@ def _per_rule(rules: list[Rule], pick) -> Column:
     return out
 
 
-def as_detections(df: DataFrame, rules: list[Rule], p: RuleParams) -> DataFrame:
-    """Events with `rule_id` and the measures their rule reads, as DETECTION rows."""
+def as_detections(df: DataFrame, rules: list[Rule], p: RuleParams, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Events with `rule_id` and the measures their rule reads, as DETECTION rows; `keep`: further columns."""
     reads = {r.rule_id: r.reads(p) for r in rules}
 
     def of(name: str) -> Column:
@@ -69,9 +69,9 @@ def as_detections(df: DataFrame, rules: list[Rule], p: RuleParams) -> DataFrame:
         of("involved_users").alias("involved_users"), of("involved_hosts").alias("involved_hosts"),
         of("event_count_hint").alias("event_count_hint"),
         F.lit(None).cast("double").alias("anomaly_score"),
-        of("metadata").alias("metadata"), F.col("timestamp").alias("triggered_at"),
+        of("metadata").alias("metadata"), F.col("timestamp").alias("triggered_at"), *keep,
     )
-    return made.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in DETECTION])
+    return made.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in DETECTION], *keep)
 
 
 def window_firings(
@@ -92,26 +92,40 @@ def window_firings(
     return spread(mine, *keys).join(spread(timed, *keys), keys)
 
 
-def detect(
-    events: DataFrame, params: RuleParams | None = None, enabled: Iterable[str] | None = None,
-    disabled: Iterable[str] = (), only: Column | None = None,
-) -> DataFrame:
-    """All firings of the enabled rules as DETECTION rows.
+def matches(
+    events: DataFrame, p: RuleParams, rules: list[Rule], only: Column | None = None
+) -> list[tuple[DataFrame, list[Rule]]]:
+    """What fires, before any text is made: per kind of rule, rows for `as_detections` and the rules they are of.
 
-    With `only`, firings of those events alone; the other events still count in the windows.
+    `content` tells two firings of one rule and event apart: it covers the parameters and the measures the rule reads.
     """
-    p = params or RuleParams()
-    rules = enabled_rules(enabled, disabled)
     windowed = [r for r in rules if r in WINDOW_RULES]
     patterned = [r for r in rules if r in PATTERN_RULES]
-    out: list[DataFrame] = []
+    stated = F.lit(repr(p))
+    out: list[tuple[DataFrame, list[Rule]]] = []
     if windowed:
-        out.append(as_detections(window_firings(events, windowed, p, only), windowed, p))
+        counted = F.when(~F.col("rule_id").isin([r.rule_id for r in windowed if not r.counted]), F.col("count"))
+        content = F.xxhash64(
+            stated, F.coalesce(counted, F.lit(-1)), "oldest", "n_distinct", "amount", F.coalesce(F.size("members"), F.lit(-1)), "members")
+        out.append((window_firings(events, windowed, p, only).withColumn("content", content), windowed))
     if patterned:
         ids = F.array(*[F.when(r.applies(p), F.lit(r.rule_id)) for r in patterned])
         asked = events if only is None else events.filter(only)
         hit = asked.withColumn("rule_id", F.explode(F.array_compact(ids)))
-        out.append(as_detections(hit, patterned, p))
+        out.append((hit.withColumn("content", F.xxhash64(stated)), patterned))
+    return out
+
+
+def detect(
+    events: DataFrame, params: RuleParams | None = None, enabled: Iterable[str] | None = None,
+    disabled: Iterable[str] = (), only: Column | None = None,
+) -> DataFrame:
+    """All firings of the enabled rules as DETECTION rows.
+
+    With `only`, firings of those events alone; the other events still count in the windows.
+    """
+    p = params or RuleParams()
+    out = [as_detections(rows, rules, p) for rows, rules in matches(events, p, enabled_rules(enabled, disabled), only)]
     if not out:
         return events.sparkSession.createDataFrame([], DETECTION)
     result = out[0]

@@ -42,9 +42,23 @@ def _read(spark: SparkSession, base: str, schema: T.StructType, extra: str, path
     return spark.read.schema(_ddl(schema, extra)).option("basePath", base).parquet(*found)
 
 
-def _replace(df: DataFrame, path: str, *parts: str) -> None:
-    """Write `df`, replacing the partitions it has rows for; large partitions are split, small ones share a task."""
-    df.hint("rebalance", parts[0]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+#: Files a task keeps open; rows of so many partitions are written as they come, without a sort of whole rows.
+OPEN_FILES = 40
+
+
+def _replace(df: DataFrame, path: str, *parts: str, placed: bool = False) -> None:
+    """Write `df`, replacing the partitions it has rows for; large partitions are split, small ones share a task.
+
+    `placed`: the rows are so dealt already.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, str(OPEN_FILES))
+    try:
+        rows = df if placed else df.hint("rebalance", parts[0])
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    finally:
+        conf.set(name, before)
 
 
 # --- events -----------------------------------------------------------------------------------
@@ -147,26 +161,42 @@ EMIT, RETRACT = "emit", "retract"
 
 
 def write_detections(changes: DataFrame, root: str, batch_id: int) -> DataFrame:
-    """Store a batch's changelog of firings (`op` is emit or retract); returns it."""
+    """Store a batch's changelog of firings (`op` is emit or retract, `content` as in `matches`), dealt by day; returns it."""
     rows = changes.withColumns({"day": F.to_date("triggered_at"), "batch": F.lit(batch_id).cast("bigint"), "bucket": bucket()})
     path = f"{root}/detections"
-    _replace(rows.select(*names(DETECTION), "op", "bucket", "day", "batch"), path, "day", "batch")
+    _replace(rows.select(*names(DETECTION), "content", "op", "bucket", "day", "batch"), path, "day", "batch", placed=True)
     return read_changes(changes.sparkSession, root, batch_id).filter(F.col("batch") == batch_id)
 
 
 def read_changes(spark: SparkSession, root: str, upto: int | None = None, days: Iterable[date] | None = None) -> DataFrame:
-    """The changelog of firings, with op, bucket, day and batch."""
+    """The changelog of firings, with content, op, bucket, day and batch. A retraction has the firing's keys and time only."""
     upto = Commits(spark, root).latest()["batch"] if upto is None else upto
     base = f"{root}/detections"
     paths = None if days is None else [f"{base}/day={d}" for d in sorted(set(days))]
-    return _read(spark, base, DETECTION, "op string, bucket int, day date, batch bigint", paths).filter(F.col("batch") <= upto)
+    return _read(spark, base, DETECTION, "content bigint, op string, bucket int, day date, batch bigint", paths).filter(F.col("batch") <= upto)
+
+
+def live_changes(changes: DataFrame, columns: list[str]) -> DataFrame:
+    """`columns` of the firings that hold: those emitted and not retracted by a later batch.
+
+    Only firings older than the last retraction are shuffled, and none is sorted.
+    """
+    key = ["rule_id", "event_id", "day"]
+    emits = changes.filter((F.col("op") == EMIT) & F.col("rule_id").isNotNull() & F.col("event_id").isNotNull() & F.col("day").isNotNull())
+    back = changes.filter(F.col("op") == RETRACT)
+    top = back.agg(F.max("batch")).first()[0]
+    if top is None:
+        return emits.select(*columns)
+    gone = back.groupBy(*key).agg(F.max("batch").alias("gone"))
+    older = spread(emits.filter(F.col("batch") < top).select(*dict.fromkeys([*columns, *key, "batch"])), *key).alias("e")
+    same = [F.col(f"e.{k}") == F.col(f"g.{k}") for k in key]
+    held = older.join(spread(gone, *key).alias("g").hint("shuffle_hash"), [*same, F.col("g.gone") > F.col("e.batch")], "left_anti")
+    return held.select(*columns).unionByName(emits.filter(F.col("batch") >= top).select(*columns))
 
 
 def current_detections(changes: DataFrame) -> DataFrame:
-    """The firings that hold: the last batch that touched one decides, and an emit in it stands."""
-    last = changes.groupBy("rule_id", "event_id", "day").agg(F.max("batch").alias("batch"))
-    key = ["rule_id", "event_id", "day", "batch"]
-    return spread(changes.filter(F.col("op") == EMIT), *key).join(spread(last, *key), key).select(*names(DETECTION))
+    """The firings that hold."""
+    return live_changes(changes, names(DETECTION))
 
 
 # --- alerts -----------------------------------------------------------------------------------

@@ -18,14 +18,15 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F
 
 from ..functions.normalize import normalize
 from ..operators.correlate import correlate, merge_alerts
-from ..operators.rules import WINDOW_RULES, RuleParams, WindowRule
+from ..operators.rules import WINDOW_RULES, Rule, RuleParams, WindowRule
 from ..operators.sliding import SLICE, contributions
-from ..plans.detect import detect, enabled_rules, window_parts
+from ..plans.detect import as_detections, enabled_rules, matches, window_parts
 from ..schema import ALERT, DETECTION, SECURITY_EVENT
 from ..session import materialize, scratch
 from ..sources import tables
@@ -33,6 +34,10 @@ from ..sources.commits import Commits
 from ..sources.tables import EMIT, KEY, RETRACT, AlertStore, names
 from .listener import Throughput
 
+#: What the fold reads of every firing; texts and evidence it reads of the few an alert shows.
+FOLDED = ["rule_id", "correlation_key", "triggered_at", "event_id", "event_count_hint", "severity", "confidence", "anomaly_score",
+          "involved_users", "involved_hosts", "batch"]
+
 
 @dataclass
 class Engine:
@@ -76,12 +81,17 @@ class Engine:
                 day += timedelta(days=1)
         return sorted(found)
 
+    def _told(self, rows: DataFrame, rules: list[Rule]) -> DataFrame:
+        """Matches as emitted firings. They are dealt by day before their texts are made, so only measures are shuffled."""
+        dealt = rows.withColumn("day", F.to_date("timestamp")).hint("rebalance", "day")
+        return as_detections(dealt, rules, self.params, ("content",)).withColumn("op", F.lit(EMIT))
+
     def changes(self, stored: DataFrame, batch_id: int, high_us: int | None) -> DataFrame:
-        """DETECTION rows with `op`: what the batch's events fire, and what late ones among them revise."""
+        """DETECTION rows with `content` and `op`: what the batch's events fire, and what late ones among them revise."""
         spark = stored.sparkSession
         low = stored.agg(F.min(F.unix_micros("timestamp"))).first()[0]
-        if low is None:
-            return spark.createDataFrame([], DETECTION).withColumn("op", F.lit(EMIT))
+        if low is None or not enabled_rules(disabled=self.disabled):
+            return spark.createDataFrame([], DETECTION).withColumns({"content": F.lit(0).cast("bigint"), "op": F.lit(EMIT)})
         rules = self._windowed()
         reach = max((r.seconds(self.params) for r in rules), default=0)
         late = high_us is not None and low <= high_us and bool(rules)
@@ -90,22 +100,25 @@ class Engine:
         around = tables.read_events(spark, self.root, batch_id, days)
         if not late:
             start = F.timestamp_micros(F.lit(low - reach * 1_000_000))
-            fired = detect(around.filter(F.col("timestamp") > start), self.params, disabled=self.disabled, only=F.col("batch") == batch_id)
-            return fired.withColumn("op", F.lit(EMIT))
+            found = matches(around.filter(F.col("timestamp") > start), self.params, enabled_rules(disabled=self.disabled), F.col("batch") == batch_id)
+            return reduce(DataFrame.unionByName, [self._told(*f) for f in found])
         touched = materialize(self._touched(around, stored, rules, batch_id, high_us), "touched")
         marked = around.join(touched.withColumn("touched", F.lit(True)), "event_id", "left").withColumn(
             "due", (F.col("batch") == batch_id) | F.col("touched").isNotNull())
         marked = materialize(marked, "reopened")
-        found = materialize(detect(marked, self.params, disabled=self.disabled, only=F.col("due")), "found")
-        before = tables.current_detections(tables.read_changes(spark, self.root, batch_id - 1, days)).join(touched, "event_id", "left_semi")
-        before = materialize(before, "before")
-        content = F.xxhash64(F.to_json(F.struct(*names(DETECTION))))
-        same = before.select("rule_id", "event_id", content.alias("content")).join(
-            found.select("rule_id", "event_id", content.alias("content")), ["rule_id", "event_id", "content"]).select("rule_id", "event_id")
+        found = [(materialize(rows, "found"), kind)
+                 for rows, kind in matches(marked, self.params, enabled_rules(disabled=self.disabled), F.col("due"))]
+        key = ["rule_id", "event_id", "content"]
+        before = tables.live_changes(tables.read_changes(spark, self.root, batch_id - 1, days), [*key, "correlation_key", "triggered_at"])
+        before = materialize(before.join(touched, "event_id", "left_semi"), "before")
+        same = before.select(*key).join(reduce(DataFrame.unionByName, [rows.select(*key) for rows, _ in found]), key).select("rule_id", "event_id")
         same = materialize(same, "unchanged")
-        out = [rows.join(same, ["rule_id", "event_id"], "left_anti").select(*names(DETECTION)).withColumn("op", F.lit(op))
-               for rows, op in ((before, RETRACT), (found, EMIT))]
-        return out[0].unionByName(out[1])
+        kept = ["rule_id", "event_id", "content", "correlation_key", "triggered_at"]
+        out = [self._told(rows.join(same, ["rule_id", "event_id"], "left_anti"), kind) for rows, kind in found]
+        gone = before.join(same, ["rule_id", "event_id"], "left_anti").withColumn("day", F.to_date("triggered_at")).hint("rebalance", "day")
+        gone = gone.select(*[(F.col(f.name) if f.name in kept else F.lit(None)).cast(f.dataType).alias(f.name) for f in DETECTION],
+                           "content", F.lit(RETRACT).alias("op"))
+        return reduce(DataFrame.unionByName, out, gone)
 
     def _touched(self, around: DataFrame, stored: DataFrame, rules: list[WindowRule], batch_id: int, high_us: int) -> DataFrame:
         """event_id of earlier events in a slice that a late event of the batch adds to, from its time on."""
@@ -135,16 +148,18 @@ class Engine:
         first = found.groupBy(*KEY).agg(F.max(F.col("op") == RETRACT).alias("back"), F.min("triggered_at").alias("first"))
         revised = materialize(first.join(seen, KEY, "left").filter(
             F.col("back") | F.coalesce(F.col("first") <= F.col("seen"), F.lit(False))).select(*KEY), "revised-keys")
-        ahead = materialize(found.join(revised, KEY, "left_anti").select(*names(DETECTION)), "ahead")
+        # `found` is a table: each branch of the fold reads the columns it needs
+        ahead = found.join(revised, KEY, "left_anti").select(*names(DETECTION))
         merged = merge_alerts(known, ahead, self.chunk_seconds).withColumn("deleted", F.lit(False))
         if revised.isEmpty():
             return merged
         history = tables.read_changes(spark, self.root, batch_id).filter(F.col("bucket").isin(touched)).join(revised, KEY, "left_semi")
-        hold = materialize(tables.current_detections(history), "firings")
+        hold = materialize(tables.live_changes(history, FOLDED), "firings")
+        whole = history.filter(F.col("op") == EMIT).select(*names(DETECTION), "batch")
         old = materialize(known.join(revised, KEY, "left_semi"), "revised-alerts")
         moves = old.select(*KEY, F.inline("status_history")).select(
             *KEY, F.col("to").alias("status"), "at", F.lit(None).cast("string").alias("request_id"))
-        folded = correlate(hold, None if moves.isEmpty() else moves, self.chunk_seconds, store=False).drop("episode")
+        folded = correlate(hold, None if moves.isEmpty() else moves, self.chunk_seconds, store=False, whole=whole).drop("episode")
         folded = materialize(folded.withColumn("ahead", F.lead("first_seen").over(W.partitionBy(*KEY).orderBy("first_seen"))), "folded")
         # an analyst's moves stay with the episode they fall into, whose first event may be another now
         told = old.select(*KEY, F.explode("status_history").alias("move")).join(folded.select(*KEY, "alert_id", "first_seen", "ahead"), KEY).filter(
@@ -171,7 +186,7 @@ class Engine:
         spark, high = events.sparkSession, manifest["high_us"]
         stored, manifest = tables.append_events(events.select(*names(SECURITY_EVENT)), self.root, batch_id, manifest)
         self._wrote("events")
-        found = tables.write_detections(materialize(self.changes(stored, batch_id, high), "changes"), self.root, batch_id)
+        found = tables.write_detections(self.changes(stored, batch_id, high), self.root, batch_id)
         self._wrote("detections")
         store = AlertStore(spark, self.root, manifest["alerts"])
         touched = [r.bucket for r in found.select("bucket").distinct().collect()]

@@ -16,11 +16,13 @@ from eventwatch.plans.dashboards import current_throughput, performance_history
 from eventwatch.plans.detect import detect
 from eventwatch.schema import AUDIT, SECURITY_EVENT
 from eventwatch.operators import aggregates as agg
+from eventwatch.session import materialize
 from eventwatch.sources import tables
 from eventwatch.sources.commits import Commits
 from eventwatch.sources.tables import append_audit, append_events, read_audit, read_events, read_feed
 from eventwatch.sources.topics import read_events as read_topic
 from eventwatch.streaming.baselines import stream_ewma, stream_rollup
+from eventwatch.streaming import engine as engine_module
 from eventwatch.streaming.engine import Engine
 from eventwatch.streaming.keyed import keyed_detections
 from eventwatch.streaming.listener import Throughput, sample, source_lag
@@ -160,6 +162,32 @@ def test_late_events_revise_firings_and_alerts(spark, make_events, tmp_path, mon
     assert any(s["base"] is not None for s in state.values()) and all(len(s["deltas"]) < 2 for s in state.values())
 
 
+def test_texts_of_firings_are_neither_sorted_nor_written_twice(spark, make_events, tmp_path, monkeypatch):
+    """Batches in order are read without a join, after retractions by a hash join; a retraction has no texts."""
+    made = []
+
+    def noted(df, name):
+        made.append((name, df.columns))
+        return materialize(df, name)
+
+    monkeypatch.setattr(engine_module, "materialize", noted)
+    events = attack(make_events, 30)
+    number = F.substring("event_id", 2, 9).cast("int")
+    engine = Engine(str(tmp_path), PARAMS, feed=False)
+    engine.step(events.filter(number < 60), 0)
+    engine.step(events.filter((number >= 60) & (number % 7 != 3)), 1)
+    plan = engine.detections(spark)._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Exchange", "Sort", "Join"))
+    assert not [name for name, columns in made if "description" in columns and "alert_id" not in columns]
+    engine.step(events.filter((number >= 60) & (number % 7 == 3)), 2)
+    assert not [name for name, columns in made if "description" in columns and "alert_id" not in columns]
+    plan = engine.detections(spark)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan.replace("SortAggregate", "")
+    changes = tables.read_changes(spark, engine.root)
+    assert changes.filter("op = 'retract'").count() > 0 and changes.filter("op = 'retract' and description is not null").count() == 0
+    assert firings(engine.detections(spark)) == firings(detect(events, PARAMS))
+
+
 def test_a_late_event_completes_a_window(spark, make_events, tmp_path):
     """The firing belongs to the event that was stored before; one after the window changes nothing."""
     quiet = [{"event_id": f"q{i}", "at": i, "event_type": "authentication_success", "status": "success", "source_ip": f"198.51.100.{i}", "username": "bob"} for i in range(4)]
