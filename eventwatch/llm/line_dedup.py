@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from eventwatch.llm import set_join as sj
 from eventwatch.llm.text_arrays import Words, id_and_text, lists, mix, signed, slices, within
-from eventwatch.session import materialize
+from eventwatch.session import larger_batches, materialize
 
 PERCENT = 80
 TILE = 2048
@@ -33,6 +33,8 @@ NEAREST = 8
 BUCKETS = 1 << 17
 #: Rows of a block partition a task looks at together.
 GATHERED = 1 << 17
+#: Bytes of text whose words are taken at once: small enough for a core's cache.
+SLICE_BYTES = 1 << 18
 _NTH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,7 +64,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column(1)):
+            for _, _, data, offsets in slices(batch.column(1), SLICE_BYTES):
                 words = words_of_lines(data, offsets)[0]
                 sizes = np.diff(words.first)
                 some = np.flatnonzero(sizes)
@@ -81,86 +83,77 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _order(row: np.ndarray, level: np.ndarray | int, low: np.ndarray) -> np.ndarray:
-    """Order of (row, level, low): one sort of these packed in 64 bits, by all three where that is not enough."""
-    if len(row) and row[-1] < 1 << 20:
-        packed = (row.astype(np.uint64) << np.uint64(44)) | (np.uint64(level) << np.uint64(37)) | (low >> np.uint64(27))
-        at = np.argsort(packed, kind="stable")
-        p, q = packed[at], low[at]
-        if not ((p[1:] == p[:-1]) & (q[1:] != q[:-1])).any():
-            return at
-    return np.lexsort((low, np.broadcast_to(level, len(row)), row))
-
-
-def token_sets(words: Words, level: np.ndarray | None = None) -> tuple[sj.Sets, np.ndarray]:
-    """(the rows' elements, level of each): by `level`, below 128, within a row when it is given for the words."""
+def token_sets(words: Words, level: np.ndarray | int = 0) -> tuple[sj.Sets, np.ndarray]:
+    """(the rows' elements, level of each), ordered by `level`, below 128 and the same for equal words, and word."""
     row = words.row
-    order = _order(row, 0, words.hash)
+    order = sj.row_order(row, level if np.isscalar(level) else level.astype(np.uint64), words.hash)
     h = words.hash[order]
     again = np.zeros(len(h), bool)
     again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
     place = np.arange(len(h))
     nth = place - np.maximum.accumulate(np.where(again, 0, place)) if len(h) else place
-    element = mix(h + nth.astype(np.uint64) * _NTH)
-    found = np.zeros(len(h), np.uint64)
-    if level is not None:
-        found = level[order].astype(np.uint64)
-        second = _order(row, found, element)
-        element, found = element[second], found[second]
-    return sj.Sets(element, row, np.diff(words.first).astype(np.int64)), found
+    found = np.broadcast_to(level, len(h))[order]
+    return sj.Sets(mix(h + nth.astype(np.uint64) * _NTH), row, np.diff(words.first).astype(np.int64)), found
 
 
 def line_classes(docs: DataFrame, percent: int, counts: np.ndarray) -> DataFrame:
-    """One row per class of lines with equal sets: its first line (doc_id, line, body), n, prefix, cold, b1, b2.
+    """One row per class of lines with equal sets: its first line (doc_id, line, body), n, prefix, tail, b1, b2.
 
-    `prefix` has 32 bits of each element, of which the first `cold` are in too few lines to need tiles;
-    b1 and b2 are a parity bitmap of 128 bits.
+    `prefix` and, after it, `tail` have 32 bits of each element; those of `prefix` are in too few lines to
+    need tiles. b1 and b2 are a parity bitmap of 128 bits.
     """
+    levels = np.ceil(2 * np.log2(counts + 1)).astype(np.uint8)
     hot = np.ceil(2 * np.log2(TILE + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, _, data, offsets in slices(batch.column(1)):
+            for i, _, data, offsets in slices(batch.column(1), SLICE_BYTES):
                 words, row, number = words_of_lines(data, offsets)
-                sets, level = token_sets(words, np.ceil(2 * np.log2(counts[_bucket(words.hash)] + 1)))
+                sets, level = token_sets(words, levels[_bucket(words.hash)])
                 some = np.flatnonzero(sets.n)
                 if not len(some):
                     continue
                 n, heads, e = sets.n[some], words.first[:-1][some], sets.hash
                 size = sj.prefix_length(n, percent)
                 at = np.repeat(heads, size) + within(size)
-                cold = np.bincount(np.repeat(np.arange(len(n)), size)[level[at] < hot], minlength=len(n))
+                cold, short = level[at] < hot, (e[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                few = np.bincount(np.repeat(np.arange(len(n)), size)[cold], minlength=len(n))
                 bit, high = np.uint64(1) << (e & np.uint64(63)), (e & np.uint64(64)) > 0
                 columns = [
                     signed(np.add.reduceat(mix(e + np.uint64(1)), heads)),
                     signed(np.add.reduceat(mix(e ^ np.uint64(0x5851F42D4C957F2D)), heads)),
                     batch.column(0).take(pa.array(row[some] + i)), pa.array(number[some], pa.int32()),
                     batch.column(2).take(pa.array(row[some] + i)), pa.array(n, pa.int32()),
-                    lists((e[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), size, pa.int32()), pa.array(cold, pa.int32()),
+                    lists(short[cold], few, pa.int32()), lists(short[~cold], size - few, pa.int32()),
                     signed(np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), heads)),
                     signed(np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), heads))]
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c) for c in columns],
-                    ["k1", "k2", "doc_id", "line", "body", "n", "prefix", "cold", "b1", "b2"])
+                    ["k1", "k2", "doc_id", "line", "body", "n", "prefix", "tail", "b1", "b2"])
 
     lines = with_body(docs).select("doc_id", "text", "body").mapInArrow(
-        run, "k1 bigint, k2 bigint, doc_id bigint, line int, body bigint, n int, prefix array<int>, cold int, b1 bigint, b2 bigint")
+        run, "k1 bigint, k2 bigint, doc_id bigint, line int, body bigint, n int, prefix array<int>, tail array<int>, b1 bigint, b2 bigint")
     # the place decides the minimum; what follows it is equal within a class
-    first = F.min(F.struct("doc_id", "line", "body", "n", "prefix", "cold", "b1", "b2")).alias("first")
+    first = F.min(F.struct("doc_id", "line", "body", "n", "prefix", "tail", "b1", "b2")).alias("first")
     return lines.groupBy("k1", "k2").agg(first).select(F.monotonically_increasing_id().alias("id"), "first.*")
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in larger batches, with the token in a column of its own."""
+    def whole():
+        table = pa.Table.from_batches(held).combine_chunks()
+        return table.append_column("token", pa.array(table["key"].to_numpy() >> 32)).to_batches()
+
     held, rows = [], 0
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
             rows += batch.num_rows
         if rows >= GATHERED:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            yield from whole()
             held, rows = [], 0
     if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        yield from whole()
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iterator[pa.RecordBatch]:
@@ -168,9 +161,10 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -
 
     With `every`, all candidates of the rows marked `open`.
     """
-    for table, ends in sj.whole_runs(_gathered(batches), ["token", "tile"]):
+    low = (1 << 32) - 1
+    for table, ends in sj.whole_runs(_gathered(batches), ["token"]):
         c = {k: table[k].to_numpy() for k in table.column_names if k != "doc_id"}
-        ids, n, pos = c["id"], c["n"].astype(np.int64), c["pos"].astype(np.int64)
+        ids, n, line, pos = c["id"], c["key"] & low, c["place"] >> 32, c["place"] & low
         # as unsigned: numpy counts the bits of a negative number's absolute value
         maps = [np.ascontiguousarray(c[k]).view(np.uint64) for k in ("b1", "b2")]
         # a block is sorted by size: the partners of a row are the larger ones up to its length limit
@@ -197,7 +191,7 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -
             rows, at = np.unique(np.r_[i, j], return_inverse=True)
             doc = table["doc_id"].take(pa.array(rows)).fill_null(-(1 << 63)).to_numpy()
             rank = np.empty(len(rows), np.int64)
-            rank[np.lexsort((ids[rows], c["b2"][rows], c["b1"][rows], c["line"][rows], doc))] = np.arange(len(rows))
+            rank[np.lexsort((ids[rows], c["b2"][rows], c["b1"][rows], line[rows], doc))] = np.arange(len(rows))
             first, second = rank[at[:len(i)]], rank[at[len(i):]]
             late, early, before = np.where(first < second, j, i), np.where(first < second, i, j), np.minimum(first, second)
             more = np.zeros(len(late), bool)
@@ -220,18 +214,30 @@ def candidates(reps: DataFrame, hot: DataFrame, percent: int, undecided: DataFra
 
     Without `undecided` the nearest of each class, with it all candidates of these classes.
     """
-    rows = reps.select("id", "doc_id", "line", "n", "b1", "b2", F.posexplode("prefix").alias("pos", "token"))
-    if undecided is not None:
-        rows = rows.join(undecided.withColumn("open", F.lit(True)), "id", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        rows = rows.join(rows.filter("open").select("token").distinct(), "token", "left_semi")
+    every, kept = undecided is not None, ["id", "doc_id", "line", "n", "b1", "b2"]
+    if every:
+        marked = undecided.withColumn("open", F.lit(True))
+        reps, kept = reps.join(marked, "id", "left").withColumn("open", F.coalesce("open", F.lit(False))), [*kept, "open"]
+    cold = reps.select(*kept, F.posexplode("prefix").alias("pos", "token"))
+    tail = reps.select(*kept, F.size("prefix").alias("before"), F.posexplode("tail").alias("pos", "token"))
+    tail = tail.withColumn("pos", F.col("before") + F.col("pos")).drop("before")
+    if every:
+        # a written table has a known size: where the open classes are few, the rows are not shuffled for them
+        asked = materialize(cold.union(tail).filter("open").select("token").distinct(), "line-asked")
+        cold, tail = (x.join(asked, "token", "left_semi") for x in (cold, tail))
     # part s of a hot element goes to every tile {s, t}, so each pair of parts meets in one task
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1),
                         lambda t: F.least(t, part) * F.col("parts") + F.greatest(t, part))
-    rows = rows.join(hot, "token", "left").withColumn(
-        "tile", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(tiles))).drop("parts")
-    count, every = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), undecided is not None
-    found = rows.repartition(count, "token", "tile").sortWithinPartitions("token", "tile", "n").mapInArrow(
+    tiled = tail.join(hot, "token", "left").withColumn(
+        "tile", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(tiles))).withColumn(
+        "token", F.when(F.col("parts").isNull(), F.col("token")).otherwise(F.hash("token", "tile")))
+    # blocks of one number only give more candidates; Spark sorts by one long without comparing rows
+    high = lambda a, b: (F.shiftleft(F.col(a).cast("long"), 32) + F.col(b)).alias
+    rows = cold.unionByName(tiled.drop("parts", "tile")).select(
+        high("token", "n")("key"), high("line", "pos")("place"), *[c for c in kept if c not in ("line", "n")])
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.repartition(count, F.shiftright("key", 32)).sortWithinPartitions("key").mapInArrow(
         lambda b: _block_pairs(b, percent, every), "id bigint, other bigint, more boolean")
     return found.groupBy("id", "other").agg(F.max("more").alias("more"))
 
@@ -265,10 +271,10 @@ def matched(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) ->
 def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, body (hash of the text), kept: numbers of the lines with words that no earlier line matches."""
     reps = materialize(line_classes(docs, percent, word_counts(docs)), "line-classes")
-    tail = reps.select(F.explode(F.slice("prefix", F.col("cold") + 1, F.size("prefix"))).alias("token"))
-    hot = tail.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > TILE)
+    hot = reps.select(F.explode("tail").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > TILE)
     hot = materialize(hot.select("token", F.ceil(F.col("held") / TILE).cast("int").alias("parts")), "line-hot")
-    pairs = materialize(candidates(reps, hot, percent), "line-pairs")
+    with larger_batches(docs.sparkSession):  # rows of some numbers each
+        pairs = materialize(candidates(reps, hot, percent), "line-pairs")
     gone = materialize(matched(docs, reps, pairs, percent), "line-found")
     undecided = materialize(pairs.filter("more").select("id").distinct().join(gone, "id", "left_anti"), "line-open")
     if not undecided.isEmpty():

@@ -27,6 +27,8 @@ FREQUENT_WORDS = 1 << 16
 BITMAP_BITS = (256, 1 << 15)
 #: Word counts a task holds before it merges and sends them.
 HELD_COUNTS = 1 << 20
+#: Bytes of text a task verifies in one step.
+CHECKED_BYTES = 1 << 18
 #: Pairs of rows a task looks at in one step.
 PAIR_CHUNK = 1 << 20
 
@@ -112,6 +114,17 @@ class Sets:
         return [flat[i:i + k] for i, k in zip((base // 8).tolist(), (size // 8).tolist())]
 
 
+def row_order(row: np.ndarray, level: np.ndarray | int, low: np.ndarray) -> np.ndarray:
+    """Order of (row, level, low): one sort of these packed in 64 bits, by all three where that is not enough."""
+    if len(row) and row[-1] < 1 << 20:
+        packed = (row.astype(np.uint64) << np.uint64(44)) | (np.uint64(level) << np.uint64(37)) | (low >> np.uint64(27))
+        at = np.argsort(packed)
+        p, q = packed[at], low[at]
+        if not ((p[1:] == p[:-1]) & (q[1:] != q[:-1])).any():
+            return at
+    return np.lexsort((low, np.broadcast_to(level, len(row)), row))
+
+
 def sequence_keys(words: Words) -> list[bytes]:
     """A 128-bit fingerprint of each row's word sequence; rows without words share one."""
     counts = np.diff(words.first)
@@ -334,17 +347,17 @@ def jaccard_of_texts(pairs: DataFrame, texts: DataFrame, size: int | Callable[[W
             if even < batch.num_rows:
                 odd = batch.slice(even)
             batch, restore = batch.slice(0, even), zstandard.ZstdDecompressor()
-            texts = pa.array([restore.decompress(x.as_py()).decode() for x in batch.column(3)], pa.large_string())
+            texts = pa.array([restore.decompress(x) for x in batch.column(3).to_pylist()], pa.large_binary()).cast(pa.large_string())
             at = 0
             while at < even:
-                _, stop, _, _ = next(slices(texts.slice(at)))
+                _, stop, _, _ = next(slices(texts.slice(at), CHECKED_BYTES))
                 stop = at + max(2, stop // 2 * 2)
                 part = batch.slice(at, stop - at)
                 _, _, data, offsets = next(slices(texts.slice(at, stop - at), 1 << 62))
                 words = Words(data, offsets)
                 sets = shingle_sets(words, size) if isinstance(size, int) else size(words)
                 both = sets.row // 2
-                order = np.lexsort((sets.hash, both))
+                order = row_order(both, 0, sets.hash)
                 h, p = sets.hash[order], both[order]
                 shared = np.bincount(p[1:][(h[1:] == h[:-1]) & (p[1:] == p[:-1])], minlength=len(sets.n) // 2)
                 total = sets.n[0::2] + sets.n[1::2] - shared

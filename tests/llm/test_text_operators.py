@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import brute
-from eventwatch.llm import decontaminate, line_dedup, ngram_join, suffix_dedup
+from eventwatch.llm import decontaminate, line_dedup, ngram_join, set_join, suffix_dedup
 from eventwatch.llm.quality_rules import quality_rules
 from eventwatch.llm.sharding import permute, shard_documents
 
@@ -143,6 +143,32 @@ def test_line_dedup_edges(frame):
     assert got == sorted([(None, 1, []), (1, 2, [0]), (1, 2, [0]), (2, 1, []), (3, 1, [0]), (4, 1, []), (5, 1, [])], key=str)
 
 
+def test_line_dedup_blocks_are_sorted_by_one_number(frame, corpus, spark, monkeypatch):
+    """Rows of blocks are sorted by one long, and rows without an element of an open class are not shuffled for them."""
+    monkeypatch.setattr(line_dedup, "TILE", 3)
+    docs = frame(corpus)
+    reps = line_dedup.materialize(line_dedup.line_classes(docs, 80, line_dedup.word_counts(docs)), "line-classes")
+    hot = line_dedup.materialize(spark.sql("select 1 token, 2 parts where false").selectExpr("int(token) token", "int(parts) parts"), "line-hot")
+    none = line_dedup.materialize(spark.sql("select 1L id"), "line-open")
+    for undecided in ((), (none,)):
+        plan = line_dedup.candidates(reps, hot, 80, *undecided)._jdf.queryExecution().executedPlan().toString()
+        sorts = [x.partition("]")[0] for x in plan.split("Sort [")[1:]]
+        assert len(sorts) == 1 and sorts[0].startswith("key#") and "," not in sorts[0]
+        assert plan.count("Exchange hashpartitioning(shiftright(key#") == 1 and "Exchange hashpartitioning(token" not in plan
+
+
+def test_row_order():
+    """The packed sort orders like all three columns, also where 37 bits do not tell two hashes apart."""
+    rnd = np.random.default_rng(4)
+    row, level = np.sort(rnd.integers(0, 9, 600)), rnd.integers(0, 128, 600).astype(np.uint64)
+    hashes = rnd.integers(0, 1 << 63, 600, dtype=np.uint64)
+    for low in (hashes, hashes & np.uint64(7), np.uint64(5) << np.uint64(60) | hashes & np.uint64(63)):
+        at = set_join.row_order(row, level, low)
+        assert [x.tolist() for x in (row[at], level[at], low[at])] == [x[np.lexsort((low, level, row))].tolist() for x in (row, level, low)]
+        at = set_join.row_order(row, 0, low)
+        assert low[at].tolist() == low[np.lexsort((low, row))].tolist()
+
+
 def test_words_of_lines_number_lines():
     import pyarrow as pa
     from eventwatch.llm.text_arrays import utf8
