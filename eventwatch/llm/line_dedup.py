@@ -218,24 +218,23 @@ def candidates(reps: DataFrame, hot: DataFrame, percent: int, undecided: DataFra
     if every:
         marked = undecided.withColumn("open", F.lit(True))
         reps, kept = reps.join(marked, "id", "left").withColumn("open", F.coalesce("open", F.lit(False))), [*kept, "open"]
-    cold = reps.select(*kept, F.posexplode("prefix").alias("pos", "token"))
-    tail = reps.select(*kept, F.size("prefix").alias("before"), F.posexplode("tail").alias("pos", "token"))
-    tail = tail.withColumn("pos", F.col("before") + F.col("pos")).drop("before")
+    rows = reps.select(*kept, F.posexplode(F.concat("prefix", "tail")).alias("pos", "token"))
     if every:
-        # a written table has a known size: where the open classes are few, the rows are not shuffled for them
-        asked = materialize(cold.union(tail).filter("open").select("token").distinct(), "line-asked")
-        cold, tail = (x.join(asked, "token", "left_semi") for x in (cold, tail))
+        # partners of an open class share an element with it and lie within its length limits; a written
+        # table has a known size: where the open classes are few, the rows are not shuffled for them
+        asked = rows.filter("open").groupBy(F.col("token").alias("asked")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+        near = (100 * F.col("n") >= percent * F.col("least")) & (percent * F.col("n") <= 100 * F.col("most"))
+        rows = rows.join(materialize(asked, "line-asked"), (F.col("token") == F.col("asked")) & near, "left_semi")
     # part s of a hot element goes to every tile {s, t}, so each pair of parts meets in one task
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1),
                         lambda t: F.least(t, part) * F.col("parts") + F.greatest(t, part))
-    tiled = tail.join(hot, "token", "left").withColumn(
+    rows = rows.join(hot, "token", "left").withColumn(
         "tile", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(tiles))).withColumn(
         "token", F.when(F.col("parts").isNull(), F.col("token")).otherwise(F.hash("token", "tile")))
     # blocks of one number only give more candidates; Spark sorts by one long without comparing rows
     high = lambda a, b: (F.shiftleft(F.col(a).cast("long"), 32) + F.col(b)).alias
-    rows = cold.unionByName(tiled.drop("parts", "tile")).select(
-        high("token", "n")("key"), high("line", "pos")("place"), *[c for c in kept if c not in ("line", "n")])
+    rows = rows.select(high("token", "n")("key"), high("line", "pos")("place"), *[c for c in kept if c not in ("line", "n")])
     count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = rows.repartition(count, F.shiftright("key", 32)).sortWithinPartitions("key").mapInArrow(
         lambda b: _block_pairs(b, percent, every), "id bigint, other bigint, more boolean")

@@ -157,6 +157,24 @@ def test_line_dedup_blocks_are_sorted_by_one_number(frame, corpus, spark, monkey
         assert plan.count("Exchange hashpartitioning(shiftright(key#") == 1 and "Exchange hashpartitioning(token" not in plan
 
 
+def test_line_dedup_open_classes_meet_rows_within_their_length(frame, spark, monkeypatch):
+    """Of the rows with an element of an open class, only those within its length limits are looked at."""
+    def counted(batches, *_):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([0]), pa.array([False])], ["id", "other", "more"])
+
+    lines = [" ".join(["common", *(f"w{k}x{i}" for i in range(k))]) for k in (9, 10, 11, 30, 60)]
+    reps = line_dedup.line_classes(frame(list(enumerate(lines))), 80, np.zeros(line_dedup.BUCKETS, np.int64)).selectExpr(
+        "id", "doc_id", "line", "body", "n", "array(7) prefix", "array(8) tail", "b1", "b2")
+    reps, hot = line_dedup.materialize(reps, "line-classes"), spark.sql("select int(1) token, int(2) parts where false")
+    monkeypatch.setattr(line_dedup, "_block_pairs", counted)
+    got = line_dedup.candidates(reps, hot, 80, reps.filter("n = 11").select("id")).collect()
+    # sizes 10, 11 and 12, for two elements that may come to one task
+    assert [r.id for r in got] in ([3], [6])
+
+
 def test_row_order():
     """The packed sort orders like all three columns, also where 37 bits do not tell two hashes apart."""
     rnd = np.random.default_rng(4)
